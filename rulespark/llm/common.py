@@ -30,3 +30,24 @@ def id_remainder(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     text = F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit(""))
     return (F.crc32(text.cast("binary")) % F.lit(modulus)).cast("int")
+
+
+#: Rows of a narrow table (an id and a few numbers) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_narrow(left: DataFrame, right: DataFrame, on: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a narrow table: broadcast if it has ``most`` rows or fewer, else shuffled on the key."""
+    few = right.select(F.lit(1)).limit(most + 1).count() <= most
+    return left.join(F.broadcast(right) if few else right, on, how)
+
+
+def labelled(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, label) for the ids that have a label; of several labels of an id the largest counts."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    return known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+
+
+def first_by_hash(df: DataFrame, most: int, id_col: str = "id") -> DataFrame:
+    """At most ``most`` rows, chosen by a hash of the id: the same ones on any cluster."""
+    return df.orderBy(F.xxhash64(id_col, F.lit(17)), id_col).limit(most)

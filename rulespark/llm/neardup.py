@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import shared_checkpoint
+from rulespark.llm.common import join_narrow, shared_checkpoint
 from rulespark.llm.graph import connected_components
 
 #: At a similarity of 0.75, 32 bands of 4 minima miss a pair with probability 5e-6.
@@ -207,53 +207,26 @@ def _link_group(percent: int):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 75,
-    bands: int = BANDS,
-    rows: int = ROWS,
+def linked_components(
+    banded: DataFrame,
+    make_sets: Callable[[DataFrame], DataFrame],
+    percent: int,
+    prefilter: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
+    """Components of nodes that share a bucket and whose sets are similar enough: (node, component).
 
-    Texts are linked if their sets of ``width``-word windows (A-Z lower-cased,
-    words split at white space) share ``percent`` per cent of the union or
-    more; a text with fewer words counts as one window.  ``component_id`` is
-    the smallest id that links reach, ``kept`` marks the row of that id.
-
-    Null and empty texts and texts of white space have no window: linked with
-    nothing, ``component_id`` their own id.  A null id names no component: the
-    row takes the one of its equal texts and is kept only if there is none.
-    Rows that repeat an id count as one document.  Other columns are ignored,
-    whatever their names; an empty table gives an empty result.
+    ``banded`` has (node, bucket), a node once or more per bucket;
+    ``make_sets`` takes the nodes that share a bucket (column ``id``) and
+    returns (id, shingles); ``prefilter`` thins pairs (a, b) before sets are read.
+    Nodes that are linked with nothing are left out.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = shared_checkpoint(source.mapInArrow(signer(width, bands, rows), SIGNED))
-    names = ("n_shingles", "h1", "h2")
-    classes = (
-        signed.where("n_shingles > 0")
-        .groupBy(*names)
-        .agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-        .where("node IS NOT NULL")
-    )
-    classes = shared_checkpoint(classes)
-
-    banded = classes.select("node", F.explode("bands").alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.max("node").alias("tail")).where("head != tail")
-    members = shared_checkpoint(banded.join(heads, "bucket").select("bucket", "node", "head", "members"))
+    heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head != tail").select("bucket", "head")
+    members = shared_checkpoint(banded.join(heads, "bucket").select("bucket", "node", "head").distinct())
 
     pairs = members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    sketches = classes.select("node", "sketch")
-    pairs = (
-        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_signature_filter(percent / 100 - SIGNATURE_MARGIN), "a long, b long")
-    )
-    wanted = members.select(F.col("node").alias("id")).distinct()
-    sets = shared_checkpoint(source.join(wanted, "id", "left_semi").mapInArrow(set_maker(width), "id long, shingles binary"))
+    if prefilter is not None:
+        pairs = prefilter(pairs)
+    sets = shared_checkpoint(make_sets(members.select(F.col("node").alias("id")).distinct()))
     links = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -261,7 +234,6 @@ def near_duplicates(
         .mapInArrow(_confirm(percent), "a long, b long")
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    links = shared_checkpoint(links)
     found = connected_components(links)
 
     placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
@@ -273,28 +245,75 @@ def near_duplicates(
             F.count(F.lit(1)).alias("members"),
             F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"),
         )
-        .where("low != high")
+        .where("low != high AND members > 2")
         .groupBy("members", "who")
         .agg(F.min("bucket").alias("bucket"))
     )
     # Block numbers come from a hash, so that a large bucket needs no sort; a bucket of one block stays whole.
     spread = (
         placed.join(mixed.select("bucket", "members"), "bucket")
-        .withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK // 2)))
-        .withColumn("blocks", F.when(F.col("members") <= BLOCK, F.lit(1)).otherwise(F.col("blocks")).cast("int"))
+        .withColumn("blocks", F.when(F.col("members") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("members") / F.lit(BLOCK // 2))).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "node", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("bucket", F.col("node").alias("id"), "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     more = (
-        spread.withColumnRenamed("node", "id")
-        .join(sets, "id")
+        spread.join(sets, "id")
         .groupBy("bucket", "i", "j")
         .applyInArrow(_link_group(percent), "a long, b long")
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
-        .distinct()
     )
-    found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 75,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
+
+    Texts are linked if their sets of ``width``-word windows (A-Z lower-cased,
+    words split at white space) share ``percent`` per cent of the union or
+    more; a text with fewer words counts as one window.  ``component_id`` is
+    the smallest id that links reach, ``kept`` marks the row of that id.
+
+    Null and empty texts and texts of white space have no window: linked with
+    nothing, ``component_id`` their own id.  A null id names no component: the
+    row takes the one of its equal texts and is kept only if there is none.
+    Rows that repeat an id count as one document.  Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = shared_checkpoint(source.mapInArrow(signer(width, bands, rows), SIGNED))
+    names = ("n_shingles", "h1", "h2")
+    classes = (
+        signed.where("n_shingles > 0")
+        .groupBy(*names)
+        .agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        .where("node IS NOT NULL")
+    )
+    classes = shared_checkpoint(classes)
+
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
+    sketches = classes.select("node", "sketch")
+
+    def by_signature(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+            .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+            .select("a", "b", "x", "y")
+            .mapInArrow(_signature_filter(percent / 100 - SIGNATURE_MARGIN), "a long, b long")
+        )
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return join_narrow(source, wanted, "id", "left_semi").mapInArrow(set_maker(width), "id long, shingles binary")
+
+    found = linked_components(banded, sets_of, percent, by_signature)
 
     named = classes.select(*names, "node").join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return (

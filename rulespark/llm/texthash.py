@@ -107,8 +107,8 @@ class Spans:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
-    """The texts of a column, about ``limit`` bytes at a time."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[Texts]:
+    """The texts of a column, about ``limit`` bytes and at most ``most`` texts at a time."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -120,7 +120,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        end = min(end, len(column))
+        end = min(end, len(column), at + most)
         yield Texts(at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end
 
@@ -223,3 +223,50 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+#: 0 white space, 1 letters, digits and bytes of non-ASCII characters, 2 the rest.
+TOKEN_CLASS = np.full(256, 2, dtype=np.uint8)
+TOKEN_CLASS[np.frombuffer(SPACES, np.uint8)] = 0
+TOKEN_CLASS[128:] = 1
+TOKEN_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+
+
+def tokens(texts: Texts) -> tuple[Spans, np.ndarray]:
+    """Runs of letters and digits, and runs of other signs; with the hash of each, A-Z lower-cased."""
+    size = len(texts.data)
+    kind = TOKEN_CLASS[texts.data]
+    if not size:
+        empty = np.zeros(0, np.int64)
+        return Spans(empty, empty, np.zeros(len(texts) + 1, np.int64)), np.zeros(0, np.uint64)
+    edge = np.zeros(size + 1, dtype=bool)
+    edge[texts.offsets] = True
+    turn = np.ones(size + 1, dtype=bool)
+    turn[1:-1] = kind[1:] != kind[:-1]
+    turn |= edge
+    inside = kind > 0
+    start = np.flatnonzero(inside & turn[:-1])
+    end = np.flatnonzero(inside & turn[1:]) + 1
+    found = Spans(start, end, np.searchsorted(start, texts.offsets))
+    return found, span_hashes(LOWER[texts.data], found)
+
+
+def token_ngrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed one- and two-token n-grams of each text, with repeats: (hash, text), grouped by text.
+
+    A two-gram of one token twice also counts under a hash of its own, so that
+    stuttering texts share a feature.
+    """
+    found, one = tokens(texts)
+    owner = found.owner
+    two, text, place = windows(one, found, 2, short=False)
+    same = one[place] == one[place + 1] if len(place) else np.zeros(0, bool)
+    hashes = np.concatenate([one, two, np.full(int(same.sum()), 0x6A09E667F3BCC909, np.uint64)])
+    text = np.concatenate([owner, text, text[same]])
+    order = np.argsort(text, kind="stable")
+    return hashes[order], text[order]
+
+
+def sums_by_text(values: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the values of each text."""
+    return np.bincount(text, weights=values, minlength=size)[:size]
