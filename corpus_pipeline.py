@@ -1,27 +1,74 @@
-"""A corpus pipeline over ``documents``: each stage is one operator of ``rulespark.llm``."""
+"""A corpus pipeline over ``documents``: each stage is one operator of ``rulespark.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns what it keeps with the columns
+of ``documents``; the last one returns the digests of the encoded texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulespark.llm.bpe import encode_texts
+from rulespark.llm.common import join_narrow, shared_checkpoint, table
+from rulespark.llm.decontaminate import without_leaks
+from rulespark.llm.language_id import identify_language
 from rulespark.llm.neardup import near_duplicates
+from rulespark.llm.queries import vocabulary_path
+from rulespark.llm.substring import without_repeats
+
+
+def _drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of these ids; rows with a null id stay."""
+    return join_narrow(docs, ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter and texts far from every language go."""
+    return _drop_ids(docs, identify_language(docs).where("rejected"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, one document stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies one document stays; of rows that repeat an id, one."""
+    docs = _drop_ids(docs, near_duplicates(docs).where("NOT kept"))
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs
+    once = join_narrow(docs, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _drop_ids(docs, repeated).unionByName(once.select(*docs.columns))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat across documents are cut from all but the first; every document stays."""
+    cut = without_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token counts and digests of what is left."""
+    return encode_texts(docs, vocabulary_path())
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("bpe_encoding", bpe_encoding),
+]
 
+#: Learned centroids, minima and merges can't be told in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each result checkpointed in the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = shared_checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
