@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = r"(?U)\s+"
 
@@ -19,7 +20,7 @@ BLANK = r"(?U)\s+"
 LABELLED_NUMBER = r"(?U)-\D*?(\d+)[^-]*-控制措施(\d+)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_text(values: pd.Series) -> pd.Series:
     """NFKC folding; a null stays null."""
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
@@ -47,7 +48,7 @@ def display_text(text: Column) -> Column:
 
 def all_numbers(text: Column) -> Column:
     """All integers of a text, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), 1), lambda d: d.cast("bigint"))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), 1), lambda d: d.try_cast("bigint"))
 
 
 def measure_key(text: Column) -> Column:
@@ -56,7 +57,7 @@ def measure_key(text: Column) -> Column:
     An empty array means that there is no reliable number.
     """
     labelled = F.array(F.regexp_extract(text, LABELLED_NUMBER, 1), F.regexp_extract(text, LABELLED_NUMBER, 2))
-    return F.when(text.rlike(LABELLED_NUMBER), F.transform(labelled, lambda d: d.cast("bigint"))).otherwise(all_numbers(text))
+    return F.when(text.rlike(LABELLED_NUMBER), F.transform(labelled, lambda d: d.try_cast("bigint"))).otherwise(all_numbers(text))
 
 
 def natural_key(text: Column) -> Column:

@@ -92,7 +92,7 @@ def _field_constraints(exceptions: bool, third_position: bool) -> Check:
                 # An incompatible list is checked on the position columns it has; other lists on the asked one.
                 present = F.col(f"{f}_state") != "absent"
                 some = own.where(F.when(listed, present).otherwise(F.lit(f == asked)))
-            tail = F.element_at(F.filter(F.split(F.col(f), r"[-—－]"), lambda x: x != ""), -1)
+            tail = F.try_element_at(F.filter(F.split(F.col(f), r"[-—－]"), lambda x: x != ""), F.lit(-1))
             tested = F.coalesce(tail, F.lit("")) if asked == "department" else F.col(f)
             some = some.withColumn("_tested", tested)
             excused = F.lit(False)
@@ -399,6 +399,14 @@ def applicability_values(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> Da
     )
 
 
+def _unlike(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: ~x.rlike(pattern)
+
+
+def _equal(text: str) -> Callable[[Column], Column]:
+    return lambda x: x == text
+
+
 @check("responsibility_applicability", 1)
 def responsibility_applicability(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
     """The whole group of responsible units against restrictions: a pattern of items and a pattern of unit names."""
@@ -408,7 +416,8 @@ def responsibility_applicability(ctx: Context, rows: DataFrame, p: dict[str, Any
     verdict = F.lit(None).cast("string")
     for r in p["restrictions"]:
         mine = F.col("_name").rlike(r["entity_pattern"])
-        whole = F.forall("_items", lambda x, r=r: x.rlike(r["item_pattern"]))
+        pattern = r["item_pattern"]
+        whole = F.size(F.filter("_items", _unlike(pattern))) == 0
         verdict = F.coalesce(verdict, F.when(whole, F.when(mine, "applicable").otherwise("not_applicable")))
     own = own.withColumn("_verdict", verdict).where("_verdict IS NOT NULL AND _a.decision IS NOT NULL AND _a.decision != _verdict")
     return issues(own, "violation", "responsibility_applicability_conflict", "applicability", responsibility_decision=F.col("_verdict"), stated_decision=F.col("_a.decision"))
@@ -505,7 +514,7 @@ def responsibility_coverage(ctx: Context, rows: DataFrame, p: dict[str, Any]) ->
     own = own.where("_some")
     items = own.select("*", F.explode_outer(facts.list_items(F.col("responsibility"))).alias("_item"))
     parts = F.filter(F.split("_item", r"[-—－]"), lambda x: x != "")
-    items = items.withColumn("_parts", parts).withColumn("_d", F.when(F.size(parts) > 1, canonical(F.get(parts, F.size(parts) - 2)))).withColumn("_p", F.when(F.size(parts) > 1, canonical(F.element_at(parts, -1))))
+    items = items.withColumn("_parts", parts).withColumn("_d", F.when(F.size(parts) > 1, canonical(F.get(parts, F.size(parts) - 2)))).withColumn("_p", F.when(F.size(parts) > 1, canonical(F.try_element_at(parts, F.lit(-1)))))
     open_items = items.join(duties, [*SCOPE, "key", "_d", "_p"], "left_anti")
     known_d = duties.select(*SCOPE, "_d").distinct().withColumn("_known_d", F.lit(True))
     known_p = duties.select(*SCOPE, "_p").distinct().withColumn("_known_p", F.lit(True))
@@ -646,7 +655,7 @@ def schema_contains(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFra
         for h in literals(p["expected_headers"]):
             want[h] = want.get(h, 0) + 1
         heads = F.transform("_s.headers", lambda h: strip_blanks(h))
-        short = F.array_compact(F.array(*(F.when(F.size(F.filter(heads, lambda x, h=h: x == h)) < n, F.lit(h)) for h, n in sorted(want.items()))))
+        short = F.array_compact(F.array(*(F.when(F.size(F.filter(heads, _equal(h))) < n, F.lit(h)) for h, n in sorted(want.items()))))
         out.append(issues(sheets.withColumn("_m", short).where(F.size("_m") > 0), "review", "schema_header_missing", None, ["missing_fields"], missing_fields=F.col("_m")))
     return union(out)
 

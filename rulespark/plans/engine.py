@@ -127,7 +127,7 @@ def reconcile(findings: DataFrame) -> DataFrame:
     joined = findings.join(left, "finding_key", "left")
     carrier = F.col("issue_type") == "carrier_reference_unmatched"
     kept = joined.where(~carrier | F.col("left_names").isNotNull())
-    fresh = F.to_json(F.map_concat(F.from_json("evidence", "map<string,string>"), F.create_map(F.lit("missing_references"), F.to_json("left_names"))))
+    fresh = F.to_json(F.map_concat(F.map_filter(F.from_json("evidence", "map<string,string>"), lambda k, _: k != "missing_references"), F.create_map(F.lit("missing_references"), F.to_json("left_names"))))
     return kept.withColumn("evidence", F.when(carrier, fresh).otherwise(F.col("evidence"))).drop("left_names")
 
 
