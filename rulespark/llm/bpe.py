@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 16 << 20
 
 # Fixed values of the vocabulary's format: how a text splits into words, and the special tokens.
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-ASCII_WORDS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
+WORDS = regex.compile(r"\p{L}+|\p{N}|" + CONTRACTIONS + r"|[^\p{White_Space}\p{L}\p{N}]+")
+
+# The same for texts of ASCII and of Latin letters that no normal form changes.
+LATIN_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|" + CONTRACTIONS + r"|[^ \t-\ra-z0-9ß-öø-ÿ]+")
+NOT_LATIN = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")
 
 #: A special token in a text is one word, told from ordinary ones by this first character (no word has white space).
 SPECIAL = "\n"
@@ -66,8 +69,8 @@ def split_words(text: str, path: str) -> list[str]:
         for k, part in enumerate(re.split("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")", text)):
             out += [SPECIAL + part] if k % 2 else split_words(part, path) if part else []
         return out
-    if text.isascii():
-        return ASCII_WORDS.findall(text.lower())
+    if text.isascii() or not NOT_LATIN.search(text):
+        return LATIN_WORDS.findall(text.lower())
     return WORDS.findall(tokenizer(path).normalizer.normalize_str(text))
 
 
