@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text after which a block ends (a longer text is a block of its own).
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 32 << 20
 
 # Fixed values of the vocabulary's format: how a text splits into words, and the special tokens.
 CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
