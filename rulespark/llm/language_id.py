@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import id_remainder, join_narrow
+from rulespark.llm.common import HASHES, hash_rank, id_remainder, join_narrow
 
 #: Buckets of hashed n-grams, so the length of a vector.
 BUCKETS = 4096
@@ -175,8 +175,13 @@ def identify_language(
             df[row["bucket"]] = row["texts"]
     idf = np.log((total + 1) / (df + 1)).astype(np.float32) + np.float32(1)
     idf_of = spark.sparkContext.broadcast(idf)
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(29)), "id")
-    sample = known.where("id IS NOT NULL").select("id", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_PER_LANGUAGE).select("id").distinct()
+    # Of a language with many texts only those with a low hash are ranked, about four times as many as are taken.
+    ids = known.where("id IS NOT NULL").select("id", "lang")
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    rank = hash_rank("id", 29)
+    low = ids.join(F.broadcast(sizes), "lang").where(rank.cast("double") * F.col("size") <= float(HASHES) * 4 * SAMPLE_PER_LANGUAGE)
+    turn = Window.partitionBy("lang").orderBy(rank, "id")
+    sample = low.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_PER_LANGUAGE).select("id").distinct()
     learned = join_narrow(known, sample, "id").groupBy("lang").applyInArrow(_cluster(idf_of), "lang string, centre binary").orderBy("lang", "centre").collect()
     names = [r["lang"] for r in learned]
     centres = np.array([np.frombuffer(r["centre"], np.float32) for r in learned]).reshape(len(learned), BUCKETS)

@@ -285,8 +285,10 @@ def near_duplicates(
     Null and empty texts and texts of white space have no window: linked with
     nothing, ``component_id`` their own id.  A null id names no component: the
     row takes the one of its equal texts and is kept only if there is none.
-    Rows that repeat an id count as one document.  Other columns are ignored,
-    whatever their names; an empty table gives an empty result.
+    Rows are judged by their texts: repeated rows get equal results, an id
+    with two texts one for either; an id that is the smallest of both links
+    them.  Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = shared_checkpoint(source.mapInArrow(signer(width, bands, rows), SIGNED))
