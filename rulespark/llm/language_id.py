@@ -179,7 +179,7 @@ def identify_language(
     ids = known.where("id IS NOT NULL").select("id", "lang")
     sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     rank = hash_rank("id", 29)
-    low = ids.join(F.broadcast(sizes), "lang").where(rank.cast("double") * F.col("size") <= float(HASHES) * 4 * SAMPLE_PER_LANGUAGE)
+    low = join_narrow(ids, sizes, "lang").where(rank.cast("double") * F.col("size") <= float(HASHES) * 4 * SAMPLE_PER_LANGUAGE)
     turn = Window.partitionBy("lang").orderBy(rank, "id")
     sample = low.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_PER_LANGUAGE).select("id").distinct()
     learned = join_narrow(known, sample, "id").groupBy("lang").applyInArrow(_cluster(idf_of), "lang string, centre binary").orderBy("lang", "centre").collect()
