@@ -17,7 +17,7 @@ from rulespark.llm.toxicity import score_toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("version")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

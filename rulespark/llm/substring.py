@@ -5,6 +5,9 @@ cut into short bands, for a high recall; paragraphs that collide are compared
 on their full window sets, and what is linked forms components.  Of each
 component that spans several documents, the first paragraph stays and the
 others are removed.
+
+Banding compares whole paragraphs, so a passage set into the middle of one is
+beyond it; ``passages`` finds those, and its rows are added.
 """
 
 from __future__ import annotations
@@ -12,13 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulespark.llm import texthash as th
 from rulespark.llm.common import BROADCAST_ROWS, join_narrow, shared_checkpoint
 from rulespark.llm.neardup import linked_components
+from rulespark.llm.passages import PASSAGE_WORDS, repeated_passages
 
 #: Words that a line needs to count as a paragraph.
 LEAST_WORDS = 25
@@ -28,13 +34,13 @@ BANDS, ROWS = 12, 3
 
 
 def paragraphs(texts: th.Texts, least_words: int) -> tuple[th.Texts, np.ndarray, np.ndarray]:
-    """The paragraphs as texts of their own, with the text and the line number of each."""
+    """The paragraphs as texts of their own, with the text and the first word of each."""
     rows, found = th.lines(texts), th.words(texts)
-    n_words = np.searchsorted(found.start, rows.end) - np.searchsorted(found.start, rows.start)
+    before = np.searchsorted(found.start, rows.start)
+    n_words = np.searchsorted(found.start, rows.end) - before
     long = np.flatnonzero(n_words >= least_words)
-    breaks = np.concatenate([[0], np.cumsum(texts.data == 10)])
     owner = rows.owner[long]
-    number = breaks[rows.start[long]] - breaks[texts.offsets[owner]]
+    number = before[long] - found.first[owner]
     size = rows.end[long] - rows.start[long]
     offsets = np.concatenate([[0], np.cumsum(size)])
     take = np.repeat(rows.start[long] - offsets[:-1], size) + np.arange(offsets[-1])
@@ -53,21 +59,23 @@ def _fingerprints(hashes: np.ndarray, text: np.ndarray, size: int) -> np.ndarray
 
 
 def _list(width: int, least_words: int):
-    """(doc_id, text) to (doc_id, paragraph, n_words, node)."""
+    """(doc_id, version, text) to (doc_id, version, start_word, n_words, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in th.slices(batch.column(1)):
+            for texts in th.slices(batch.column(2)):
                 parts, owner, number = paragraphs(texts, least_words)
                 hashes, text = th.lowered_windows(parts, width)
+                at = pa.array(texts.first + owner, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(texts.first + owner)),
+                        batch.column(0).take(at),
+                        batch.column(1).take(at),
                         pa.array(number, pa.int32()),
                         pa.array(th.words(parts).counts, pa.int32()),
                         pa.array(_fingerprints(hashes, text, len(parts)).view(np.int64)),
                     ],
-                    names=["doc_id", "paragraph", "n_words", "node"],
+                    names=["doc_id", "version", "start_word", "n_words", "node"],
                 )
 
     return run
@@ -130,23 +138,28 @@ def repeated_paragraphs(
     least_words: int = LEAST_WORDS,
     bands: int = BANDS,
     rows: int = ROWS,
+    passage_words: int = PASSAGE_WORDS,
 ) -> DataFrame:
-    """The paragraphs that repeat across documents, one row each.
+    """The paragraphs and passages that repeat across documents, one row each.
+
+    (doc_id, version, kind, start_word, n_words, component, first_doc_id,
+    first_word, removed): words are runs other than white space, counted from
+    0; ``version`` is a hash of the text.
 
-    (doc_id, paragraph, n_words, component, first_doc_id, first_paragraph,
-    removed): ``paragraph`` is the number of the line in the text, from 0.
     Paragraphs are linked if their ``width``-word window sets share ``percent``
     per cent of the union; of a component that stands in two documents or
-    more, the paragraph of the smallest (doc_id, paragraph) stays.
+    more, the paragraph of the smallest (doc_id, start_word) stays.  Pieces of
+    passages (see ``passages``) are equal, and the first stays likewise.
 
     Null and empty texts and lines under ``least_words`` words have no
-    paragraph.  Rows with a null id count as one document that comes last.
-    Rows that repeat an id count as one document.  Other columns are ignored,
-    whatever their names; an empty table gives an empty result.
+    paragraph.  Rows with a null id count as one document that comes last and
+    has no passages.  Rows that repeat an id count as one document.  Other
+    columns are ignored, whatever their names; an empty table gives an empty
+    result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     texts = source.select("text")
-    listed = shared_checkpoint(source.mapInArrow(_list(width, least_words), "doc_id long, paragraph int, n_words int, node long"))
+    listed = shared_checkpoint(source.mapInArrow(_list(width, least_words), "doc_id long, version long, start_word int, n_words int, node long"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         found = texts.mapInArrow(_sets(width, least_words), "id long, shingles binary")
@@ -154,46 +167,66 @@ def repeated_paragraphs(
 
     linked = linked_components(texts.mapInArrow(_band(width, least_words, bands, rows), "node long, bucket long"), sets_of, percent)
 
+    # One row for each distinct paragraph, so a line that stands in a third of all texts is one row here.
     alone = listed.groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")).alias("first"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start_word")).alias("first"),
         F.max(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("other"),
     )
-    parts = shared_checkpoint(
-        alone.join(linked, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("component"), "first", "other")
-    )
+    parts = shared_checkpoint(alone.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first", "other"))
     groups = (
         parts.groupBy("component")
         .agg(F.min("first").alias("first"), F.max("other").alias("other"))
         .where(~F.col("first.doc_id").eqNullSafe(F.col("other.doc_id")))
-        .select("component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"))
+        .select("component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start_word").alias("first_word"))
     )
     wanted = parts.select("node", "component").join(groups, "component")
-    # parts and groups hold distinct paragraphs only, so a line that stands in a third of all texts is one row there
-    return join_narrow(listed, wanted, "node").select(
-        "doc_id",
-        "paragraph",
-        "n_words",
-        "component",
-        "first_doc_id",
-        "first_paragraph",
-        (~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("paragraph") == F.col("first_paragraph")))).alias("removed"),
-    )
+    removed = ~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start_word") == F.col("first_word")))
+    columns = ["doc_id", "version", "kind", "start_word", "n_words", "component", "first_doc_id", "first_word", "removed"]
+    whole = join_narrow(listed, wanted, "node").withColumns({"kind": F.lit("paragraph"), "removed": removed}).select(*columns)
+    glued = repeated_passages(source, passage_words).withColumnRenamed("node", "component").withColumn("kind", F.lit("passage"))
+    return whole.unionByName(glued.select(*columns))
+
+
+#: A span as one number: its first word times this, plus its words.
+SPAN_BASE = 1 << 31
+
+
+def without_spans(text: str, spans: list[int]) -> str:
+    """``text`` without spans of words; the white space after a span goes with it."""
+    own = next(th.slices(pa.array([text])), None)
+    if own is None:
+        return text
+    starts = th.words(own).start
+    kept = np.ones(len(own.data), dtype=bool)
+    for span in spans:
+        first, count = divmod(int(span), SPAN_BASE)
+        if first < len(starts):
+            end = starts[first + count] if first + count < len(starts) else len(own.data)
+            kept[starts[first] : end] = False
+    return own.data[kept].tobytes().decode()
+
+
+@F.pandas_udf(T.StringType())
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else without_spans(t, s) for t, s in zip(texts, spans)], dtype=object)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the removed paragraphs cut from their texts; all rows and columns stay.
+    """``docs`` with the removed paragraphs and passages cut from their texts; all rows and columns stay.
 
-    Texts without a removal are unchanged, null ones too.
+    Texts without a removal are unchanged, and so are null texts and the rows
+    of a null id.
     """
     removed = (
         repeated_paragraphs(docs, id_col, text_col, **options)
         .where("removed AND doc_id IS NOT NULL")
-        .select(F.col("doc_id").alias("__id"), F.col("paragraph").alias("__at"))
+        .select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), (F.col("start_word").cast("long") * SPAN_BASE + F.col("n_words")).alias("__span"))
     )
     removed = shared_checkpoint(removed)
     few = removed.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    cut = removed.groupBy("__id").agg(F.collect_set("__at").alias("__cut"))
-    joined = docs.join(F.broadcast(cut) if few else cut, F.col(id_col).cast("long") == F.col("__id"), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(F.col("__cut"), i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(left)).drop("__id", "__cut")
+    cut = removed.groupBy("__id", "__version").agg(F.collect_set("__span").alias("__cut"))
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__version"))
+    joined = docs.join(F.broadcast(cut) if few else cut, same, "left")
+    # Only texts with something to cut go through Python.
+    left = _cut(F.when(F.col("__cut").isNotNull(), F.col(text_col)), F.coalesce("__cut", F.array().cast("array<bigint>")))
+    return joined.withColumn("__left", left).withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.col("__left"))).drop("__id", "__version", "__cut", "__left")

@@ -7,7 +7,7 @@ import pytest
 
 from rulespark.llm.graph import connected_components
 from rulespark.llm.neardup import link_block, near_duplicates
-from rulespark.llm.substring import repeated_paragraphs
+from rulespark.llm.substring import SPAN_BASE, repeated_paragraphs, without_repeats, without_spans
 from tests.llm.fixtures import frame, odd_rows, sentence, stored
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -114,11 +114,56 @@ def test_repeated_paragraphs_equal_brute_force(spark, tmp_path):
         if k % 10 == 1:
             own += [own[0], ""]  # repeats within one document only
         rows.append((k, "\n".join(own), "en", "s", 1))
-    got = {(r["doc_id"], r["paragraph"]): (r["first_doc_id"], r["first_paragraph"], r["removed"]) for r in repeated_paragraphs(stored(spark, frame(spark, rows), tmp_path / "d")).collect()}
-    parts = {(k, i): shingles(line) for k, t, *_ in rows for i, line in enumerate(t.split("\n")) if len(line.split()) >= 25}
+    found = repeated_paragraphs(stored(spark, frame(spark, rows), tmp_path / "d")).where("kind = 'paragraph'").collect()
+    got = {(r["doc_id"], r["start_word"]): (r["first_doc_id"], r["first_word"], r["removed"]) for r in found}
+    parts = {}
+    for k, t, *_ in rows:
+        at = 0
+        for line in t.split("\n"):
+            n = len(line.split())
+            if n >= 25:
+                parts[k, at] = shingles(line)
+            at += n
     comp = components(parts)
     members = defaultdict(list)
     for p, c in comp.items():
         members[c].append(p)
     want = {p: (*min(own), p != min(own)) for own in members.values() if len({d for d, _ in own}) > 1 for p in own}
     assert got == want
+
+
+def test_passages_in_the_middle_of_paragraphs(spark, tmp_path):
+    rng = random.Random(21)
+
+    def prose(n):
+        return " ".join(w + ("." if k % 8 == 7 else "") for k, w in enumerate(sentence(rng, n).split()))
+
+    template = prose(12)
+    passages = [prose(n) for n in (55, 70, 120)]
+    rows, holders = [], {}
+    for k in range(90):
+        words = prose(150).split()
+        if k % 3 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = passages[k % 9 // 3].split()
+            holders.setdefault(k % 9 // 3, []).append(k)
+        rows.append((k, template + "\n" + " ".join(words), "en", "s", 1))
+    rows += [(500, "a b c. " * 40, "en", "s", 1), (501, "x", "en", "s", 1), (None, rows[0][1], "en", "s", 1)]
+    docs = stored(spark, frame(spark, rows), tmp_path / "d")
+    found = repeated_paragraphs(docs).where("kind = 'passage'").collect()
+    assert {r["doc_id"] for r in found} == {k for own in holders.values() for k in own}
+    assert {r["doc_id"] for r in found} - {r["doc_id"] for r in found if r["removed"]} == {min(own) for own in holders.values()}
+    left = {r["doc_id"]: r["text"] for r in without_repeats(docs).where("doc_id IS NOT NULL").collect()}
+    for k, t, *_ in rows[:90]:
+        gone = len(t.split()) - len(left[k].split())
+        own = next((p for p, ids in holders.items() if k in ids and k != min(ids)), None)
+        # all but the pieces that were glued to other words; the short template stays
+        assert (gone == 0) if own is None else (len(passages[own].split()) - 24 <= gone <= len(passages[own].split()))
+        assert left[k].startswith(template)
+
+
+def test_cutting_spans():
+    text = " one two\n\nthree é four\nfive "
+    assert without_spans(text, [1 * SPAN_BASE + 2]) == " one é four\nfive "
+    assert without_spans(text, [0 * SPAN_BASE + 1, 5 * SPAN_BASE + 1, 4 * SPAN_BASE + 9]) == " two\n\nthree é "
+    assert without_spans("", [0]) == "" and without_spans("x", [3 * SPAN_BASE + 1]) == "x"
