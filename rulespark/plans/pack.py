@@ -17,6 +17,9 @@ from rulespark.operators.checks import CHECKS, PACKAGE_CHECKS
 Pack = dict[str, Any]
 
 RECORD_TYPES = {"matrix", "position_duty", "system_rule", "incompatible_position", "package"}
+#: Operators that packs may name but that compute nothing; a rule that uses one can't be enabled.
+UNAVAILABLE = {("system_rule_content", 1)}
+
 SEVERITIES = ("violation", "review")
 ON_UNAVAILABLE = {"report", "skip", "fail"}
 
@@ -42,7 +45,9 @@ def _faults(pack: Pack) -> list[str]:
         for check in rule.get("checks", []):
             at = f"{name}/{check.get('check_id', '?')}"
             key = (check.get("operator"), check.get("operator_version"))
-            if key not in CHECKS:
+            if key in UNAVAILABLE:
+                out += [f"{at}: {key[0]}@{key[1]} is not available"] if rule.get("enabled") else []
+            elif key not in CHECKS:
                 out.append(f"{at}: no operator {key[0]}@{key[1]}")
             elif (key[0] in PACKAGE_CHECKS) != (types == ["package"]):
                 out.append(f"{at}: {key[0]} and record type {kind} don't go together")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.functions.keys import identity
+from rulespark.operators import matching
 from rulespark.operators import relational as ops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,3 +402,55 @@ def incomplete_items(spark: SparkSession, d: str) -> DataFrame:
     one = load(spark, d, "customer").where("c_acctbal < -500").select(F.col("c_nationkey").alias("unit"), F.lit("customer").alias("kind"), F.col("c_name").alias("item"))
     two = load(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("unit"), F.lit("supplier").alias("kind"), F.col("s_name").alias("item"))
     return one.unionByName(two)
+
+
+_SCORES = """WITH s AS (SELECT q.vec_id AS query, c.vec_id AS candidate, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+  r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, candidate))
+"""
+
+
+@query(
+    _SCORES
+    + """SELECT query, candidate, CASE WHEN score < 0.15 THEN 'weak' WHEN score - coalesce(next, -1.0) < 0.02 THEN 'ambiguous' ELSE 'accepted' END AS verdict FROM r WHERE n = 1"""
+)
+def candidate_margin(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidate of the stated queries, accepted only with a margin to the next one."""
+    rows = load(spark, d, "embeddings")
+    ranked = ops.ranked_candidates(rows.where("vec_id % 100 = 0"), rows, "label", "vec_id", "embedding", 2).select("query", "score", "candidate")
+    return matching.decided_candidates(ranked, "query", "score", 0.15, 0.02).select("query", "candidate", "verdict")
+
+
+@query(
+    """WITH a AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R'),
+      b AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'A')
+    SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, a.l_orderkey AS left_l_orderkey, a.l_linenumber AS left_l_linenumber,
+      b.l_orderkey AS right_l_orderkey, b.l_linenumber AS right_l_linenumber FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.n = b.n"""
+)
+def manual_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels and findings paired one to one: line items of either flag by part and supplier."""
+    rows, order = load(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]
+    return matching.one_to_one(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["l_partkey", "l_suppkey"], order, order)
+
+
+@query(
+    """WITH b AS (SELECT o_custkey, bool_or(o_orderkey < previous) AS bad FROM (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice, o_orderkey) AS previous FROM orders) GROUP BY 1)
+    SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS new_row FROM orders WHERE o_custkey IN (SELECT o_custkey FROM b WHERE bad)"""
+)
+def duty_sort(spark: SparkSession, d: str) -> DataFrame:
+    """New places for the rows of sheets that are out of order; other sheets stay as they are."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_totalprice", "o_orderkey"))
+    rows = load(spark, d, "orders").select("o_custkey", "o_orderkey", place.alias("place"))
+    return matching.out_of_order(rows, ["o_custkey"], "place", "o_orderkey").select("o_custkey", "o_orderkey", "new_row")
+
+
+@query(
+    """SELECT o_orderkey, o_orderstatus, t.names AS duty_l_suppkey FROM orders LEFT JOIN (
+      SELECT l_orderkey, string_agg(s, '、' ORDER BY s) AS names FROM (SELECT DISTINCT l_orderkey, l_suppkey::VARCHAR AS s FROM lineitem) GROUP BY 1) t ON l_orderkey = o_orderkey"""
+)
+def enriched_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Measures (orders) with the people of their duty rows (suppliers) beside them."""
+    duties = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").cast("string").alias("l_suppkey"))
+    return matching.enriched(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), duties, ["o_orderkey"], ["l_suppkey"])
