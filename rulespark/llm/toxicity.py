@@ -29,7 +29,7 @@ CLASSIFIERS, MODEL_WORDS = 4, 2_048
 LEAST_Z, LEAST_TEXTS = 5.0, 5
 
 #: Words that the class prior is estimated from.
-PRIOR_WORDS = 15
+PRIOR_WORDS = 8
 
 
 def _word_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +128,8 @@ def score_toxicity(
     """One row per row of ``docs``: (doc_id, held_out, score, predicted).
 
     Rows whose crc32(id as text) is 0 modulo ``folds`` are held out and never
-    learned from.  ``prior`` is the share of toxic texts; without it, the median
-    over the most telling words of their unlabelled share by their confirmed one.  At most ``positive_rows`` confirmed and
+    learned from.  ``prior`` is the share of toxic texts; without it, the largest
+    ratio of unlabelled to confirmed share among the most telling words.  At most ``positive_rows`` confirmed and
     ``unlabelled_rows`` unlabelled texts are learned from, chosen by a hash of
     the id; labels of 0 are not used as such.
 
@@ -145,7 +145,10 @@ def score_toxicity(
     others = texts.select("id").where(F.col("id").isNotNull() & (id_remainder("id", folds) != 0)).distinct()
     unlabelled = first_by_hash(others.join(positive.select("id"), "id", "left_anti"), unlabelled_rows).select("id", F.lit(0).alias("label"))
     sample = shared_checkpoint(positive.select("id", "label").unionByName(unlabelled))
-    rows = shared_checkpoint(join_narrow(texts, sample, "id").select("id", "label", "text").mapInArrow(_word_features, "id long, label int, words array<long>"))
+    rows = join_narrow(texts, sample, "id").select("id", "label", "text").mapInArrow(_word_features, "id long, label int, words array<long>")
+    # A text counts once however many copies the sample has, and a confirmed text is not unlabelled.
+    rows = rows.withColumn("sign", F.xxhash64("words")).groupBy("sign").agg(F.max_by(F.struct("label", "id", "words"), F.struct("label", "id")).alias("row"))
+    rows = shared_checkpoint(rows.select("row.id", "row.label", "row.words"))
 
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
@@ -164,8 +167,8 @@ def score_toxicity(
     )
     if prior is None:
         # A word of toxic texts only stands in the share p * s of the unlabelled texts if it stands in the share s of the toxic ones.
-        ratios = [(r["u"] / n_u) / (r["p"] / n_p) for r in chosen[:PRIOR_WORDS]]
-        prior = float(np.median(ratios)) if ratios else 0.01
+        # The optimum for such a word is the prior over its true share, so the largest ratio leaves no telling word in doubt.
+        prior = max(((r["u"] / n_u) / (r["p"] / n_p) for r in chosen[:PRIOR_WORDS]), default=0.01)
     prior = min(max(prior, 0.001), 0.5)
     names = np.sort(np.array([r["word"] for r in chosen], dtype=np.int64).view(np.uint64))
     known_names = spark.sparkContext.broadcast(names)
