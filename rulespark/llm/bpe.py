@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulespark.llm.common import map_arrow
+
 #: Characters of text after which a block ends (a longer text is a block of its own).
 BLOCK_CHARS = 32 << 20
 
@@ -249,9 +251,9 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     doesn't, the run fails.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = texts.mapInArrow(_block_words(path), "block long, number int, word string")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "block long, number int, ids binary")
-    blocks = texts.mapInArrow(_block_texts(path), "block long, words int, doc_ids array<long>, lengths array<int>, codes binary")
+    words = texts.transform(map_arrow, _block_words(path), "block long, number int, word string")
+    encoded = words.repartition("word").sortWithinPartitions("word").transform(map_arrow, _encode(path), "block long, number int, ids binary")
+    blocks = texts.transform(map_arrow, _block_texts(path), "block long, words int, doc_ids array<long>, lengths array<int>, codes binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if with_ids else "")
     return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join_ids(path, with_ids), schema)
 
@@ -269,4 +271,4 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
 
     encoded_names = encoded.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, schema + ", decoded string")
+    return encoded.transform(map_arrow, run, schema + ", decoded string")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
+from rulespark.llm.common import map_arrow
 
 #: Which words of a window count.  Fixed values: any eight words in a row without a substitution hit
 #: the first; the others bridge single and double substitutions.
@@ -190,7 +191,7 @@ def benchmark_leaks(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for index in _indexes(benchmark, item_col, item_text_col):
-        found = texts.mapInArrow(_look_up(index, 0, least_overlap, least_share), LEAKS)
+        found = texts.transform(map_arrow, _look_up(index, 0, least_overlap, least_share), LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -201,6 +202,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         names, fields = docs.columns, docs.schema.fields
         schema = ", ".join([f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)] + ["leak boolean"])
         carried = docs.select(F.lit(None).cast("long").alias("d"), F.col(text_col).alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))
-        found = carried.mapInArrow(_look_up(index, len(names), least_overlap, least_share), schema).where("NOT leak")
+        found = carried.transform(map_arrow, _look_up(index, len(names), least_overlap, least_share), schema).where("NOT leak")
         docs = found.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
     return docs

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import HASHES, hash_rank, id_remainder, join_narrow
+from rulespark.llm.common import HASHES, hash_rank, id_remainder, join_narrow, map_arrow
 
 #: Buckets of hashed n-grams, so the length of a vector.
 BUCKETS = 4096
@@ -165,7 +165,7 @@ def identify_language(
         .select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder("id", folds) != held_out_fold))
     )
-    counted = known.select("text").mapInArrow(_frequencies, "bucket int, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")).collect()
+    counted = known.select("text").transform(map_arrow, _frequencies, "bucket int, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")).collect()
     df = np.zeros(BUCKETS)
     total = 0
     for row in counted:
@@ -191,4 +191,4 @@ def identify_language(
         (id_remainder(F.col(id_col), folds) == held_out_fold).alias("held_out"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
         F.col(text_col).alias("text"),
-    ).mapInArrow(_predict(model, least_cosine), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    ).transform(map_arrow, _predict(model, least_cosine), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

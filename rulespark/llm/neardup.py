@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import join_narrow, shared_checkpoint
+from rulespark.llm.common import join_narrow, map_arrow, shared_checkpoint
 from rulespark.llm.graph import connected_components
 
 #: At a similarity of 0.75, 32 bands of 4 minima miss a pair with probability 5e-6.
@@ -231,7 +231,7 @@ def linked_components(
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", "x", "y")
-        .mapInArrow(_confirm(percent), "a long, b long")
+        .transform(map_arrow, _confirm(percent), "a long, b long")
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
     found = connected_components(links)
@@ -291,7 +291,7 @@ def near_duplicates(
     gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = shared_checkpoint(source.mapInArrow(signer(width, bands, rows), SIGNED))
+    signed = shared_checkpoint(source.transform(map_arrow, signer(width, bands, rows), SIGNED))
     names = ("n_shingles", "h1", "h2")
     classes = (
         signed.where("n_shingles > 0")
@@ -309,11 +309,11 @@ def near_duplicates(
             pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
             .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
             .select("a", "b", "x", "y")
-            .mapInArrow(_signature_filter(percent / 100 - SIGNATURE_MARGIN), "a long, b long")
+            .transform(map_arrow, _signature_filter(percent / 100 - SIGNATURE_MARGIN), "a long, b long")
         )
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return join_narrow(source, wanted, "id", "left_semi").mapInArrow(set_maker(width), "id long, shingles binary")
+        return join_narrow(source, wanted, "id", "left_semi").transform(map_arrow, set_maker(width), "id long, shingles binary")
 
     found = linked_components(banded, sets_of, percent, by_signature)
 

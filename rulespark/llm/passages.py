@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import join_narrow
+from rulespark.llm.common import join_narrow, map_arrow
 
 #: Words that a piece needs to be compared; shorter ones only bridge.
 PIECE_WORDS = 5
@@ -75,7 +75,7 @@ def repeated_passages(source: DataFrame, passage_words: int = PASSAGE_WORDS) ->
     (doc_id, start_word) stays, the others are removed.  Rows with a null id
     are left out: they can't be told from each other.
     """
-    listed = source.where("doc_id IS NOT NULL").mapInArrow(_list, "doc_id long, version long, start_word int, n_words int, node long")
+    listed = source.where("doc_id IS NOT NULL").transform(map_arrow, _list, "doc_id long, version long, start_word int, n_words int, node long")
     shared = (
         listed.groupBy("node")
         .agg(F.min(F.struct("doc_id", "start_word")).alias("_first"), F.max("doc_id").alias("_last"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import first_by_hash, id_remainder, join_narrow, labelled
+from rulespark.llm.common import first_by_hash, id_remainder, join_narrow, labelled, map_arrow
 
 #: Buckets of hashed n-grams; the model is that many 4-byte weights.
 BUCKETS = 1 << 18
@@ -137,7 +137,7 @@ def classify_quality(
     rows = (
         join_narrow(texts, sample, "id")
         .select("id", "label", "text")
-        .mapInArrow(_featurise(buckets), "id long, label int, ngrams binary")
+        .transform(map_arrow, _featurise(buckets), "id long, label int, ngrams binary")
         .withColumn("turn", F.xxhash64("id", F.lit(5)))
         .withColumn("shard", F.pmod("turn", F.lit(SHARDS)))
     )
@@ -145,4 +145,4 @@ def classify_quality(
     model = np.mean([np.frombuffer(r["weights"], np.float32) for r in learned] or [np.zeros(buckets + 1, np.float32)], axis=0)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (id_remainder(F.col(id_col), folds) == 0).alias("held_out"), F.col(text_col).alias("text")
-    ).mapInArrow(_score(spark.sparkContext.broadcast(model.astype(np.float32)), buckets, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    ).transform(map_arrow, _score(spark.sparkContext.broadcast(model.astype(np.float32)), buckets, threshold), "doc_id long, held_out boolean, score double, predicted int")

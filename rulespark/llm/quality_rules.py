@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import join_narrow, labelled
+from rulespark.llm.common import join_narrow, labelled, map_arrow
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 16
@@ -123,7 +123,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counted = (
         join_narrow(texts, trusted, "id", "left")
         .select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-        .mapInArrow(_counts, "bucket int, raw long, trusted long")
+        .transform(map_arrow, _counts, "bucket int, raw long, trusted long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
         .collect()
@@ -135,7 +135,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     raw_share = (raw + 1) / (raw.sum() + BUCKETS)
     ratio = np.log((good + raw_share * BUCKETS) / (good.sum() + BUCKETS)) - np.log(raw_share)
     model = spark.sparkContext.broadcast(ratio)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(
+        map_arrow,
         _judge(model, threshold),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, log_ratio double",
     )

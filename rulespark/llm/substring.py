@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import BROADCAST_ROWS, join_narrow, shared_checkpoint
+from rulespark.llm.common import BROADCAST_ROWS, join_narrow, map_arrow, shared_checkpoint
 from rulespark.llm.neardup import linked_components
 from rulespark.llm.passages import PASSAGE_WORDS, repeated_passages
 
@@ -159,13 +159,13 @@ def repeated_paragraphs(
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     texts = source.select("text")
-    listed = shared_checkpoint(source.mapInArrow(_list(width, least_words), "doc_id long, version long, start_word int, n_words int, node long"))
+    listed = shared_checkpoint(source.transform(map_arrow, _list(width, least_words), "doc_id long, version long, start_word int, n_words int, node long"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        found = texts.mapInArrow(_sets(width, least_words), "id long, shingles binary")
+        found = texts.transform(map_arrow, _sets(width, least_words), "id long, shingles binary")
         return join_narrow(found, wanted, "id", "left_semi").dropDuplicates(["id"])
 
-    linked = linked_components(texts.mapInArrow(_band(width, least_words, bands, rows), "node long, bucket long"), sets_of, percent)
+    linked = linked_components(texts.transform(map_arrow, _band(width, least_words, bands, rows), "node long, bucket long"), sets_of, percent)
 
     # One row for each distinct paragraph, so a line that stands in a third of all texts is one row here.
     alone = listed.groupBy("node").agg(

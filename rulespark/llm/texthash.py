@@ -1,7 +1,7 @@
 """Vectorised hashing of words and word windows over Arrow text columns.
 
 A task sees its texts as one byte buffer with offsets.  Every function here
-works on whole buffers with numpy, in slices of about a megabyte, so a very
+works on whole buffers with numpy, in slices of about a quarter of a megabyte, so a very
 long text costs memory in proportion to itself only and a null text counts as
 an empty one.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time (a longer text is handled alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Space and the control characters from tab to carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -39,7 +39,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     inverse = np.uint64(pow(_BASE, -1, 1 << 64))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import first_by_hash, id_remainder, join_narrow, labelled, shared_checkpoint
+from rulespark.llm.common import first_by_hash, id_remainder, join_narrow, labelled, map_arrow, shared_checkpoint
 
 #: The most confirmed and the most unlabelled texts that are learned from.
 POSITIVE_ROWS, UNLABELLED_ROWS = 6_000, 12_000
@@ -145,7 +145,7 @@ def score_toxicity(
     others = texts.select("id").where(F.col("id").isNotNull() & (id_remainder("id", folds) != 0)).distinct()
     unlabelled = first_by_hash(others.join(positive.select("id"), "id", "left_anti"), unlabelled_rows).select("id", F.lit(0).alias("label"))
     sample = shared_checkpoint(positive.select("id", "label").unionByName(unlabelled))
-    rows = join_narrow(texts, sample, "id").select("id", "label", "text").mapInArrow(_word_features, "id long, label int, words array<long>")
+    rows = join_narrow(texts, sample, "id").select("id", "label", "text").transform(map_arrow, _word_features, "id long, label int, words array<long>")
     # A text counts once however many copies the sample has, and a confirmed text is not unlabelled.
     rows = rows.withColumn("sign", F.xxhash64("words")).groupBy("sign").agg(F.max_by(F.struct("label", "id", "words"), F.struct("label", "id")).alias("row"))
     rows = shared_checkpoint(rows.select("row.id", "row.label", "row.words"))
@@ -181,7 +181,7 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32()))], names=["id", "label", "at"])
 
     learned = (
-        rows.mapInArrow(narrowed, "id long, label int, at array<int>")
+        rows.transform(map_arrow, narrowed, "id long, label int, at array<int>")
         .withColumn("shard", F.explode(F.when(F.col("label") == 1, F.sequence(F.lit(0), F.lit(CLASSIFIERS - 1))).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(CLASSIFIERS)).cast("int")))))
         .groupBy("shard")
         .applyInArrow(_learn(len(names), prior), "weights array<double>")
@@ -192,4 +192,4 @@ def score_toxicity(
     model = spark.sparkContext.broadcast((names, weights))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (id_remainder(F.col(id_col), folds) == 0).alias("held_out"), F.col(text_col).alias("text")
-    ).mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    ).transform(map_arrow, _score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
