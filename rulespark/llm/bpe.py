@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespark.llm.common import map_arrow
+from rulespark.llm.common import map_arrow, release_memory
 
 #: Characters of text after which a block ends (a longer text is a block of its own).
 BLOCK_CHARS = 32 << 20
@@ -197,7 +197,7 @@ def _gather(values: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tupl
 
 
 def _join_ids(path: str, carry_ids: bool):
-    def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+    def join(texts: pa.Table, words: pa.Table) -> pa.Table:
         number = words.column("number").to_numpy()
         order = np.argsort(number, kind="stable")
         new = np.ones(len(order), bool)
@@ -232,6 +232,12 @@ def _join_ids(path: str, carry_ids: bool):
             }
         )
 
+    def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        try:
+            return join(texts, words)
+        finally:
+            release_memory()
+
     return run
 
 
