@@ -1,10 +1,11 @@
 """Passages that repeat across documents though other text is glued to their ends.
 
 Paragraphs (see ``substring``) are compared whole, so a passage that was set
-into the middle of a paragraph would be missed.  Here a text is parted at
-sentence ends, and at words that a hash picks, into pieces; the inner pieces of
-a passage are the same wherever it stands.  Pieces of enough words that stand
-in several documents are joined to runs, and long runs are passages.
+into the middle of a paragraph would be missed.  Here every window of
+``passage_words`` words is compared, whatever its punctuation.  So that few of
+them leave their task, the smallest hash of the shorter word runs within a
+window is its anchor (winnowing): equal windows have equal anchors, and only
+windows whose anchor stands in several documents are counted by their own hash.
 """
 
 from __future__ import annotations
@@ -17,75 +18,129 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import join_narrow, map_arrow
+from rulespark.llm.common import join_narrow, map_arrow, shared_checkpoint
 
-#: Words that a piece needs to be compared; shorter ones only bridge.
-PIECE_WORDS = 5
+#: Words in a row, equal in two documents, that make a passage.
+PASSAGE_WORDS = 50
 
-#: Words of repeated pieces in a row that make a passage.  A passage of over 50 words may lose a piece at either end.
-PASSAGE_WORDS = 30
+#: Words of the runs that anchors are chosen from (a third of a passage, if that is less).
+ANCHOR_WORDS = 16
 
-#: Without a sentence end, one word in so many ends a piece.
-CUT_ONE_IN = 32
 
+def _run_names(total: np.ndarray, down: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words, from the running total of the words' hashes."""
+    size = max(len(total) - width, 0)
+    with np.errstate(over="ignore"):
+        return th.mix((total[width:] - total[:size]) * down[:size] + np.uint64(width))
+
+
+def _smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each ``width`` values in a row."""
+    out, done = values, 1
+    while done < width:
+        step = min(done, width - done)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        done += step
+    return out
 
-def pieces(texts: th.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, words, fingerprint of the words) of each piece, A-Z lower-cased."""
+
+def anchored_windows(texts: th.Texts, passage_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, anchor, hash) of each window of ``passage_words`` words, A-Z lower-cased."""
     found = th.words(texts)
     n = len(found.start)
-    if not n:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    if n < passage_words:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     hashes, owner = th.span_hashes(th.LOWER[texts.data], found), found.owner
-    breaks = np.concatenate([[0], np.cumsum(texts.data == 10)])
-    after = np.append(found.start[1:], len(texts.data))
-    ends = (texts.data[found.end - 1] == ord(".")) | (breaks[after] > breaks[found.end])
-    ends |= (hashes >> np.uint64(7)) % np.uint64(CUT_ONE_IN) == 0
-    ends[:-1] |= owner[1:] != owner[:-1]
-    ends[-1] = True
-    stop = np.flatnonzero(ends) + 1
-    start = np.concatenate([[0], stop[:-1]])
     up, down = th.powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(th.mix(hashes) * up[:n], out=total[1:])
-        name = th.mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
-    return owner[start], start - found.first[owner[start]], stop - start, name
+    width = min(ANCHOR_WORDS, -(-passage_words // 3))
+    anchor = _smallest(_run_names(total, down, width), passage_words - width + 1)
+    place = np.flatnonzero(owner[: n - passage_words + 1] == owner[passage_words - 1 :])
+    return owner[place], place - found.first[owner[place]], anchor[place], _run_names(total, down, passage_words)[place]
+
 
+def _list(passage_words: int, with_windows: bool):
+    """(doc_id, version, text) to (doc_id, version, start_word, anchor, windows): a row for windows in a row of one anchor."""
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, version, text) to (doc_id, version, start_word, n_words, node)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in th.slices(batch.column(2)):
+                text, first, anchor, name = anchored_windows(texts, passage_words)
+                if not len(text):
+                    continue
+                start = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])]))
+                at = pa.array(texts.first + text[start], pa.int64())
+                columns = {"doc_id": batch.column(0).take(at), "anchor": pa.array(anchor[start].view(np.int64))}
+                if with_windows:
+                    offsets = np.append(start, len(text)) * 8
+                    blobs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(name)])
+                    columns |= {"version": batch.column(1).take(at), "start_word": pa.array(first[start], pa.int32()), "windows": blobs}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, doc_id, start_word, last_id, windows) to (block, at, doc_id, start_word, last_id, node): a row for each window."""
     for batch in batches:
-        for texts in th.slices(batch.column(2)):
-            text, first, size, name = pieces(texts)
-            long = size >= PIECE_WORDS
-            at = pa.array(texts.first + text[long], pa.int64())
+        for k in range(0, len(batch), 1024):
+            part = batch.slice(k, 1024)
+            blobs = part.column(4).to_pylist()
+            size = np.array([len(b) // 8 for b in blobs])
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            row = pa.array(np.repeat(np.arange(len(blobs)), size))
+            start = np.repeat(part.column(2).to_numpy(), size) + within
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first[long], pa.int32()), pa.array(size[long], pa.int32()), pa.array(name[long].view(np.int64))],
-                names=["doc_id", "version", "start_word", "n_words", "node"],
+                [part.column(0).take(row), pa.array(within, pa.int32()), part.column(1).take(row), pa.array(start, pa.int32()), part.column(3).take(row), pa.array(np.frombuffer(b"".join(blobs), np.int64))],
+                names=["block", "at", "doc_id", "start_word", "last_id", "node"],
             )
 
 
+def _in_a_row(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, start, end, first_doc_id, shift): rows that touch or overlap and first stand in one place, put together."""
+    order = Window.partitionBy(*keys).orderBy(start)
+    goes_on = (F.col(start) - F.lag(end).over(order) <= 1) & (F.col("first_doc_id") == F.lag("first_doc_id").over(order)) & (F.col("shift") == F.lag("shift").over(order))
+    run = df.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    return run.groupBy(*keys, "_run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.first("first_doc_id").alias("first_doc_id"), F.first("shift").alias("shift")).drop("_run")
+
+
 def repeated_passages(source: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """(doc_id, version, start_word, n_words, node, first_doc_id, first_word, removed): a row for each piece of a passage.
+    """(doc_id, version, start_word, n_words, node, first_doc_id, first_word, removed): a row for each passage.
 
     ``source`` has (doc_id, version, text), ``version`` telling texts of one id
-    apart.  A piece repeats if it stands in two documents or more; runs of
-    repeated pieces, no more than PIECE_WORDS - 1 words apart, of
-    ``passage_words`` words or more are passages.  The piece of the smallest
-    (doc_id, start_word) stays, the others are removed.  Rows with a null id
-    are left out: they can't be told from each other.
+    apart.  A window of ``passage_words`` words repeats if it stands in two
+    documents or more; repeated windows in a row that first stand in a row too
+    (by the smallest (doc_id, start_word)) make a passage, up to its exact
+    ends.  What stands first stays, and so do windows that overlap their own
+    first one; the others are removed.  Rows with a null id are left out: they
+    can't be told from each other.
     """
-    listed = source.where("doc_id IS NOT NULL").transform(map_arrow, _list, "doc_id long, version long, start_word int, n_words int, node long")
+    named = source.where("doc_id IS NOT NULL")
+    anchors = named.transform(map_arrow, _list(passage_words, False), "doc_id long, anchor long")
+    several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_one"), F.max("doc_id").alias("_other")).where("_one != _other").select("anchor")
+    listed = named.transform(map_arrow, _list(passage_words, True), "doc_id long, anchor long, version long, start_word int, windows binary")
+    packed = join_narrow(listed, shared_checkpoint(several), "anchor", "left_semi").select("doc_id", "version", "start_word", F.xxhash64("windows").alias("block"), "windows")
+    packed = shared_checkpoint(packed)
+    # Equal blocks of windows are unpacked once, however many documents hold them.
+    blocks = packed.groupBy("block").agg(F.min(F.struct("doc_id", "start_word")).alias("_first"), F.max("doc_id").alias("last_id"), F.first("windows").alias("windows"))
+    blocks = shared_checkpoint(blocks.select("block", "_first.doc_id", "_first.start_word", "last_id", "windows"))
+    windows = blocks.transform(map_arrow, _unpack, "block long, at int, doc_id long, start_word int, last_id long, node long")
     shared = (
-        listed.groupBy("node")
-        .agg(F.min(F.struct("doc_id", "start_word")).alias("_first"), F.max("doc_id").alias("_last"))
+        windows.groupBy("node")
+        .agg(F.min(F.struct("doc_id", "start_word")).alias("_first"), F.max("last_id").alias("_last"))
         .where("_first.doc_id != _last")
         .select("node", F.col("_first.doc_id").alias("first_doc_id"), F.col("_first.start_word").alias("first_word"))
     )
-    hit = join_narrow(listed, shared, "node").dropDuplicates(["doc_id", "version", "start_word"])
-    order = Window.partitionBy("doc_id", "version").orderBy("start_word")
-    gap = F.col("start_word") - F.lag(F.col("start_word") + F.col("n_words")).over(order)
-    hit = hit.withColumn("_new", F.when(gap < PIECE_WORDS, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    hit = hit.withColumn("_words", F.sum("n_words").over(Window.partitionBy("doc_id", "version", "_run")))
-    removed = ~((F.col("doc_id") == F.col("first_doc_id")) & (F.col("start_word") == F.col("first_word")))
-    return hit.where(F.col("_words") >= passage_words).select("doc_id", "version", "start_word", "n_words", "node", "first_doc_id", "first_word", removed.alias("removed"))
+    hit = join_narrow(windows.select("block", "at", "node"), shared_checkpoint(shared), "node")
+    parts = shared_checkpoint(_in_a_row(hit.select("block", "at", "first_doc_id", (F.col("first_word") - F.col("at")).alias("shift")), ["block"], "at", "at"))
+    placed = join_narrow(packed.select("doc_id", "version", "start_word", "block"), parts, "block")
+    begin = F.col("start_word")
+    placed = placed.select("doc_id", "version", (begin + F.col("start")).alias("from"), (begin + F.col("end")).alias("to"), "first_doc_id", (F.col("shift") - begin).alias("shift"))
+    # Repeated rows give a part twice, at one place.
+    runs = _in_a_row(placed, ["doc_id", "version"], "from", "to")
+    first_word = F.col("start") + F.col("shift")
+    removed = ~((F.col("doc_id") == F.col("first_doc_id")) & (F.col("shift") > -passage_words))
+    n_words = F.col("end") - F.col("start") + passage_words
+    return runs.select("doc_id", "version", F.col("start").alias("start_word"), n_words.alias("n_words"), F.xxhash64("first_doc_id", first_word).alias("node"), "first_doc_id", first_word.alias("first_word"), removed.alias("removed"))

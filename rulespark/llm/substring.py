@@ -148,8 +148,9 @@ def repeated_paragraphs(
 
     Paragraphs are linked if their ``width``-word window sets share ``percent``
     per cent of the union; of a component that stands in two documents or
-    more, the paragraph of the smallest (doc_id, start_word) stays.  Pieces of
-    passages (see ``passages``) are equal, and the first stays likewise.
+    more, the paragraph of the smallest (doc_id, start_word) stays.  Passages
+    (see ``passages``) are ``passage_words`` equal words or more, found up to
+    their exact ends, and what stands first stays likewise.
 
     Null and empty texts and lines under ``least_words`` words have no
     paragraph.  Rows with a null id count as one document that comes last and

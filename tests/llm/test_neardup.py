@@ -162,6 +162,43 @@ def test_passages_in_the_middle_of_paragraphs(spark, tmp_path):
         assert left[k].startswith(template)
 
 
+def covered_by_brute_force(rows, size=50):
+    """(id, word) of every word in a run of ``size`` words that stands in two documents."""
+    where = defaultdict(set)
+    for k, t, *_ in rows:
+        words = t.translate(LOWER).split()
+        for i in range(len(words) - size + 1):
+            where[tuple(words[i : i + size])].add((k, i))
+    spots = [s for own in where.values() if len({k for k, _ in own}) > 1 for s in own]
+    return {(k, i + j) for k, i in spots for j in range(size)}
+
+
+@pytest.mark.parametrize("stops", [0, 3])
+def test_passages_of_short_or_no_sentences_equal_brute_force(spark, tmp_path, stops):
+    rng = random.Random(31 + stops)
+
+    def prose(n):
+        return [w + (rng.choice("!?.") if stops and k % stops == stops - 1 else "") for k, w in enumerate(sentence(rng, n).split())]
+
+    passages = [prose(n) for n in (49, 50, 51, 51, 60, 80)]
+    rows = []
+    for k in range(60):
+        words = prose(rng.randint(120, 200))
+        if k % 2 == 0:
+            at = rng.randrange(10, len(words) - 10)
+            words[at:at] = passages[k // 2 % 6]
+        rows.append((k, " ".join(words), "en", "s", 1))
+    docs = stored(spark, frame(spark, rows), tmp_path / "d")
+    found = repeated_paragraphs(docs).where("kind = 'passage'").collect()
+    want = covered_by_brute_force(rows)
+    assert {(r["doc_id"], r["start_word"] + j) for r in found for j in range(r["n_words"])} == want
+    assert len({k for k, _ in want}) == 25
+    left = {r["doc_id"]: len(r["text"].split()) for r in without_repeats(docs).collect()}
+    for k, t, *_ in rows:
+        gone = len([1 for d, _ in want if d == k]) if k >= 12 else 0
+        assert left[k] == len(t.split()) - gone
+
+
 def test_cutting_spans():
     text = " one two\n\nthree é four\nfive "
     assert without_spans(text, [1 * SPAN_BASE + 2]) == " one é four\nfive "
