@@ -111,6 +111,25 @@ def best_stretch(equal: np.ndarray, share: float) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
+def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int, int]:
+    """(start, words, equal words) of the longest stretch of which ``share`` or more are equal."""
+    total = np.concatenate([[0.0], np.cumsum(equal - share)])
+    # The first place whose running total is no larger than that of the end; sums are a little off.
+    first = np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9, "left")
+    size = np.arange(len(total)) - first
+    end = int(np.argmax(size))
+    return int(first[end]), int(size[end]), int(equal[first[end] : end].sum())
+
+
+def overlap(equal: np.ndarray, least_words: int, share: float) -> tuple[int, int, int] | None:
+    """A stretch of ``least_words`` words or more of which ``share`` or more are equal: the best, if it is long enough, else the longest."""
+    for stretch in (best_stretch, longest_stretch):
+        start, size, same = stretch(equal, share)
+        if size >= least_words:
+            return start, size, same
+    return None
+
+
 def _look_up(index, carry: int, least_overlap: int, least_share: float):
     """(doc_id, text) to LEAKS; with ``carry`` columns after them, to these columns and whether there is a leak."""
 
@@ -130,8 +149,8 @@ def _look_up(index, carry: int, least_overlap: int, least_share: float):
                     if length <= 0:
                         continue
                     equal = words[skip : skip + length] == hashes[base + first : base + first + length]
-                    start, size, same = best_stretch(equal, least_share)
-                    if size >= min(least_overlap, len(words)) and same >= least_share * size:
+                    if stretch := overlap(equal, min(least_overlap, len(words)), least_share):
+                        start, size, same = stretch
                         key = (int(text), int(item))
                         best[key] = max(best.get(key, (0, 0, 0, 0)), (same, size, int(first + start), int(skip + start)))
                 if carry:

@@ -12,7 +12,7 @@ import pytest
 
 from rulespark.llm import licenses, sharding
 from rulespark.llm.bpe import encode_texts
-from rulespark.llm.decontaminate import benchmark_leaks
+from rulespark.llm.decontaminate import benchmark_leaks, overlap
 from rulespark.llm.quality_rules import judge_quality
 from rulespark.llm.queries import vocabulary_path
 from tests.llm.fixtures import as_set, frame, odd_rows, sentence, stored
@@ -117,3 +117,21 @@ def test_decontamination_finds_planted_passages_and_leaves_the_rest(spark, chang
     rows += [(900, " ".join(items[0][1].split()[:4]), "en", "s", 1)]
     found = benchmark_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
+def test_overlaps_equal_brute_force_and_meet_the_declared_rule(spark):
+    rng = np.random.default_rng(13)
+    for _ in range(400):
+        equal = rng.random(rng.integers(1, 60)) < rng.choice([0.5, 0.7, 0.8, 0.9])
+        spans = [(i, j) for i in range(len(equal)) for j in range(i + 12, len(equal) + 1) if 4 * equal[i:j].sum() >= 3 * (j - i)]
+        got = overlap(equal, 12, 0.75)
+        assert (got is None) == (not spans)
+        if got:
+            assert (got[0], got[0] + got[1]) in spans and got[2] == equal[got[0] : got[0] + got[1]].sum()
+    words = random.Random(14)
+    items = [sentence(words, n) for n in (13, 48, 16)]
+    changed = [lambda i: i == 10, lambda i: i % 4 == 3, lambda i: i in (3, 4, 5, 6, 7)]
+    rows = [(k, " ".join("zz" if c(i) else w for i, w in enumerate(t.split())), "en", "s", 1) for k, (t, c) in enumerate(zip(items, changed))]
+    found = benchmark_leaks(frame(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} >= {(0, 0)} and (2, 2) not in {(r["doc_id"], r["item_id"]) for r in found}
+    assert all(r["n_words"] >= 12 and 4 * r["n_equal"] >= 3 * r["n_words"] for r in found)
