@@ -3,7 +3,7 @@
 License notices are templates: lists of words, some of which are mandatory key
 phrases.  The corpus gives each template word an inverse document frequency.
 In a text, the license words with the highest ones are looked up in the
-templates' postings; hits that agree on where a template would begin are a
+templates' postings, however frequent they are; hits that agree on where a template would begin are a
 candidate, which counts once its key phrases stand in their places.
 """
 
@@ -41,9 +41,6 @@ TEMPLATES = [
     ("unlicense", "this is [free and unencumbered software] released into the public domain"),
 ]
 
-#: Words in more than this share of the texts are no rare tokens.
-MOST_SHARE = 0.1
-
 #: Rare words of a text that are looked up, and hits that must agree.
 LOOKED_UP, LEAST_HITS = 8, 2
 
@@ -109,7 +106,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted = texts.select(F.explode(F.concat(F.col("known"), F.array(F.lit(None).cast("string")))).alias("word")).groupBy("word").count().collect()
     number = {r["word"]: r["count"] for r in counted}
     total = number.pop(None, 0)
-    idf = {w: math.log((total + 1) / (number.get(w, 0) + 1)) for w in VOCABULARY if number.get(w, 0) <= MOST_SHARE * total}
+    idf = {w: math.log((total + 1) / (number.get(w, 0) + 1)) for w in VOCABULARY}
     postings = {w: [(t, k) for t, (_, words, _) in enumerate(PARSED) for k, x in enumerate(words) if x == w] for w in idf}
     postings = {w: p for w, p in postings.items() if p}
 

@@ -56,6 +56,17 @@ def test_licenses_equal_sql(spark):
     assert {r["labels"] for r in out.collect()} >= {"gpl,gpl-3.0", "cc-by,cc-by-nc-4.0", "mit", "apache", "cc-by,cc-by-sa-4.0", "bsd-3-clause", "unlicense", ""}
 
 
+def test_licenses_equal_sql_however_frequent_a_notice_is(spark):
+    rng = random.Random(16)
+    notice = "Licensed under the Apache License, Version 2.0"
+    many = [(k, sentence(rng, 12) + " " + (notice if k % 3 == 0 else ""), "en", "s", 1) for k in range(90)]
+    few = [(k, t, "en", "s", 1) for k, t in enumerate([notice, "Released under the MIT License", "free and unencumbered software"])]
+    for rows, wanted in ((many, {"apache,apache-2.0", ""}), (few, {"apache,apache-2.0", "mit", "unlicense"})):
+        out = licenses.scan_licenses(frame(spark, rows))
+        assert as_set(out) == sql_rows(licenses.SQL, rows, out.columns)
+        assert {r["labels"] for r in out.collect()} == wanted
+
+
 def test_bpe_equals_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
