@@ -2,9 +2,9 @@
 
 License notices are templates: lists of words, some of which are mandatory key
 phrases.  The corpus gives each template word an inverse document frequency.
-In a text, the license words with the highest ones are looked up in the
-templates' postings, however frequent they are; hits that agree on where a template would begin are a
-candidate, which counts once its key phrases stand in their places.
+The words of each template's key phrases with the highest ones have postings,
+however frequent they are; hits of a text that agree on where a template would
+begin are a candidate, which counts once its key phrases stand in their places.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ TEMPLATES = [
     ("unlicense", "this is [free and unencumbered software] released into the public domain"),
 ]
 
-#: Rare words of a text that are looked up, and hits that must agree.
-LOOKED_UP, LEAST_HITS = 8, 2
+#: Words of each template that are looked up: hits that must agree.
+LEAST_HITS = 2
 
 #: Score of a text that has a base phrase only.
 PHRASE_SCORE = 0.5
@@ -107,47 +107,45 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     number = {r["word"]: r["count"] for r in counted}
     total = number.pop(None, 0)
     idf = {w: math.log((total + 1) / (number.get(w, 0) + 1)) for w in VOCABULARY}
-    postings = {w: [(t, k) for t, (_, words, _) in enumerate(PARSED) for k, x in enumerate(words) if x == w] for w in idf}
-    postings = {w: p for w, p in postings.items() if p}
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, words, key_places) in enumerate(PARSED):
+        # A template that is found has all its key words, so any LEAST_HITS of them find it.
+        first = {words[k]: k for k in reversed(key_places)}
+        for w in sorted(first, key=lambda w: (-idf[w], w))[:LEAST_HITS]:
+            postings.setdefault(w, []).append((t, first[w]))
 
     found = texts.withColumn("base", F.array(*(F.struct(F.lit(label).alias("label"), _places(F.col("words"), F.col("known"), phrase).alias("at")) for phrase, label in PHRASES.items())))
     found = found.withColumn("places", F.flatten(F.transform("base", lambda b: b["at"])))
     base_labels = F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])))
     found = found.withColumn("base_labels", base_labels)
 
-    if postings:
-        weights = F.create_map(*(x for w, v in idf.items() for x in (F.lit(w), F.lit(-v))))
-        entry = F.create_map(*(x for w, p in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in p)))))
-        rare = F.array_intersect("known", F.lit(sorted(postings)))
-        ranked = F.slice(F.array_sort(F.transform(rare, lambda w: F.struct(F.element_at(weights, w).alias("v"), w.alias("w")))), 1, LOOKED_UP)
-        found = found.withColumn("rare", F.transform(ranked, lambda r: r["w"]))
-        hits = F.array_compact(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), F.struct(w.alias("w"), i.alias("i")))))
-        starts = F.array_sort(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(entry, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["k"]).alias("s"))))))
-        # A text with one rare word only can't give hits that agree.
-        found = found.withColumn("starts", F.when(F.size("rare") >= LEAST_HITS, starts).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
-        # Equal entries are neighbours now: those whose LEAST_HITS - 1 predecessors are equal count.
-        agreed = F.array_distinct(F.array_compact(F.transform("starts", lambda x, i: F.when(F.get(F.col("starts"), i - (LEAST_HITS - 1)) == x, x))))
-        notice = F.array(*(F.lit(words) for _, words, _ in PARSED))
-        keys = F.array(*(F.lit(k) for _, _, k in PARSED))
-        names = F.lit([label for label, _, _ in PARSED])
-
-        def verified(c: Column) -> Column:
-            words, own = F.col("words"), F.get(notice, c["t"])
-            same = F.forall(F.get(keys, c["t"]), lambda k: F.coalesce(F.get(words, c["s"] + k) == F.get(own, k), F.lit(False)))
-            return same
-
-        def share(c: Column) -> Column:
-            words, own = F.col("words"), F.get(notice, c["t"])
-            return F.size(F.filter(own_places(own), lambda k: F.coalesce(F.get(words, c["s"] + k) == F.get(own, k), F.lit(False)))) / F.size(own)
-
-        def own_places(own: Column) -> Column:
-            return F.sequence(F.lit(0), F.size(own) - 1)
-
-        found = found.withColumn("agreed", agreed).withColumn("verified", F.filter("agreed", verified))
-        templates = F.transform("verified", lambda c: F.get(names, c["t"]))
-        best = F.coalesce(F.array_max(F.transform("verified", share)), F.lit(0.0))
-    else:
-        templates, best = F.array().cast("array<string>"), F.lit(0.0)
+    entry = F.create_map(*(x for w, p in postings.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in p)))))
+    found = found.withColumn("rare", F.array_intersect("known", F.lit(sorted(postings))))
+    hits = F.array_compact(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), F.struct(w.alias("w"), i.alias("i")))))
+    starts = F.array_sort(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(entry, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["k"]).alias("s"))))))
+    # A text with one rare word only can't give hits that agree.
+    found = found.withColumn("starts", F.when(F.size("rare") >= LEAST_HITS, starts).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
+    # Equal entries are neighbours now: those whose LEAST_HITS - 1 predecessors are equal count.
+    agreed = F.array_distinct(F.array_compact(F.transform("starts", lambda x, i: F.when(F.get(F.col("starts"), i - (LEAST_HITS - 1)) == x, x))))
+    notice = F.array(*(F.lit(words) for _, words, _ in PARSED))
+    keys = F.array(*(F.lit(k) for _, _, k in PARSED))
+    names = F.lit([label for label, _, _ in PARSED])
+
+    def verified(c: Column) -> Column:
+        words, own = F.col("words"), F.get(notice, c["t"])
+        same = F.forall(F.get(keys, c["t"]), lambda k: F.coalesce(F.get(words, c["s"] + k) == F.get(own, k), F.lit(False)))
+        return same
+
+    def share(c: Column) -> Column:
+        words, own = F.col("words"), F.get(notice, c["t"])
+        return F.size(F.filter(own_places(own), lambda k: F.coalesce(F.get(words, c["s"] + k) == F.get(own, k), F.lit(False)))) / F.size(own)
+
+    def own_places(own: Column) -> Column:
+        return F.sequence(F.lit(0), F.size(own) - 1)
+
+    found = found.withColumn("agreed", agreed).withColumn("verified", F.filter("agreed", verified))
+    templates = F.transform("verified", lambda c: F.get(names, c["t"]))
+    best = F.coalesce(F.array_max(F.transform("verified", share)), F.lit(0.0))
 
     phrase_score = F.when(F.size("base_labels") > 0, F.lit(PHRASE_SCORE)).otherwise(F.lit(0.0))
     return found.select(

@@ -67,6 +67,16 @@ def test_licenses_equal_sql_however_frequent_a_notice_is(spark):
         assert {r["labels"] for r in out.collect()} == wanted
 
 
+def test_licenses_equal_sql_with_several_notices_in_a_text(spark):
+    rng = random.Random(17)
+    notices = [" ".join(words) for _, words, _ in licenses.PARSED]
+    rows = [(k, " ".join(f"{n} {sentence(rng, 3)}" for n in rng.sample(notices, rng.randint(2, 14))), "en", "s", 1) for k in range(20)]
+    rows += [(100, " x ".join(notices), "en", "s", 1), *((200 + k, sentence(rng, 12), "en", "s", 1) for k in range(300))]
+    out = licenses.scan_licenses(frame(spark, rows))
+    assert as_set(out) == sql_rows(licenses.SQL, rows, out.columns)
+    assert {label for label, _, _ in licenses.PARSED} <= set(out.where("doc_id = 100").first()["labels"].split(","))
+
+
 def test_bpe_equals_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
