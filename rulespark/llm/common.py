@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,18 +18,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests on one machine) a temporary folder is used.
+    Where it is unset and Spark runs in one process (tests), a temporary folder
+    is used; a cluster without the setting is an error, as its machines share
+    no temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage: written once as a table in the shared folder, and read back from there.
+
+    Unlike ``df.checkpoint()`` this computes the rows once, keeps them in columns
+    and survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_shared(df: DataFrame) -> None:
+    """Delete the files of a table that ``shared_checkpoint`` made and nothing reads any more."""
+    spark = df.sparkSession
+    paths = {name.rpartition("/")[0] for name in df.inputFiles()}
+    for folder in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes of rows that go to a Python worker at a time: long texts then need no large buffers on either side.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import texthash as th
-from rulespark.llm.common import join_narrow, map_arrow, shared_checkpoint
+from rulespark.llm.common import drop_shared, join_narrow, map_arrow, shared_checkpoint
 from rulespark.llm.graph import connected_components
 
 #: At a similarity of 0.75, 32 bands of 4 minima miss a pair with probability 5e-6.
@@ -35,11 +35,11 @@ SIGNATURE_MARGIN = 0.2
 #: Members of a bucket compared at a time in one task.
 BLOCK = 512
 
-SIGNED = "id long, n_shingles long, h1 long, h2 long, sketch binary, bands array<long>"
+SIGNED = "id long, version long, n_shingles long, h1 long, h2 long, sketch binary, bands array<long>"
 
 
 def signer(width: int, bands: int, rows: int):
-    """Arrow batches of (id, text) to batches of SIGNED."""
+    """Arrow batches of (id, version, text) to batches of SIGNED."""
     a = th.constants(bands * rows, 11)
     b = th.constants(bands * rows, 13, odd=False)
 
@@ -72,19 +72,20 @@ def signer(width: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in th.slices(batch.column(1)):
+            for texts in th.slices(batch.column(2)):
                 x = one(texts)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(texts.first, n),
+                        batch.column(1).slice(texts.first, n),
                         pa.array(x["n"], pa.int64()),
                         pa.array(x["h1"], pa.int64()),
                         pa.array(x["h2"], pa.int64()),
                         pa.array([bytes(s) for s in np.ascontiguousarray(x["sketch"].T)], pa.binary()),
                         th.list_array(x["keys"].ravel(), np.full(n, bands), pa.int64()),
                     ],
-                    names=["id", "n_shingles", "h1", "h2", "sketch", "bands"],
+                    names=["id", "version", "n_shingles", "h1", "h2", "sketch", "bands"],
                 )
 
     return run
@@ -215,13 +216,13 @@ def linked_components(
 ) -> DataFrame:
     """Components of nodes that share a bucket and whose sets are similar enough: (node, component).
 
-    ``banded`` has (node, bucket), a node once or more per bucket;
+    ``banded`` has (node, bucket), a node once (or a few times) per bucket;
     ``make_sets`` takes the nodes that share a bucket (column ``id``) and
     returns (id, shingles); ``prefilter`` thins pairs (a, b) before sets are read.
     Nodes that are linked with nothing are left out.
     """
     heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head != tail").select("bucket", "head")
-    members = shared_checkpoint(banded.join(heads, "bucket").select("bucket", "node", "head").distinct())
+    members = shared_checkpoint(banded.join(heads, "bucket").select("bucket", "node", "head"))
 
     pairs = members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     if prefilter is not None:
@@ -257,12 +258,16 @@ def linked_components(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", F.col("node").alias("id"), "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    more = (
+    more = shared_checkpoint(
         spread.join(sets, "id")
         .groupBy("bucket", "i", "j")
         .applyInArrow(_link_group(percent), "a long, b long")
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
+    for done in (members, sets):
+        drop_shared(done)
+    if more.isEmpty():
+        return found
     return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
@@ -275,12 +280,13 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
+    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept, version).
 
     Texts are linked if their sets of ``width``-word windows (A-Z lower-cased,
     words split at white space) share ``percent`` per cent of the union or
     more; a text with fewer words counts as one window.  ``component_id`` is
-    the smallest id that links reach, ``kept`` marks the row of that id.
+    the smallest id that links reach, ``kept`` marks the row of that id;
+    ``version`` is xxhash64 of the text, which tells two texts of an id apart.
 
     Null and empty texts and texts of white space have no window: linked with
     nothing, ``component_id`` their own id.  A null id names no component: the
@@ -290,7 +296,7 @@ def near_duplicates(
     them.  Other columns are ignored, whatever their names; an empty table
     gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     signed = shared_checkpoint(source.transform(map_arrow, signer(width, bands, rows), SIGNED))
     names = ("n_shingles", "h1", "h2")
     classes = (
@@ -313,18 +319,19 @@ def near_duplicates(
         )
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return join_narrow(source, wanted, "id", "left_semi").transform(map_arrow, set_maker(width), "id long, shingles binary")
+        return join_narrow(source.select("id", "text"), wanted, "id", "left_semi").transform(map_arrow, set_maker(width), "id long, shingles binary")
 
     found = linked_components(banded, sets_of, percent, by_signature)
 
     named = classes.select(*names, "node").join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return (
-        signed.select("id", *names)
+        signed.select("id", "version", *names)
         .join(named, list(names), "left")
         .select(
             F.col("id").alias("doc_id"),
             "n_shingles",
             F.coalesce("component_id", "id").alias("component_id"),
             F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.col("component_id").isNull()).alias("kept"),
+            "version",
         )
     )

@@ -6,8 +6,10 @@ on their full window sets, and what is linked forms components.  Of each
 component that spans several documents, the first paragraph stays and the
 others are removed.
 
-Banding compares whole paragraphs, so a passage set into the middle of one is
-beyond it; ``passages`` finds those, and its rows are added.
+A passage set into the middle of a line is a paragraph of its own: ``passages``
+bands every window of so many words, and its rows are added.  One scan of the
+texts lists both; it is written once, and later steps read texts only where
+something collided.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from rulespark.llm import texthash as th
 from rulespark.llm.common import BROADCAST_ROWS, join_narrow, map_arrow, shared_checkpoint
 from rulespark.llm.neardup import linked_components
-from rulespark.llm.passages import PASSAGE_WORDS, repeated_passages
+from rulespark.llm.passages import LEAST_DISTINCT, PASSAGE_WORDS, repeated_passages, window_runs
 
 #: Words that a line needs to count as a paragraph.
 LEAST_WORDS = 25
@@ -32,79 +34,82 @@ LEAST_WORDS = 25
 #: At a similarity of 0.75, 12 bands of 3 minima miss a pair with probability 0.0014, at 0.8 with 0.0002.
 BANDS, ROWS = 12, 3
 
+#: A row for each paragraph (with bands) and for each run of windows (with an anchor).
+LISTED = "doc_id long, version long, start_word int, n int, node long, anchor long, bands array<long>"
 
-def paragraphs(texts: th.Texts, least_words: int) -> tuple[th.Texts, np.ndarray, np.ndarray]:
-    """The paragraphs as texts of their own, with the text and the first word of each."""
-    rows, found = th.lines(texts), th.words(texts)
-    before = np.searchsorted(found.start, rows.start)
-    n_words = np.searchsorted(found.start, rows.end) - before
-    long = np.flatnonzero(n_words >= least_words)
-    owner = rows.owner[long]
-    number = before[long] - found.first[owner]
-    size = rows.end[long] - rows.start[long]
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(rows.start[long] - offsets[:-1], size) + np.arange(offsets[-1])
-    return th.Texts(0, texts.data[take], offsets), owner, number
 
-
-def _fingerprints(hashes: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+def _fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint of each paragraph's window set: the name of its class."""
-    out = np.zeros(size, np.uint64)
-    counts = np.bincount(text, minlength=size)
-    some = np.flatnonzero(counts)
-    if len(some):
-        with np.errstate(over="ignore"):
-            out[some] = np.add.reduceat(th.mix(hashes + np.uint64(1)), (np.cumsum(counts) - counts)[some])
-    return out
-
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(th.mix(hashes + np.uint64(1)), first) if len(first) else np.zeros(0, np.uint64)
+
+
+def paragraphs(texts: th.Texts, found: th.Spans, shingles: np.ndarray, place: np.ndarray, width: int, least_words: int) -> tuple[np.ndarray, ...]:
+    """(text, first word, words) of each paragraph, the distinct window hashes of all, and where each begins among them."""
+    rows = th.lines(texts)
+    first, after = np.searchsorted(found.start, rows.start), np.searchsorted(found.start, rows.end)
+    long = np.flatnonzero(after - first >= max(least_words, width))
+    owner, first, size = rows.owner[long], first[long], (after - first)[long]
+    if not len(long) or not len(place):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    line = np.searchsorted(first, place, "right") - 1
+    own = np.flatnonzero((line >= 0) & (place + width <= (first + size)[line]))
+    hashes, line = th.distinct(shingles[own], line[own])
+    counts = np.bincount(line, minlength=len(long))
+    varied = counts >= LEAST_DISTINCT * (size - width + 1)
+    hashes = hashes[varied[line]]
+    counts = counts[varied]
+    return owner[varied], first[varied] - found.first[owner[varied]], size[varied], hashes, np.cumsum(counts) - counts
+
+
+def _hashed(texts: th.Texts, width: int) -> tuple[th.Spans, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some texts, their hashes, and the hashes and first words of all runs of ``width``; A-Z lower-cased."""
+    found = th.words(texts)
+    hashes = th.span_hashes(th.LOWER[texts.data], found)
+    shingles, _, place = th.windows(hashes, found, width, short=False)
+    return found, hashes, shingles, place
+
+
+def _list(width: int, least_words: int, bands: int, rows: int, passage_words: int):
+    """(doc_id, version, text) to LISTED."""
+    a, b = th.constants(bands * rows, 31), th.constants(bands * rows, 37, odd=False)
 
-def _list(width: int, least_words: int):
-    """(doc_id, version, text) to (doc_id, version, start_word, n_words, node)."""
+    def keys_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        n = len(first)
+        keys, room = np.zeros((n, bands), np.uint64), np.empty_like(hashes)
+        with np.errstate(over="ignore"):
+            for j in range(bands if n else 0):
+                key = np.full(n, j + 1, dtype=np.uint64)
+                for k in range(j * rows, (j + 1) * rows):
+                    np.multiply(hashes, a[k], out=room)
+                    room += b[k]
+                    key = th.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(room, first))
+                keys[:, j] = key
+        return keys
+
+    def rows_of(batch: pa.RecordBatch, texts: th.Texts, owner, start, n, node, anchor, keys) -> pa.RecordBatch:
+        at = pa.array(texts.first + owner, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(at),
+                batch.column(1).take(at),
+                pa.array(start, pa.int32()),
+                pa.array(n, pa.int32()),
+                pa.array(node.view(np.int64)),
+                pa.nulls(len(owner), pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)),
+                pa.nulls(len(owner), pa.list_(pa.int64())) if keys is None else th.list_array(keys.view(np.int64).ravel(), np.full(len(owner), bands), pa.int64()),
+            ],
+            names=["doc_id", "version", "start_word", "n", "node", "anchor", "bands"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in th.slices(batch.column(2)):
-                parts, owner, number = paragraphs(texts, least_words)
-                hashes, text = th.lowered_windows(parts, width)
-                at = pa.array(texts.first + owner, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(at),
-                        batch.column(1).take(at),
-                        pa.array(number, pa.int32()),
-                        pa.array(th.words(parts).counts, pa.int32()),
-                        pa.array(_fingerprints(hashes, text, len(parts)).view(np.int64)),
-                    ],
-                    names=["doc_id", "version", "start_word", "n_words", "node"],
-                )
-
-    return run
-
-
-def _band(width: int, least_words: int, bands: int, rows: int):
-    """(text) to (node, bucket), a row for each band of each paragraph."""
-    a, b = th.constants(bands * rows, 31), th.constants(bands * rows, 37, odd=False)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in th.slices(batch.column(0)):
-                parts, _, _ = paragraphs(texts, least_words)
-                n = len(parts)
-                if not n:
-                    continue
-                hashes, text = th.lowered_windows(parts, width)
-                first = np.searchsorted(text, np.arange(n))
-                keys, room = np.zeros((n, bands), np.uint64), np.empty_like(hashes)
-                with np.errstate(over="ignore"):
-                    for j in range(bands):
-                        key = np.full(n, j + 1, dtype=np.uint64)
-                        for k in range(j * rows, (j + 1) * rows):
-                            np.multiply(hashes, a[k], out=room)
-                            room += b[k]
-                            key = th.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(room, first))
-                        keys[:, j] = key
-                node = _fingerprints(hashes, text, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, bands).view(np.int64)), pa.array(keys.ravel().view(np.int64))], names=["node", "bucket"])
+                found, words, shingles, place = _hashed(texts, width)
+                owner, start, size, hashes, first = paragraphs(texts, found, shingles, place, width, least_words)
+                yield rows_of(batch, texts, owner, start, size, _fingerprints(hashes, first), None, keys_of(hashes, first))
+                owner, start, size, block, anchor = window_runs(found, words, shingles, place, width, passage_words)
+                yield rows_of(batch, texts, owner, start, size, block, anchor, None)
 
     return run
 
@@ -115,14 +120,11 @@ def _sets(width: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in th.slices(batch.column(0)):
-                parts, _, _ = paragraphs(texts, least_words)
-                hashes, text = th.lowered_windows(parts, width)
-                cut = np.searchsorted(text, np.arange(len(parts) + 1))
+                found, _, shingles, place = _hashed(texts, width)
+                _, _, _, hashes, first = paragraphs(texts, found, shingles, place, width, least_words)
+                cut = np.append(first, len(hashes))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(_fingerprints(hashes, text, len(parts)).view(np.int64)),
-                        pa.array([hashes[cut[i] : cut[i + 1]].tobytes() for i in range(len(parts))], pa.binary()),
-                    ],
+                    [pa.array(_fingerprints(hashes, first).view(np.int64)), pa.array([hashes[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())],
                     names=["id", "shingles"],
                 )
 
@@ -150,7 +152,9 @@ def repeated_paragraphs(
     per cent of the union; of a component that stands in two documents or
     more, the paragraph of the smallest (doc_id, start_word) stays.  Passages
     (see ``passages``) are ``passage_words`` equal words or more, found up to
-    their exact ends, and what stands first stays likewise.
+    their exact ends, and what stands first stays likewise.  What mostly
+    repeats itself (fewer than LEAST_DISTINCT of its windows distinct, such as
+    one word over and over) is neither.
 
     Null and empty texts and lines under ``least_words`` words have no
     paragraph.  Rows with a null id count as one document that comes last and
@@ -159,20 +163,27 @@ def repeated_paragraphs(
     result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    texts = source.select("text")
-    listed = shared_checkpoint(source.transform(map_arrow, _list(width, least_words), "doc_id long, version long, start_word int, n_words int, node long"))
+    listed = shared_checkpoint(source.transform(map_arrow, _list(width, least_words, bands, rows, passage_words), LISTED))
+    lines = listed.where("anchor IS NULL")
+
+    # One row for each distinct paragraph, so a line that stands in a third of all texts is one row here.
+    alone = shared_checkpoint(
+        lines.groupBy("node").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start_word", "version")).alias("first"),
+            F.max(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("other"),
+            F.first("bands").alias("bands"),
+        )
+    )
 
     def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of these paragraphs, each from the first text that holds it."""
+        holders = alone.join(wanted, alone["node"] == wanted["id"], "left_semi").select(F.col("first.version").alias("version"), F.col("first.doc_id").alias("_id")).distinct()
+        texts = join_narrow(source, holders, "version").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
         found = texts.transform(map_arrow, _sets(width, least_words), "id long, shingles binary")
         return join_narrow(found, wanted, "id", "left_semi").dropDuplicates(["id"])
 
-    linked = linked_components(texts.transform(map_arrow, _band(width, least_words, bands, rows), "node long, bucket long"), sets_of, percent)
+    linked = linked_components(alone.select("node", F.explode("bands").alias("bucket")), sets_of, percent)
 
-    # One row for each distinct paragraph, so a line that stands in a third of all texts is one row here.
-    alone = listed.groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start_word")).alias("first"),
-        F.max(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("other"),
-    )
     parts = shared_checkpoint(alone.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first", "other"))
     groups = (
         parts.groupBy("component")
@@ -180,11 +191,13 @@ def repeated_paragraphs(
         .where(~F.col("first.doc_id").eqNullSafe(F.col("other.doc_id")))
         .select("component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start_word").alias("first_word"))
     )
-    wanted = parts.select("node", "component").join(groups, "component")
+    wanted = shared_checkpoint(parts.select("node", "component").join(groups, "component"))
     removed = ~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start_word") == F.col("first_word")))
     columns = ["doc_id", "version", "kind", "start_word", "n_words", "component", "first_doc_id", "first_word", "removed"]
-    whole = join_narrow(listed, wanted, "node").withColumns({"kind": F.lit("paragraph"), "removed": removed}).select(*columns)
-    glued = repeated_passages(source, passage_words).withColumnRenamed("node", "component").withColumn("kind", F.lit("passage"))
+    lines = lines.select("doc_id", "version", "start_word", F.col("n").alias("n_words"), "node")
+    whole = join_narrow(lines, wanted, "node").withColumns({"kind": F.lit("paragraph"), "removed": removed}).select(*columns)
+    runs = listed.where("anchor IS NOT NULL").drop("bands")
+    glued = repeated_passages(runs, source, passage_words).withColumnRenamed("node", "component").withColumn("kind", F.lit("passage"))
     return whole.unionByName(glued.select(*columns))
 
 
