@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,7 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
+#: The tables made since ``scratch_tables`` was entered.
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+def shared_checkpoint(df: DataFrame, scratch: bool = True) -> DataFrame:
     """Cut the lineage: written once as a table in the shared folder, and read back from there.
 
     Unlike ``df.checkpoint()`` this computes the rows once, keeps them in columns
@@ -43,7 +49,23 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch and (made := _SCRATCH.get()) is not None:
+        made.append(out)
+    return out
+
+
+@contextmanager
+def scratch_tables() -> Iterator[None]:
+    """At the end, delete the tables that were made within (but for those made with ``scratch=False``)."""
+    made: list[DataFrame] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for out in made:
+            drop_shared(out)
 
 
 def drop_shared(df: DataFrame) -> None:

@@ -3,8 +3,9 @@
 A text is a normalised TF-IDF vector of hashed letter n-grams.  The document
 frequencies cover every training text; the centroids, several per language,
 come from spherical k-means over a bounded sample of each language.  A text
-takes the language of the centroid with the largest cosine, and is rejected if
-that cosine is below a bound.
+takes the language of the centroid with the largest cosine.  It is rejected if
+that cosine is far below those of the training texts of this language and about
+this length: the bounds are low quantiles over all training texts.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ BUCKETS = 4096
 #: Texts of each language that its centroids are learned from, and centroids per language.
 SAMPLE_PER_LANGUAGE, CENTROIDS = 1_000, 4
 
-#: A text whose best cosine is smaller is rejected.
-LEAST_COSINE = 0.05
+#: A text is rejected below this share of the quantile of the cosines of training texts.
+REJECT_QUANTILE, REJECT_SHARE = 0.005, 0.8
+
+#: Training texts of a language and length that a quantile needs; below the shortest such length the bound is LEAST_COSINE.
+QUANTILE_TEXTS, LEAST_COSINE = 20, 0.05
 
 #: Vectors held at a time.
 ROWS_AT_ONCE = 128
@@ -111,26 +115,60 @@ def _cluster(idf_of):
     return run
 
 
-def _predict(model, least: float):
+def _lengths(counts: np.ndarray) -> np.ndarray:
+    """The length class of each text: the binary logarithm of its n-grams."""
+    return np.floor(np.log2(np.maximum(counts.sum(axis=1), 1))).astype(np.int32)
+
+
+def _own_cosines(model):
+    """(lang, text) to (lang, length, cosine): the best cosine with a centroid of the text's own language."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, names, centres = model.value
         for batch in batches:
             at = 0
-            texts_of = batch.column(3)
+            for texts in th.slices(batch.column(1), most=ROWS_AT_ONCE):
+                lang, counts = batch.column(0).slice(at, len(texts)), term_counts(texts)
+                cosine = vectors(counts, idf) @ centres.T
+                own = np.array(lang.to_pylist(), dtype=object)[:, None] == np.array(names, dtype=object)[None, :]
+                yield pa.RecordBatch.from_arrays([lang, pa.array(_lengths(counts)), pa.array(np.where(own, cosine, 0).max(axis=1, initial=0).astype(np.float64))], names=["lang", "length", "cosine"])
+                at += len(texts)
+
+    return run
+
+
+def _bounds(rows: list, names: list[str], share: float, least: float) -> np.ndarray:
+    """A bound for each centroid and length class: that of the next shorter class that has one, else ``least``."""
+    own = {(r["lang"], r["length"]): max(r["cosine"] * share, least) for r in rows if r["texts"] >= QUANTILE_TEXTS}
+    out = np.full((len(names), 64), least)
+    for k, lang in enumerate(names):
+        for length in range(64):
+            out[k, length] = own.get((lang, length), out[k, length - 1] if length else least)
+    return out
+
+
+def _predict(model, bounds_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (idf, names, centres), bounds = model.value, bounds_of.value
+        for batch in batches:
+            at = 0
+            texts_of = batch.column(4)
             for texts in th.slices(texts_of, most=ROWS_AT_ONCE):
                 n = len(texts)
-                lettered = np.array(batch.column(2).slice(at, n).to_pylist(), dtype=bool)
+                lettered = np.array(batch.column(3).slice(at, n).to_pylist(), dtype=bool)
                 if len(names):
-                    cosine = vectors(term_counts(texts), idf) @ centres.T
+                    counts = term_counts(texts)
+                    cosine = vectors(counts, idf) @ centres.T
                     best = np.argmax(cosine, axis=1)
                     score = np.clip(cosine[np.arange(n), best], 0.0, 1.0).astype(np.float64)
                     lang = [names[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
+                    least = bounds[best, _lengths(counts)]
                 else:
-                    score, lang = np.zeros(n), [UNDETERMINED] * n
+                    score, lang, least = np.zeros(n), [UNDETERMINED] * n, LEAST_COSINE
                 score = np.where(lettered, score, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(lang, pa.string()), pa.array(score), pa.array(~lettered | (score < least))],
-                    names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
+                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(lang, pa.string()), pa.array(score), pa.array(~lettered | (score < least)), batch.column(2).slice(at, n)],
+                    names=["doc_id", "held_out", "lang_pred", "score", "rejected", "version"],
                 )
                 at += n
 
@@ -144,18 +182,21 @@ def identify_language(
     lang_col: str = "lang",
     folds: int = 3,
     held_out_fold: int = 1,
-    least_cosine: float = LEAST_COSINE,
+    reject_quantile: float = REJECT_QUANTILE,
+    reject_share: float = REJECT_SHARE,
     training: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, held_out, lang_pred, score, rejected).
+    """One row per row of ``docs``: (doc_id, held_out, lang_pred, score, rejected, version).
 
     Learned from texts with a non-null language of ``training`` (``docs`` itself
     if not given) whose crc32(id as text) is not ``held_out_fold`` modulo
     ``folds``.  ``score`` is the largest cosine with a centroid, between 0 and 1.
 
     ``lang_pred`` is ``und`` if the text is null or has no letter, or if nothing
-    could be learned; such texts and those with a cosine below ``least_cosine``
-    are ``rejected``.  Of equal cosines the language first in the alphabet
+    could be learned; such texts are ``rejected``, and so are those with a cosine
+    below ``reject_share`` of the ``reject_quantile`` that training texts of the
+    language and about the length have (below LEAST_COSINE where they are fewer
+    than QUANTILE_TEXTS).  ``version`` is xxhash64 of the text.  Of equal cosines the language first in the alphabet
     wins.  A null id counts as the empty text in the crc32; repeated rows are
     scored alike.  Other columns are ignored; an empty table gives an empty result.
     """
@@ -186,9 +227,13 @@ def identify_language(
     names = [r["lang"] for r in learned]
     centres = np.array([np.frombuffer(r["centre"], np.float32) for r in learned]).reshape(len(learned), BUCKETS)
     model = spark.sparkContext.broadcast((idf, names, centres))
+    cosines = known.select("lang", "text").transform(map_arrow, _own_cosines(model), "lang string, length int, cosine double").where("cosine > 0")
+    quantile = F.percentile_approx("cosine", F.lit(reject_quantile), F.lit(1000)).alias("cosine")
+    bounds = _bounds(cosines.groupBy("lang", "length").agg(F.count(F.lit(1)).alias("texts"), quantile).collect(), names, reject_share, LEAST_COSINE)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (id_remainder(F.col(id_col), folds) == held_out_fold).alias("held_out"),
+        F.xxhash64(text_col).alias("version"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
         F.col(text_col).alias("text"),
-    ).transform(map_arrow, _predict(model, least_cosine), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    ).transform(map_arrow, _predict(model, spark.sparkContext.broadcast(bounds)), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean, version long")

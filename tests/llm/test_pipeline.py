@@ -53,3 +53,36 @@ def test_stages_and_run(spark, tmp_path):
     assert set(ids["bpe_encoding"]) == set(ids["benchmark_decontamination"])
     assert as_set(corpus_pipeline.run(spark, folder)) == as_set(kept["bpe_encoding"])
     assert near_duplicates(kept["minhash_near_dedup"]).where("NOT kept").count() == 0
+
+
+STAGED = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    rng = random.Random(15)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, a), (3, "12 34"), (3, b + " other end"), (None, "56"), (4, None), (1, a)]
+    rows += [(k, sentence(rng, 40)) for k in range(10, 40)]
+    docs = spark.createDataFrame([(*r, "aa", "s", 1) for r in rows], STAGED)
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    named = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    left = sorted(((r["doc_id"] or -1, r["text"]) for r in named.collect()), key=str)
+    assert left == sorted(((i or -1, t) for i, t in rows if t and not t[0].isdigit()), key=str)
+    once = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, named, str(tmp_path)).collect()]
+    assert sorted(once[k] for k in range(len(once)) if once[k][0] and once[k][0] < 10) == sorted([(1, a), (2, b)])
+    assert [x for x in once if x[0] is None] == [(None, c)] and len(once) == 33
+
+
+def test_stages_on_empty_tables_and_more_columns(spark, tmp_path):
+    docs = spark.createDataFrame([], STAGED + ", version string, kept int")
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full = spark.createDataFrame([(1, "some words stand here", "en", "s", 21, "v", 2), (2, None, None, None, None, None, None)], docs.schema)
+    for name, frame in (("e", docs), ("f", full)):
+        frame.write.parquet(f"{tmp_path}/{name}")
+        frame = spark.read.parquet(f"{tmp_path}/{name}")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            frame = stage(spark, frame, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert frame.columns == docs.columns
+        assert frame.count() == (0 if name == "e" else 1)
