@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.llm.bpe import encode_texts
-from rulespark.llm.common import join_narrow, shared_checkpoint, table
+from rulespark.llm.common import BROADCAST_ROWS, drop_shared, scratch_tables, shared_checkpoint, table
 from rulespark.llm.decontaminate import without_leaks
 from rulespark.llm.language_id import identify_language
 from rulespark.llm.neardup import near_duplicates
@@ -18,24 +18,28 @@ from rulespark.llm.queries import vocabulary_path
 from rulespark.llm.substring import without_repeats
 
 
-def _drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these ids; rows with a null id stay."""
-    return join_narrow(docs, ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _judged(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` that are (``left_semi``) or are not (``left_anti``) among ``rows`` by id and text; a null id is an id."""
+    keys = shared_checkpoint(rows.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct())
+    few = keys.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
+    return docs.join(F.broadcast(keys) if few else keys, same, how)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter and texts far from every language go."""
-    return _drop_ids(docs, identify_language(docs).where("rejected"))
+    return _judged(docs, identify_language(docs).where("rejected"), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays; of rows that repeat an id, one."""
-    docs = _drop_ids(docs, near_duplicates(docs).where("NOT kept"))
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Of each group of near copies one document stays; of rows that repeat an id and its text, one."""
+    docs = _judged(docs, near_duplicates(docs).where("NOT kept"), "left_anti")
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"))
+    repeated = shared_checkpoint(keys.groupBy("doc_id", "version").count().where("count > 1"))
     if repeated.isEmpty():
         return docs
-    once = join_narrow(docs, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _drop_ids(docs, repeated).unionByName(once.select(*docs.columns))
+    once = _judged(docs, repeated, "left_semi").withColumn("__version", F.xxhash64("text")).dropDuplicates(["doc_id", "__version"])
+    return _judged(docs, repeated, "left_anti").unionByName(once.select(*docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result checkpointed in the shared folder before the next."""
+    """All stages over ``documents``, each result written to the shared folder before the next; what a stage needed on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = shared_checkpoint(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch_tables():
+            kept = shared_checkpoint(stage(spark, docs, sf_dir), scratch=False)
+        if k:
+            drop_shared(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
