@@ -119,14 +119,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[_Block]:
 
 
 def pack(codes: list[np.ndarray]) -> bytes:
-    """The numbers of several texts, byte by byte in planes, compressed."""
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes())
+    """The numbers of several texts, byte by byte in planes, compressed plane by plane so that no second copy is held."""
+    out = zstandard.ZstdCompressor(level=3).compressobj(size=4 * sum(map(len, codes)))
+    parts = []
+    for k in range(4):
+        parts += [out.compress(np.ascontiguousarray(c.view(np.uint8)[k::4]).tobytes()) for c in codes]
+    return b"".join([*parts, out.flush()])
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    out = np.empty((planes.shape[1], 4), np.uint8)
+    for k in range(4):
+        out[:, k] = planes[k]
+    return out.view(np.uint32).ravel()
 
 
 def _block_words(path: str):

@@ -78,7 +78,7 @@ def drop_shared(df: DataFrame) -> None:
 
 
 #: Bytes of rows that go to a Python worker at a time: long texts then need no large buffers on either side.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
