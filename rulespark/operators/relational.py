@@ -261,4 +261,6 @@ def merged_opinions(rows: DataFrame, cell: Sequence[str], rank: str, message: st
 def vocabulary(rows: DataFrame, text: str, sources: Sequence[str], pattern: str = r"[a-z]+") -> DataFrame:
     """(term, occurrences, and the number of distinct values of each source column)."""
     words = rows.select(*sources, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1)).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"), *(F.count_distinct(s).alias(f"distinct_{s}") for s in sources))
+    # Counted by source first: the distinct counts then see a row for each term and source, not for each word.
+    by_source = words.groupBy("term", *sources).agg(F.count(F.lit(1)).alias("_n"))
+    return by_source.groupBy("term").agg(F.sum("_n").alias("occurrences"), *(F.count_distinct(s).alias(f"distinct_{s}") for s in sources))

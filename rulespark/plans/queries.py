@@ -454,3 +454,10 @@ def enriched_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Measures (orders) with the people of their duty rows (suppliers) beside them."""
     duties = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").cast("string").alias("l_suppkey"))
     return matching.enriched(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), duties, ["o_orderkey"], ["l_suppkey"])
+
+
+# The same checks through records, packs and the engine.
+from rulespark.plans import audit_queries  # noqa: E402
+
+QUERIES |= audit_queries.QUERIES
+SQL |= audit_queries.SQL
