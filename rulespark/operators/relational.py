@@ -2,7 +2,7 @@
 
 Each function is a plan of built-in expressions, joins, windows and aggregates.
 Rows are compared only through equality keys; a substring condition is a
-residual of such a join or runs over a bounded list of literals.
+residual of such a join.
 """
 
 from __future__ import annotations
@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 
 from rulespark.functions.keys import contains_any, terms_in
 
-#: Rows of a list of literals that is sent with the plan; longer lists are taken in blocks.
-LITERALS = 2_000
+#: Rows of either list in one cell of a product.
+CELL_ROWS = 2_000
+#: Rows of a narrow look-up table (two numbers) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Parts that are tried on every text, rather than looked up.
+SHORT_LIST = 500
+#: Characters by which parts of texts are looked up: the first size that a part reaches.
+GRAM_SIZES = (24, 8, 1)
+#: Characters of a text that are read for grams at a time.
+PIECE = 128
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -182,12 +190,17 @@ def bag_difference(expected: DataFrame, actual: DataFrame, item: str, group: Seq
 
 
 def missing_combinations(left: DataFrame, right: DataFrame, present: DataFrame) -> DataFrame:
-    """Combinations of two short lists of scope values that ``present`` lacks.
+    """Combinations of the distinct rows of two lists of scope values that ``present`` lacks.
 
-    The lists are configuration (units and materials), so their product is
-    the answer's own size; it is built from a constant key, broadcast by size.
+    What is asked for is the rest of a product.  Both lists are dealt by hash
+    into cells of about CELL_ROWS rows, so that a task makes one cell of the
+    product, however long the lists are.
     """
-    both = left.distinct().withColumn("_k", F.lit(1)).join(right.distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
+    one, two = left.distinct(), right.distinct()
+    a, b = (max(1, -(-x.count() // CELL_ROWS)) for x in (one, two))
+    one = one.withColumn("_a", F.pmod(F.xxhash64(*one.columns), F.lit(a))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(b - 1).cast("bigint"))))
+    two = two.withColumn("_b", F.pmod(F.xxhash64(*two.columns), F.lit(b))).withColumn("_a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(a - 1).cast("bigint"))))
+    both = one.join(two, ["_a", "_b"]).drop("_a", "_b")
     return both.join(present.select(*both.columns).distinct(), both.columns, "left_anti")
 
 
@@ -207,20 +220,45 @@ def keyword_support(rows: DataFrame, text: str, supports: DataFrame, key: str, s
     return out.where(F.size("missing_keywords") > 0).drop("_asked", "_backed")
 
 
-def reappearing_texts(rows: DataFrame, text: str, passages: DataFrame, passage_id: str, passage: str) -> DataFrame:
-    """(rows, passage_id) for each passage that stands in a row's text, white space aside.
+def _grams(keyed: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, gram): hashes of all stretches of ``size`` characters; a text goes through in pieces, so its length costs no more than once."""
+    piece = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{PIECE + size - 1}}})).{{1,{PIECE}}}"), 1)
+    pieces = keyed.select(key, F.explode(piece).alias("_piece")).where(F.length("_piece") >= size)
+    starts = F.sequence(F.lit(1), F.length("_piece") - (size - 1))
+    return pieces.select(key, F.explode(F.transform(starts, lambda i: F.xxhash64(F.substring("_piece", i, size)))).alias("gram"))
+
+
+def holding(rows: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Each row with each row of ``parts`` whose non-empty part stands in the row's text; all columns of both.
 
-    The passages, a stated list, go with the plan in blocks of LITERALS.
+    Up to SHORT_LIST parts are broadcast and tried one after the other, which is
+    faster for so few.  Of more, a part is looked up by one gram of its own, the one that fewest parts share;
+    the texts are read for grams as they are scanned.  The look-up table (two
+    numbers a part) is broadcast up to BROADCAST_ROWS parts and shuffled beyond
+    them.  ``contains`` confirms every pair that the grams propose.
     """
-    found = passages.where(F.length(passage) > 0).select(F.col(passage_id).alias("i"), F.regexp_replace(passage, r"\s+", "").alias("p")).orderBy("i", "p")
-    rest, out = [(r["i"], r["p"]) for r in found.toLocalIterator() if r["p"]], None
-    flat = rows.withColumn("_flat", F.regexp_replace(text, r"\s+", ""))
-    for at in range(0, max(1, len(rest)), LITERALS):
-        part = rest[at : at + LITERALS]
-        listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in part)) if part else F.array().cast("array<struct<i:bigint,p:string>>")
-        hit = flat.withColumn("_hit", F.explode(F.filter(listed, lambda x: F.contains(F.col("_flat"), x["p"])))).withColumn(passage_id, F.col("_hit.i")).drop("_hit", "_flat")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    parts = parts.where(F.length(part) > 0)
+    if parts.select(F.lit(1)).limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        return rows.join(F.broadcast(parts), F.contains(text, part))
+    parts = parts.withColumn("_part", F.xxhash64(part))
+    rows = rows.withColumn("_text", F.xxhash64(text))
+    size = reduce(lambda c, s: c.when(F.length(part) >= s, s), GRAM_SIZES[1:], F.when(F.length(part) >= GRAM_SIZES[0], GRAM_SIZES[0]))
+    sized = parts.select("_part", part, size.alias("_size")).distinct()
+    counts = {r["_size"]: r["count"] for r in sized.groupBy("_size").count().collect()}
+    proposed: list[DataFrame] = []
+    for s, n in counts.items():
+        grams = _grams(sized.where(F.col("_size") == s), "_part", part, s).distinct()
+        shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+        anchors = grams.join(shared, "gram").groupBy("_part").agg(F.min(F.struct("_n", "gram")).alias("_best")).select("_part", F.col("_best.gram").alias("gram"))
+        found = _grams(rows.select("_text", text), "_text", text, s).join(F.broadcast(anchors) if n <= BROADCAST_ROWS else anchors, "gram")
+        proposed.append(found.select("_text", "_part").distinct())
+    return rows.join(reduce(DataFrame.unionByName, proposed), "_text").join(parts, "_part").where(F.contains(text, part)).drop("_text", "_part")
+
+
+def reappearing_texts(rows: DataFrame, text: str, passages: DataFrame, passage_id: str, passage: str) -> DataFrame:
+    """(rows, passage_id) for each passage that stands in a row's text, white space aside; an empty passage stands nowhere."""
+    squeezed = passages.select(passage_id, F.regexp_replace(passage, r"\s+", "").alias("_passage"))
+    return holding(rows.withColumn("_flat", F.regexp_replace(text, r"\s+", "")), "_flat", squeezed, "_passage").drop("_flat", "_passage")
 
 
 def ranked_candidates(queries: DataFrame, candidates: DataFrame, group: str, item: str, vector: str, top: int) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulespark.functions.keys import norm_literal, norm_text
+from rulespark.operators.relational import holding
 from rulespark.plans.records import with_record_id
 
 SPAN = "array<struct<text:string,start:int,end:int>>"
@@ -140,13 +141,11 @@ def classify_material(path: Column) -> Column:
 
 
 def longest_alias(rows: DataFrame, text: str, aliases: DataFrame, alias: str, value: str) -> DataFrame:
-    """``rows`` with the value of the longest alias that stands in ``text``; null if two values tie.
-
-    ``aliases`` is configuration: a short table, joined as a broadcast.
-    """
-    hit = rows.join(F.broadcast(aliases.select(F.col(alias).alias("_a"), F.col(value).alias("_v"))), F.contains(F.col(text), F.col("_a")), "left")
-    best = hit.withColumn("_n", F.length("_a")).withColumn("_best", F.max("_n").over(Window.partitionBy(text))).where("_n IS NULL OR _n = _best")
-    one = best.groupBy(text).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")).select(text, F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias(value))
+    """``rows`` with the value of the longest alias that stands in ``text``; null if two values tie or no alias stands there."""
+    named = holding(rows.select(text).distinct(), text, aliases.select(F.col(alias).alias("_a"), F.col(value).alias("_v")).distinct(), "_a")
+    by_length = named.groupBy(text, F.length("_a").alias("_n")).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    best = by_length.groupBy(text).agg(F.max(F.struct("_n", "_low", "_high")).alias("_best"))
+    one = best.select(text, F.when(F.col("_best._low") == F.col("_best._high"), F.col("_best._low")).alias(value))
     return rows.join(one, text, "left")
 
 
