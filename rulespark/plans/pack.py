@@ -21,7 +21,8 @@ RECORD_TYPES = {"matrix", "position_duty", "system_rule", "incompatible_position
 UNAVAILABLE = {("system_rule_content", 1)}
 
 SEVERITIES = ("violation", "review")
-ON_UNAVAILABLE = {"report", "skip", "fail"}
+#: "review" and "report" both show what could not be read.
+ON_UNAVAILABLE = {"report", "review", "skip", "fail"}
 
 
 class PackError(ValueError):
@@ -96,7 +97,7 @@ def publish(pack: Pack, store: str | Path, version: str) -> Path:
     validate(pack)
     (target / "rules").mkdir(parents=True)
     for rule in pack["rules"]:
-        (target / "rules" / f"{rule['display_code']}.json").write_text(json.dumps(rule, ensure_ascii=False, indent=2), encoding="utf-8")
+        (target / "rules" / f"{rule['display_code']}-{rule['rule_id']}.json").write_text(json.dumps(rule, ensure_ascii=False, indent=2), encoding="utf-8")
     rest = {k: v for k, v in pack.items() if k != "rules"}
     (target / "pack.json").write_text(json.dumps(rest, ensure_ascii=False, indent=2), encoding="utf-8")
     activate(store, version)
