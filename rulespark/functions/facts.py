@@ -30,6 +30,57 @@ PROVINCE_MARKERS = ("国网湖南省电力有限公司", "湖南省电力公司"
 HEADQUARTERS_MARKERS = ("总部", "国网总部", "国家电网总部", "国家电网有限公司总部")
 HEADQUARTERS_NEGATIONS = ("非总部", "不属于总部", "不是总部")
 
+# An answer taken at its first word; the grades of staff; how the name of a unit is shortened.
+PLAIN_NO, PLAIN_YES = r"^(?:不适用|否)", r"^(?:适用|是)(?:$|[,:;。])"
+GRADE_DIGITS = "一二三四五六七八九十"
+GRADE = rf"([{GRADE_DIGITS}]|[1-9][0-9]*)级职员"
+UNIT_PREFIX = r"^(?:国网湖南省电力有限公司|国网湖南)"
+CENTRE = r"^(.+?中心)(?:\([^()]+\))?(?:本部)?$"
+SUPPLY_UNIT = r"^(.+?)(县|市)?供电分公司(本部)?$"
+
+
+def plain_answer(text: Column) -> Column:
+    """The decision of an answer by its first word alone; null if it tells neither."""
+    return F.when(text.rlike(PLAIN_NO), "not_applicable").when(text.rlike(PLAIN_YES), "applicable")
+
+
+def _grade_number(grade: Column) -> Column:
+    at = F.instr(F.lit(GRADE_DIGITS), grade)
+    return F.when(grade != "", F.when(at > 0, at.cast("string")).otherwise(grade))
+
+
+def bare_grade(position: Column) -> Column:
+    """The number of a position that is a grade and nothing else, else null."""
+    return _grade_number(F.regexp_extract(position, f"^{GRADE}$", 1))
+
+
+def grade_of_title(position: Column) -> Column:
+    """The number of the grade that a position carries in brackets at its end, else null."""
+    return _grade_number(F.regexp_extract(position, rf"^[^()、,;/]+\({GRADE}\)$", 1))
+
+
+def title_before_grade(position: Column) -> Column:
+    return F.regexp_replace(position, rf"\({GRADE}\)$", "")
+
+
+def unit_forms(name: Column) -> Column:
+    """The names under which a unit goes, the longest first; two signs or fewer are no name."""
+    short = F.regexp_replace(name, UNIT_PREFIX, "")
+    place, level, seat = (F.regexp_extract(short, SUPPLY_UNIT, k) for k in (1, 2, 3))
+    forms = [name, short, F.regexp_extract(short, CENTRE, 1), F.when(short.contains("有限公司"), F.regexp_replace(short, "^.*?有限公司", ""))]
+    for town in (place, F.concat(place, level)):
+        forms += [F.when(place != "", x) for x in (F.concat(town, F.lit("公司")), F.concat(town, F.lit("供电公司")), F.concat(F.lit("国网"), town, F.lit("供电公司")))]
+    forms.append(F.when(seat != "", F.concat(place, seat)))
+    sized = F.transform(F.array_distinct(F.array_compact(F.array(*forms))), lambda n: F.struct(F.length(n).alias("size"), n.alias("name")))
+    return F.transform(F.reverse(F.array_sort(F.filter(sized, lambda x: x["size"] >= 3))), lambda x: x["name"])
+
+
+def without_unit(department: Column, unit: Column) -> Column:
+    """A department without the longest name of its unit before it."""
+    fits = F.filter(unit_forms(unit), lambda n: F.startswith(department, n) & (F.length(department) > F.length(n)))
+    rest = F.regexp_replace(F.substr(department, F.length(F.get(fits, F.lit(0))) + 1), "^[-—:：]+", "")
+    return F.when(F.size(fits) > 0, rest).otherwise(department)
+
 
 def applicability(text: Column) -> Column:
     """struct(state, decision, reason) of an answer; a null text is a missing source."""

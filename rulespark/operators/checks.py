@@ -407,28 +407,56 @@ def _equal(text: str) -> Callable[[Column], Column]:
     return lambda x: x == text
 
 
+def lines_as_items(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the line ends of one cell as list separators, which normalising would drop."""
+    listed = F.transform_values("fields", lambda k, v: F.when(k == name, v.withField("current", F.regexp_replace(v["current"], r"[\r\n]+", "、"))).otherwise(v))
+    return rows.withColumn("fields", listed)
+
+
+def responsible(text: Column) -> Column:
+    """The items of a normalised cell of responsible units; a null cell has none."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), "[、,;]"), lambda x: x != ""))
+
+
+def segments(item: Column) -> Column:
+    """unit - department - position of an item, the empty ones left out."""
+    return F.filter(F.split(item, r"[-—－]"), lambda x: x != "")
+
+
+def unit_segments(parts: Column) -> Column:
+    """The segments of an item that name units: all before department and position, or the first of a shorter one."""
+    return F.when(F.size(parts) >= 3, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)))).otherwise(F.slice(parts, 1, 1))
+
+
+def restricted(items: Column, unit: Column, restrictions: list[dict[str, str]]) -> Column:
+    """What the first restriction that all items fall under says of the unit; null without one or without a unit."""
+    verdict = F.lit(None).cast("string")
+    for r in restrictions:
+        whole = (F.size(items) > 0) & (F.size(F.filter(items, _unlike(r["item_pattern"]))) == 0) & unit.isNotNull()
+        verdict = F.coalesce(verdict, F.when(whole, F.when(unit.rlike(r["entity_pattern"]), "applicable").otherwise("not_applicable")))
+    return verdict
+
+
+def unit_names(ctx: Context) -> DataFrame:
+    """(entity_code, _unit): the roster, one row a unit."""
+    return ctx.entities.groupBy("entity_code").agg(F.min("name").alias("_unit")).withColumn("_unit", norm_text(F.col("_unit")))
+
+
 @check("responsibility_applicability", 1)
 def responsibility_applicability(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
     """The whole group of responsible units against restrictions: a pattern of items and a pattern of unit names."""
-    names = ctx.entities.select("entity_code", norm_text(F.col("name")).alias("_name"))
-    own = wide(rows, ["responsibility", "applicability"]).where((F.col("responsibility") != "") & readable("applicability"))
-    own = own.join(names, "entity_code").withColumn("_items", facts.list_items(F.col("responsibility"))).withColumn("_a", facts.applicability(F.col("applicability")))
-    verdict = F.lit(None).cast("string")
-    for r in p["restrictions"]:
-        mine = F.col("_name").rlike(r["entity_pattern"])
-        pattern = r["item_pattern"]
-        whole = F.size(F.filter("_items", _unlike(pattern))) == 0
-        verdict = F.coalesce(verdict, F.when(whole, F.when(mine, "applicable").otherwise("not_applicable")))
-    own = own.withColumn("_verdict", verdict).where("_verdict IS NOT NULL AND _a.decision IS NOT NULL AND _a.decision != _verdict")
+    own = wide(lines_as_items(rows, "responsibility"), ["responsibility", "applicability"]).where((F.col("responsibility") != "") & readable("applicability"))
+    own = own.join(unit_names(ctx), "entity_code").withColumn("_items", responsible(F.col("responsibility"))).withColumn("_a", facts.applicability(F.col("applicability")))
+    own = own.withColumn("_verdict", restricted(F.col("_items"), F.col("_unit"), p["restrictions"])).where("_verdict IS NOT NULL AND _a.decision IS NOT NULL AND _a.decision != _verdict")
     return issues(own, "violation", "responsibility_applicability_conflict", "applicability", responsibility_decision=F.col("_verdict"), stated_decision=F.col("_a.decision"))
 
 
 @check("responsibility_unit_specific", 1)
 def responsibility_unit_specific(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
     f, names = p["field"], literals(p["generic_unit_names"])
-    own = wide(rows, sorted({f, "applicability"})).where(~F.coalesce(F.col("applicability"), F.lit("")).rlike("^(?:不适用|否)"))
-    heads = F.transform(facts.list_items(F.col(f)), lambda x: F.get(F.split(x, r"[-—－]"), F.lit(0)))
-    own = own.withColumn("_units", F.array_intersect(heads, F.array(*(F.lit(n) for n in names)).cast("array<string>")))
+    own = wide(lines_as_items(rows, f), sorted({f, "applicability"})).where(~F.coalesce(F.col("applicability"), F.lit("")).rlike("^(?:不适用|否)"))
+    units = F.flatten(F.transform(responsible(F.col(f)), lambda x: unit_segments(segments(x))))
+    own = own.withColumn("_units", F.array_intersect(units, F.array(*(F.lit(n) for n in names)).cast("array<string>")))
     return union([issues(unavailable(own, f), "review", "responsibility_unit_unavailable", f), issues(own.where(F.size("_units") > 0), "violation", "responsibility_unit_not_concrete", f, generic_unit_names=F.col("_units"))])
 
 
@@ -487,51 +515,114 @@ def responsibility_department_alignment(ctx: Context, rows: DataFrame, p: dict[s
     return issues(out, "review", "responsibility_department_mismatch", "responsibility", ["measure_id"], measure_id=F.col("measure_id"), missing_keywords=F.col("_missing"))
 
 
-@check("responsibility_coverage", *range(1, 9))
-@check("coverage", 1)
-def responsibility_coverage(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """The department-position pairs that a measure names against those of its duty rows."""
-    own = with_key(wide(rows, ["measure_id", "applicability", "responsibility"])).withColumn("_a", facts.applicability(F.col("applicability")))
-    placeless = own.where(~scope_known())
-    own = own.where(scope_known() & (F.coalesce("_a.decision", F.lit("")) != "not_applicable"))
-    unclear = own.where("_a.decision IS NULL")
-    own = own.where("_a.decision = 'applicable'")
-    nameless = own.where("coalesce(measure_id, '') = ''")
-    own = own.where("key IS NOT NULL")
-    aliases = {norm_literal(k): norm_literal(v) for k, v in p.get("confirmed_aliases", {}).items()}
+def _pairs_of_duties(ctx: Context, canonical: Callable[[Column], Column], without_unit: bool) -> DataFrame:
+    """(SCOPE, key, _d, _p): the departments and positions of duty rows, if asked without the name of their unit."""
+    duties = with_key(wide(ctx.of_type("position_duty"), ["measure_id", "department", "position"])).where(scope_known())
+    department = F.coalesce("department", F.lit(""))
+    if without_unit:
+        # The roster is joined, not broadcast by hint: its size is left to the statistics.
+        duties = duties.join(unit_names(ctx), "entity_code", "left")
+        department = facts.without_unit(department, F.col("_unit"))
+    return duties.select(*SCOPE, "key", canonical(department).alias("_d"), canonical(F.coalesce("position", F.lit(""))).alias("_p")).distinct()
 
-    def canonical(x: Column) -> Column:
-        out = x
-        for k, v in aliases.items():
-            out = F.when(x == k, v).otherwise(out)
-        return out
 
-    duties = with_key(wide(ctx.of_type("position_duty"), ["measure_id", "department", "position"])).where(scope_known() & F.col("key").isNotNull())
-    duties = duties.select(*SCOPE, "key", canonical(F.coalesce("department", F.lit(""))).alias("_d"), canonical(F.coalesce("position", F.lit(""))).alias("_p")).distinct()
-    have = duties.select(*SCOPE, "key").distinct().withColumn("_some", F.lit(True))
-    own = own.join(have, [*SCOPE, "key"], "left")
-    silent = own.where("_some IS NULL")
-    own = own.where("_some")
-    items = own.select("*", F.explode_outer(facts.list_items(F.col("responsibility"))).alias("_item"))
-    parts = F.filter(F.split("_item", r"[-—－]"), lambda x: x != "")
-    items = items.withColumn("_parts", parts).withColumn("_d", F.when(F.size(parts) > 1, canonical(F.get(parts, F.size(parts) - 2)))).withColumn("_p", F.when(F.size(parts) > 1, canonical(F.try_element_at(parts, F.lit(-1)))))
-    open_items = items.join(duties, [*SCOPE, "key", "_d", "_p"], "left_anti")
-    known_d = duties.select(*SCOPE, "_d").distinct().withColumn("_known_d", F.lit(True))
-    known_p = duties.select(*SCOPE, "_p").distinct().withColumn("_known_p", F.lit(True))
-    generic = F.arrays_overlap("_parts", F.array(*(F.lit(x) for x in literals(p.get("generic_responsibilities", [])))).cast("array<string>")) | F.coalesce(F.col("_d").endswith("部门"), F.lit(False))
-    missing = F.coalesce(F.col("_known_d") & F.col("_known_p") & ~generic, F.lit(False))
-    sorted_out = open_items.join(known_d, [*SCOPE, "_d"], "left").join(known_p, [*SCOPE, "_p"], "left").withColumn("_missing", missing)
-    grouped = sorted_out.groupBy("record_type", *SCOPE, "business_id", *PLACE, "record_id", "measure_id", "_missing").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
-    return union(
-        [
-            issues(placeless, "limitation", "coverage_scope_unconfirmed"),
-            issues(unclear, "limitation", "coverage_applicability_unknown", "applicability"),
+def _coverage(version: int) -> Check:
+    """Versions add: details of generic units (2), departments without their unit's name (3), details of all items
+    (4), applicability as interpreted (5), unread and empty cells told apart (7), restrictions of units (8); 6 is 5,
+    whose suggestions decide nothing."""
+
+    def run(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
+        """The department-position pairs that a measure names against those of its duty rows."""
+        open_kind = p.get("unresolved_kind", "limitation")
+        aliases = {norm_literal(k): norm_literal(v) for k, v in p.get("confirmed_aliases", {}).items()}
+
+        def canonical(x: Column) -> Column:
+            out = x
+            for k, v in aliases.items():
+                out = F.when(x == k, v).otherwise(out)
+            return out
+
+        own = with_key(wide(lines_as_items(rows, "responsibility"), ["measure_id", "applicability", "responsibility"])).withColumn("_items", responsible(F.col("responsibility")))
+        decision = facts.applicability(F.col("applicability"))["decision"] if version >= 5 else facts.plain_answer(F.col("applicability"))
+        own = own.withColumn("_decision", decision)
+        restrictions = (p.get("responsibility_applicability") or {}).get("restrictions", [])
+        if version == 8 and restrictions:
+            own = own.join(unit_names(ctx), "entity_code", "left").withColumn("_verdict", restricted(F.col("_items"), F.col("_unit"), restrictions))
+            own = own.where("_verdict IS NULL OR _verdict = 'applicable'").withColumn("_decision", F.coalesce("_verdict", "_decision")).drop("_unit", "_verdict")
+        placeless = own.where(~scope_known())
+        own = own.where(scope_known() & (F.coalesce("_decision", F.lit("")) != "not_applicable"))
+        unclear = own.where("_decision IS NULL")
+        own = own.where("_decision = 'applicable'")
+        nameless = own.where("coalesce(measure_id, '') = ''")
+        own = own.where("key IS NOT NULL")
+
+        listed = _pairs_of_duties(ctx, canonical, version >= 3)
+        duties = listed.where("key IS NOT NULL")
+        have = duties.select(*SCOPE, "key").distinct().withColumn("_some", F.lit(True))
+        own = own.join(have, [*SCOPE, "key"], "left")
+        silent = own.where("_some IS NULL")
+
+        # Each item wants pairs: those of its confirmed mapping, else the one it names.
+        items = own.where("_some").select("*", F.explode_outer("_items").alias("_item")).withColumn("_parts", segments(F.col("_item")))
+        size = F.size("_parts")
+        items = items.withColumn("_raw_d", F.when(size > 1, F.get("_parts", size - 2))).withColumn("_raw_p", F.when(size > 1, F.get("_parts", size - 1)))
+        wanted = F.when(size > 1, F.array(F.struct(canonical(F.col("_raw_d")).alias("d"), canonical(F.col("_raw_p")).alias("p"))))
+        mapped = F.lit(False)
+        for text, pairs in p.get("confirmed_mappings", {}).items():
+            this = F.coalesce(F.col("_item") == norm_literal(text), F.lit(False))
+            of_this = F.array(*(F.struct(canonical(F.lit(norm_literal(x["department"]))).alias("d"), canonical(F.lit(norm_literal(x["position"]))).alias("p")) for x in pairs))
+            mapped, wanted = mapped | this, F.when(this, of_this).otherwise(wanted)
+        items = items.withColumn("_mapped", mapped).select("*", F.explode_outer(wanted).alias("_w")).withColumn("_d", F.col("_w.d")).withColumn("_p", F.col("_w.p"))
+        missed = items.join(duties, [*SCOPE, "key", "_d", "_p"], "left_anti")
+
+        # A bare grade stands for the one position of the department that carries it in brackets.
+        graded = duties.withColumn("_grade", facts.grade_of_title(F.col("_p"))).where("_grade IS NOT NULL")
+        graded = graded.groupBy(*SCOPE, "key", "_d", "_grade").agg(F.count_distinct(facts.title_before_grade(F.col("_p"))).alias("_titles"), F.array_sort(F.collect_set("_p")).alias("_titled"))
+        missed = missed.withColumn("_grade", F.when(~F.col("_mapped"), facts.bare_grade(F.col("_p")))).join(graded, [*SCOPE, "key", "_d", "_grade"], "left")
+        missed = missed.where("_titles IS NULL OR _titles > 1")
+
+        known_d = listed.select(*SCOPE, "_d").distinct().withColumn("_known_d", F.lit(True))
+        known_p = listed.select(*SCOPE, "_p").distinct().withColumn("_known_p", F.lit(True))
+        generic = F.arrays_overlap("_parts", F.array(*(F.lit(x) for x in literals(p.get("generic_responsibilities", [])))).cast("array<string>")) | F.col("_raw_d").endswith("部门")
+        known = F.coalesce(F.col("_known_d") & F.col("_known_p") & ~generic, F.lit(False))
+        state = F.when(F.col("_titles") > 1, "ambiguous").when(F.col("_mapped") | known, "missing").otherwise("uncertain")
+        missed = missed.join(known_d, [*SCOPE, "_d"], "left").join(known_p, [*SCOPE, "_p"], "left").withColumn("_state", state)
+
+        # What the measure's duty rows say of the department, or else of the position, of an uncertain item.
+        in_d = duties.groupBy(*SCOPE, "key", "_d").agg(F.array_sort(F.collect_set("_p")).alias("_positions"))
+        of_p = duties.groupBy(*SCOPE, "key", "_p").agg(F.array_sort(F.collect_set("_d")).alias("_departments"))
+        detailed = (size >= 3) & (F.col("_state") == "uncertain") & F.lit(version >= 2)
+        if version in (2, 3):
+            detailed = detailed & F.arrays_overlap(unit_segments(F.col("_parts")), F.array(*(F.lit(x) for x in literals(p.get("generic_unit_names", [])))).cast("array<string>"))
+        nothing = F.array().cast("array<string>")
+        others = F.when(F.col("_positions").isNull() & F.lit(version >= 4), F.coalesce("_departments", nothing)).otherwise(nothing)
+        detail = F.struct(F.col("_item").alias("responsibility"), F.col("_raw_d").alias("matrix_department"), F.col("_raw_p").alias("matrix_position"), F.coalesce("_positions", nothing).alias("duty_positions"), others.alias("department_candidates"))
+        missed = missed.join(in_d, [*SCOPE, "key", "_d"], "left").join(of_p, [*SCOPE, "key", "_p"], "left")
+        missed = missed.withColumn("_detail", F.when(detailed, detail)).withColumn("_ambiguous", F.when(F.col("_state") == "ambiguous", F.struct(F.col("_item").alias("responsibility"), F.col("_d").alias("department"), F.col("_p").alias("grade"), F.col("_titled").alias("positions"))))
+        kept = ["record_type", *SCOPE, "business_id", *PLACE, "record_id", "measure_id", "responsibility_state", "responsibility"]
+        grouped = missed.groupBy(*kept, "_state").agg(F.array_sort(F.collect_set("_item")).alias("_items"), F.array_sort(F.collect_set("_detail")).alias("_details"), F.array_sort(F.collect_set("_ambiguous")).alias("_ambiguities"))
+        unsure = grouped.where("_state = 'uncertain'")
+        found = [
+            issues(placeless, open_kind, "coverage_scope_unconfirmed"),
+            issues(unclear, open_kind, "coverage_applicability_unknown", "applicability"),
             issues(nameless, "review", "coverage_measure_id_missing", "measure_id"),
             issues(silent, "violation", "duty_record_missing", None, ["measure_id"], measure_id=F.col("measure_id")),
-            issues(grouped.where("_missing"), "review", "specific_responsibility_missing", None, ["measure_id"], measure_id=F.col("measure_id"), missing_responsibilities=F.col("_items")),
-            issues(grouped.where("NOT _missing"), p.get("unresolved_kind", "limitation"), "coverage_mapping_unconfirmed", None, ["measure_id"], measure_id=F.col("measure_id"), responsibility_items=F.col("_items")),
+            issues(grouped.where("_state = 'missing'"), "review", "specific_responsibility_missing", None, ["measure_id"], measure_id=F.col("measure_id"), missing_responsibilities=F.col("_items")),
+            issues(grouped.where("_state = 'ambiguous'"), open_kind, "coverage_position_ambiguous", None, ["measure_id"], measure_id=F.col("measure_id"), ambiguous_positions=F.col("_ambiguities")),
         ]
-    )
+        if version >= 7:
+            found.append(issues(unavailable(unsure, "responsibility"), "review", "responsibility_unit_unavailable", "responsibility"))
+            found.append(issues(unsure.where("responsibility_state = 'empty'"), "violation", "responsibility_empty", "responsibility"))
+            unsure = unsure.where("responsibility_state = 'value'")
+        found.append(issues(unsure, open_kind, "coverage_mapping_unconfirmed", None, ["measure_id"], measure_id=F.col("measure_id"), responsibility_items=F.col("_items"), mapping_details=F.col("_details")))
+        return union(found)
+
+    return run
+
+
+for _v in range(1, 9):
+    CHECKS["responsibility_coverage", _v] = _coverage(_v)
+CHECKS["coverage", 1] = _coverage(1)
 
 
 @check("ordered_records", 1, 2, 3, 4)

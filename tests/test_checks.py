@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from rulespark.operators.checks import CHECKS
@@ -107,6 +109,39 @@ def test_coverage(spark):
     assert run(spark, "responsibility_coverage", 8, rows, {}, ["matrix"]) == [(1, "limitation", "coverage_mapping_unconfirmed"), (1, "review", "specific_responsibility_missing"), (2, "violation", "duty_record_missing")]
 
 
+def test_coverage_by_version(spark):
+    rows = [
+        matrix(1, responsibility="财务部-会计\n财务部-三级职员、审计部-二级职员"),
+        matrix(2, measure_id="X-2-控制措施1", responsibility="管理单位-财务部-主办、归口办"),
+        matrix(3, measure_id="X-2-控制措施1", responsibility=""),
+        matrix(4, measure_id="X-2-控制措施1", responsibility=cell("", "formula_no_cache")),
+        matrix(5, measure_id="X-2-控制措施1", responsibility="财务部-会计", applicability="适用但待核实"),
+        duty(6, department="甲县供电公司财务部"), duty(7, department="财务部", position="专责(3级职员)"),
+        duty(8, department="审计部", position="主审(二级职员)"), duty(9, department="审计部", position="助审(二级职员)"),
+        duty(10, department="财务部", position="会计", measure_id="X-2-控制措施1"),
+    ]
+    names = lambda version, p=None: run(spark, "responsibility_coverage", version, rows, p, ["matrix"])
+    unread = [(5, "limitation", "coverage_applicability_unknown")]
+    ambiguous = (1, "limitation", "coverage_position_ambiguous")
+    unsure = [(k, "limitation", "coverage_mapping_unconfirmed") for k in (2, 3, 4)]
+    assert names(1) == sorted([ambiguous, (1, "review", "specific_responsibility_missing"), *unsure, *unread])
+    assert names(3) == sorted([ambiguous, *unsure, *unread])
+    assert names(7) == sorted([ambiguous, unsure[0], (3, "violation", "responsibility_empty"), (4, "review", "responsibility_unit_unavailable"), *unread])
+    assert names(7, {"confirmed_mappings": {"归口办": [{"department": "财务部", "position": "会计"}]}, "confirmed_aliases": {"主办": "会计"}})[1:] == names(7)[2:]
+    assert {x[1] for x in names(7, {"unresolved_kind": "review"})} == {"review", "violation"}
+    rule = {"responsibility_applicability": {"restrictions": [{"item_pattern": "职员|会计", "entity_pattern": "^乙"}]}}
+    assert [x for x in names(8, rule) if x[0] in (1, 5)] == []
+
+
+def test_coverage_details_name_the_positions_of_a_department(spark):
+    rows = [matrix(1, responsibility="某单位-财务部-主办、某单位-资金部-会计"), duty(2)]
+    ctx = context(spark, rows)
+    ctx.records = with_record_id(ctx.records)
+    found = CHECKS["responsibility_coverage", 7](ctx, ctx.of_type("matrix"), {}).collect()
+    details = json.loads(found[0]["evidence"])["mapping_details"]
+    assert [(d["responsibility"], d["duty_positions"], d["department_candidates"]) for d in details] == [("某单位-财务部-主办", ["会计"], []), ("某单位-资金部-会计", [], ["财务部"])]
+
+
 def test_ordered_records(spark):
     ids = ["X-1-控制措施1", "X-3-控制措施1", "X-2-控制措施1", "X-1-控制措施1"]
     found = run(spark, "ordered_records", 4, [duty(k + 1, measure_id=m) for k, m in enumerate(ids)], {"field": "measure_id"})
