@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespark.llm import licenses, sharding
+from rulespark.llm import divergence, licenses, search, sharding, warc
 from rulespark.llm.bpe import encode_texts
 from rulespark.llm.common import table
 from rulespark.llm.decontaminate import benchmark_leaks
@@ -63,6 +63,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item, over all documents."""
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, over all documents."""
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -74,9 +89,15 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_warc": op12_warc,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
     "op4_license_scans": licenses.SQL,
     "op8_sharding": sharding.SQL,
+    "op11_ranked_search": search.SQL,
+    "op12_warc": warc.SQL,
+    "op13_source_divergence": divergence.SQL,
 }

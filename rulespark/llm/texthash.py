@@ -270,3 +270,18 @@ def token_ngrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 def sums_by_text(values: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
     """Sum of the values of each text."""
     return np.bincount(text, weights=values, minlength=size)[:size]
+
+
+#: Letters and characters beyond ASCII; and the same with digits.
+IS_LETTER = byte_table(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
+IS_LETTER_OR_DIGIT = byte_table(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
+
+
+def terms(texts: Texts, members: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The maximal runs of the bytes ``members``, A-Z lower-cased: a binary array, and how many each text has."""
+    inside = members[texts.data]
+    found = spans(texts, inside)
+    offsets = np.zeros(len(found.start) + 1, dtype=np.int64)
+    np.cumsum(found.end - found.start, out=offsets[1:])
+    data = LOWER[texts.data[inside]]
+    return pa.Array.from_buffers(pa.large_binary(), len(found.start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), found.counts
