@@ -68,7 +68,16 @@ def _partial_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, so
         rows = 0
 
         def merged(tables: list[pa.Table]) -> pa.Table:
-            return pa.concat_tables(tables).group_by(["group", "term"], use_threads=False).aggregate([("documents", "sum"), ("occurrences", "sum")]).rename_columns(["group", "term", "documents", "occurrences"])
+            whole = pa.concat_tables(tables)
+            coded = whole["term"].combine_chunks().dictionary_encode()
+            size = len(coded.dictionary)
+            key = whole["group"].to_numpy().astype(np.int64) * size + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sums = {name: pa.array(np.add.reduceat(whole[name].to_numpy()[order], new)) for name in ("documents", "occurrences")}
+            key = key[new]
+            return pa.table({"group": pa.array(key // size, pa.int32()), "term": coded.dictionary.take(pa.array(key % size))} | sums)
 
         def emitted(found: pa.Table) -> Iterator[pa.RecordBatch]:
             names = list(groups)
