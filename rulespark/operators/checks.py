@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulespark.functions import facts
+from rulespark.functions import duties, facts
 from rulespark.functions.keys import contains_any, norm_literal, norm_text, strip_blanks, terms_in
 from rulespark.operators.relational import any_of
 from rulespark.plans.records import PLACE, SCOPE, Context, issues, scope_known, wide, with_key
@@ -290,10 +290,16 @@ def _same_duty(whole_cells: bool, by_text: bool) -> Check:
             issues(own.where(F.col("role") == ""), "violation", "explicit_role_missing", "role"),
             issues(own.where((F.col("role") != "") & ~F.col("role").isin(list(ROLES))), "violation", "invalid_role", "role", actual_text=F.col("role")),
         ]
-        kinds = facts.assumed_types(F.coalesce("duty", F.lit("")))
+        if by_text:
+            # Without a stated role, the one type that the duty assumes beyond doubt.
+            own = duties.with_facts(own, "duty", [], 3)
+            known = F.array_intersect(duties.assumed(F.col("_facts"), True), F.array(*(F.lit(t) for t in ROLES.values())))
+            kinds = F.when(~duties.contradicts_itself(F.col("_facts")) & ~duties.unresolved(F.col("_facts")), known)
+        else:
+            kinds = facts.assumed_types(F.coalesce("duty", F.lit("")))
         by_type = F.create_map(*(F.lit(x) for role, t in ROLES.items() for x in (t, role)))
         own = own.withColumn("_role", F.when(F.col("role").isin(list(ROLES)), F.col("role")).when((F.coalesce("role", F.lit("")) == "") & (F.size(kinds) == 1), F.element_at(by_type, F.get(kinds, F.lit(0)))))
-        own = own.where("_role IS NOT NULL")
+        own = own.where("_role IS NOT NULL").drop("_facts")
         placeless = own.where(~scope_known())
         out.append(issues(placeless, "review", "separation_scope_missing", "measure_id"))
         own = own.where(scope_known())
@@ -460,47 +466,189 @@ def responsibility_unit_specific(ctx: Context, rows: DataFrame, p: dict[str, Any
     return union([issues(unavailable(own, f), "review", "responsibility_unit_unavailable", f), issues(own.where(F.size("_units") > 0), "violation", "responsibility_unit_not_concrete", f, generic_unit_names=F.col("_units"))])
 
 
-@check("value_mapping", 1, 2, 3, 4, 5)
-def value_mapping(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """A role needs the responsibility of its mapping, assumed by some clause and denied by none."""
-    role, text = p["source_field"], p["text_field"]
-    own = wide(rows, [role, text]).where((F.coalesce(F.col(role), F.lit("")) != "") & (F.coalesce(F.col(text), F.lit("")) != ""))
-    mapping = F.create_map(*(x for k, v in p["mapping"].items() for x in (F.lit(norm_literal(k)), F.array(*(F.lit(norm_literal(t)) for t in v)))))
-    own = own.withColumn("_wanted", F.element_at(mapping, F.col(role))).withColumn("_assumed", facts.assumed_types(F.col(text))).withColumn("_denied", facts.denied_types(F.col(text)))
-    contradiction = F.size(F.array_intersect("_assumed", "_denied")) > 0
-    met = F.arrays_overlap("_wanted", "_assumed") & ~contradiction
-    bad = own.where("_wanted IS NOT NULL").where(~met)
-    unclear = (F.size("_assumed") == 0) & (F.size("_denied") == 0)
-    what = F.when(contradiction, "responsibility_contradiction").when(unclear, "responsibility_role_missing").otherwise("responsibility_role_mismatch")
+def _types(texts: list[str]) -> Column:
+    return F.array(*(F.lit(t) for t in texts)).cast("array<string>")
+
+
+def _first_mapping(own: DataFrame, role: str, text: str, mapping: dict[str, list[str]]) -> DataFrame:
+    """Version 1: the words of the mapping anywhere in the text."""
+    says = {r: contains_any(F.coalesce(F.col(text), F.lit("")), words) for r, words in mapping.items()}
+    own = own.withColumn("_roles", F.array_compact(F.array(*(F.when(v, F.lit(r)) for r, v in says.items())).cast("array<string>")))
+    known = own.where(F.col("_wanted").isNotNull())
+    met = F.exists("_wanted", lambda t: F.contains(F.coalesce(F.col(text), F.lit("")), t))
     return union(
         [
-            issues(own.where("_wanted IS NULL"), "review", "role_not_mapped", role, ["role"], role=F.col(role)),
-            issues(bad, F.when(contradiction, "review").otherwise("violation"), what, text, ["role"], role=F.col(role), expected=F.col("_wanted"), assumed=F.col("_assumed")),
+            issues(own.where("_wanted IS NULL"), "review", "responsibility_role_unresolved", role, ["role"], role=F.col(role)),
+            issues(known.where("size(_roles) > 1"), "review", "responsibility_multiple_types", text, roles=F.col("_roles")),
+            issues(known.where("size(_roles) <= 1").where(~met), "violation", "responsibility_role_missing", text, ["role"], role=F.col(role), expected=F.col("_wanted")),
         ]
     )
 
 
-def _phrase(skeleton: bool) -> Check:
+def _value_mapping(version: int) -> Check:
+    """A role needs the responsibility of its mapping.
+
+    1: in any words; 2: assumed in a statement that is not denied, quoted or
+    delegated; 3: nor somebody else's or taken back later; 4: only rows that
+    state a role, with unclear scopes left undecided; 5: one of several types
+    that the row assumes is enough.
+    """
+
     def run(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
-        own = wide(rows, ["duty"])
-        duty = F.col("duty")
-        attributes = terms_in(duty, literals(p["attributes"]))
-        kinds = facts.assumed_types(duty) if skeleton else terms_in(duty, list(facts.RESPONSIBILITY_TYPES))
-        some = own.where(duty != "").withColumn("_attributes", attributes).withColumn("_kinds", kinds)
-        bad = some.where((F.size("_attributes") == 0) | (F.size("_kinds") == 0))
+        role, text = p["source_field"], p["text_field"]
+        mapping = {norm_literal(k): literals(v) for k, v in p["mapping"].items()}
+        wanted = F.element_at(F.create_map(*(x for k, v in mapping.items() for x in (F.lit(k), _types(v)))), F.coalesce(F.col(role), F.lit(""))) if mapping else F.lit(None).cast("array<string>")
+        own = wide(rows, [role, text]).withColumn("_wanted", wanted)
+        if version == 1:
+            return _first_mapping(own, role, text, mapping)
+        if version >= 4:
+            own = own.where(F.coalesce(F.col(role), F.lit("")) != "")
+        known = own.where("_wanted IS NOT NULL")
+        some = duties.with_facts(known.where(readable(text) & (F.col(text) != "")), text, [], 1 if version == 2 else 2 if version == 3 else 3)
+        says = F.col("_facts")
+        mapped = _types(sorted({t for words in mapping.values() for t in words}))
+        some = some.withColumn("_assumed", F.array_intersect(duties.assumed(says, version >= 4), mapped))
+        more = F.size(duties.beyond_statements(says)) > 0
+        delegated = F.exists(says["statements"], lambda s: s["delegated"])
+        none = F.size("_assumed") == 0
+        agrees = F.arrays_overlap("_assumed", "_wanted")
+        if version == 2:
+            blurred = delegated | (says["text"].rlike("(?:主体|审核|审批)[^。,;责任]{1,3}责任") & none)
+            kind, what = F.lit("review"), F.when(more | blurred, "responsibility_role_unresolved")
+        else:
+            others = duties.only_of_others(says) if version == 3 else F.exists(says["statements"], lambda s: s["other_actor"]) & (F.size(duties.own_statements(says, True)) == 0)
+            decided = F.when(duties.contradicts_itself(says), "responsibility_self_contradiction")
+            if version >= 4:
+                decided = decided.when(duties.unresolved(says), "responsibility_role_unresolved")
+            what = decided.when(others, "responsibility_other_actor").when(says["malformed"] & none, "responsibility_expression_malformed").when(more | (delegated & none), "responsibility_role_unresolved")
+        what = what.when(F.size("_assumed") > 1, "responsibility_multiple_types").when(agrees, F.lit(None)).when(none, "responsibility_role_missing").otherwise("responsibility_role_conflict")
+        some = some.withColumn("_what", what).where("_what IS NOT NULL")
+        if version == 5:
+            some = some.where(~agrees | duties.contradicts_itself(says))
+        kind = F.when(F.col("_what").isin("responsibility_role_unresolved", "responsibility_multiple_types"), "review").otherwise("violation")
         return union(
             [
-                issues(unavailable(own, "duty"), "review", "responsibility_unavailable", "duty"),
-                issues(bad, "violation", "responsibility_phrase_missing", "duty", responsibility_attributes=F.col("_attributes"), responsibility_types=F.col("_kinds")),
+                issues(own.where("_wanted IS NULL"), "review", "responsibility_role_unresolved", role, ["role"], role=F.col(role)),
+                issues(unavailable(known, text), "review", "responsibility_unavailable", text),
+                issues(some, kind, F.col("_what"), text, ["role"], role=F.col(role), expected=F.col("_wanted"), assumed=F.col("_assumed")),
             ]
         )
 
     return run
 
 
-for _v in range(1, 9):
-    CHECKS["responsibility_phrase", _v] = _phrase(True)
-CHECKS["responsibility_phrase", 9] = _phrase(False)
+for _v in range(1, 6):
+    CHECKS["value_mapping", _v] = _value_mapping(_v)
+
+
+def _phrase_by_pattern(version: int, attributes: list[str]) -> Callable[[Column], Column]:
+    """Versions 1 to 4 accept a text by patterns alone."""
+    words = "|".join(f"\\Q{a}\\E" for a in attributes)
+    bare = "|".join(f"\\Q{a}\\E" for a in dict.fromkeys([*attributes, *(a[:-1] for a in attributes if a.endswith("性"))]))
+    longest = "|".join(f"\\Q{a}\\E" for a in sorted(dict.fromkeys([*attributes, *(a[:-1] for a in attributes if a.endswith("性"))]), key=len, reverse=True))
+    # The sentence patterns and their denials.
+    said = words if version <= 2 else bare
+    stated = rf"对[^。！？!?；;]*?(?:{said})[^。！？!?；;]*?(?:负有?|承担)[^。！？!?；;]*?责任"
+    stated_denial = r"不负|不承担|无需|不需要"
+    denial = r"(?:不(?:必|用|再|得|应|应当|需要|能|会|愿)?|无需|无须|免于)"
+    charged = rf"对(?:(?![，,](?:但|并|且|而)?(?:{denial})?对)[^。！？!?；;])*?(?:{said})(?:(?:[、,，]|及|和|与)(?:{said}))*[，,]?(?:直接|全面|共同|分别)?负责(?=[，,。；;！？!?]|$)"
+    charged_list = rf"(?:{said})(?:(?:[、,，]|及|和|与)(?:{said}))*[，,]?(?:直接|全面|共同|分别)?负责$"
+    shared = rf"[^。!?！？;]{{2,180}}?(?:{longest})[^。!?！？;]{{0,80}}?(?:具有|负有?|承担|有)(?:主体|审核|审批|复核)?责任"
+    shared_object = rf"^([^。!?！？;]{{2,180}}?)(?:{longest})"
+    shared_denial = r"不(?:负|承担|具有|对)|没(?:有|有义务)|无需|无须|免于|不需要"
+
+    def accepted(duty: Column) -> Column:
+        ok = F.exists(duties.occurrences(duty, stated), lambda m: ~m["text"].rlike(stated_denial) & (F.substr(duty, m["start"], F.lit(1)) != "不") | ((m["start"] == 0) & ~m["text"].rlike(stated_denial)))
+        if version >= 2:
+
+            def charges(m: Column) -> Column:
+                thing = F.regexp_replace(F.regexp_replace(F.substr(m["text"], F.lit(2)), charged_list, ""), "^[的、,，与及和]+|[的、,，与及和]+$", "")
+                content = F.regexp_replace(thing, rf"(?:{said})|[的、,，及和与]", "")
+                return (content != "") & ~thing.rlike("^[照比]") & ~F.substr(duty, F.lit(1), m["start"]).rlike(rf"{denial}(?:直接|全面|共同|分别)?$")
+
+            ok = ok | F.exists(duties.occurrences(duty, charged), charges)
+        if version == 4:
+            ok = ok & ~duty.rlike("(?:无需|无须|免于|不需要)对")
+            thing = lambda m: F.regexp_replace(F.regexp_extract(m["text"], shared_object, 1), rf"(?:{longest})|[对的、,及和与]", "")
+            ok = ok | F.exists(duties.occurrences(duty, shared), lambda m: (F.length(thing(m)) >= 2) & ~m["text"].rlike(shared_denial))
+        return ok
+
+    return accepted
+
+
+def _phrase_by_facts(some: DataFrame, attributes: list[str], version: int) -> DataFrame:
+    """Versions 5 to 8: rows whose statements do not make the phrase, with ``_what`` and ``_kind``."""
+    first = duties.with_facts(some, "duty", attributes, 1 if version == 5 else 2)
+    says = F.col("_facts")
+    own = duties.own_statements(says)
+    complete = F.exists(own, lambda s: (F.size(s["qualities"]) > 0) & s["object_present"])
+    spoken = (F.size(says["qualities"]) > 0) & ((F.size(own) > 0) | (F.size(says["mentioned"]) > 0) | says["text"].contains("责任"))
+    all_denied = (F.size(says["statements"]) > 0) & F.forall(says["statements"], lambda s: s["negative"])
+    open_ends = F.when(spoken & ~all_denied, "responsibility_structure_unresolved").otherwise("responsibility_assertion_missing")
+    if version == 5:
+        what = F.when(complete, F.lit(None)).when((F.size(own) > 0) & (F.size(says["qualities"]) == 0), "responsibility_quality_missing").otherwise(open_ends)
+    else:
+        unlinked = F.exists(own, lambda s: s["unlinked"])
+        plain = (F.size(own) > 0) & ~F.exists(own, lambda s: F.size(s["qualities"]) > 0) & (F.size(duties.beyond_statements(says)) == 0)
+        silent = (F.size(says["statements"]) == 0) & (F.size(says["mentioned"]) == 0) & ~says["text"].rlike("(?:负有?|承担|担负|具有|履行|落实)[^。;；]{0,35}责任")
+        what = (
+            F.when(duties.contradicts_itself(says), "responsibility_self_contradiction").when(complete, F.lit(None)).when(duties.only_of_others(says), "responsibility_other_actor")
+            .when(says["malformed"], "responsibility_expression_malformed").when(unlinked, "responsibility_structure_unresolved").when(plain, "responsibility_quality_missing")
+            .when(silent, "responsibility_assertion_missing").otherwise(open_ends)
+        )
+    first = first.withColumn("_what", what)
+    if version <= 6:
+        return first.where("_what IS NOT NULL").withColumn("_kind", F.when(F.col("_what") == "responsibility_structure_unresolved", "review").otherwise("violation"))
+    full = duties.with_facts(first, "duty", attributes, 3, "_full")
+    says = F.col("_full")
+    if version == 8:
+        phrased = F.exists(duties.own_statements(says), lambda s: (F.size(s["qualities"]) > 0) & (F.size(F.array_except(s["unresolved"], F.array(F.lit("actor_identity")))) == 0))
+        return full.where(~phrased | duties.contradicts_itself(says)).withColumn("_kind", F.lit("violation"))
+    typed = lambda s: F.arrays_overlap(s["roles"], _types(list(facts.RESPONSIBILITY_TYPES)))
+    stands = F.exists(duties.own_statements(says, True), lambda s: ((F.size(s["qualities"]) > 0) & s["object_present"]) | typed(s))
+    others = F.exists(says["statements"], lambda s: s["other_actor"])
+    late = F.when(duties.contradicts_itself(says), "responsibility_self_contradiction").when(others, "responsibility_other_actor").otherwise("responsibility_assertion_missing")
+    full = full.where(~stands | duties.contradicts_itself(says)).withColumn("_what", F.when(duties.unresolved(says), "responsibility_structure_unresolved").otherwise(F.coalesce("_what", late)))
+    return full.withColumn("_kind", F.when(F.col("_what") == "responsibility_structure_unresolved", "review").otherwise("violation"))
+
+
+def _phrase(version: int) -> Check:
+    """A duty states an attribute and a responsibility.
+
+    1 to 4: by sentence patterns; 5 and 6: a statement of the row itself that
+    links an object and an attribute, with the reason it fails; 7: or one of a
+    type, unclear scopes left undecided; 8: an attribute within a statement; 9: both
+    words anywhere.
+    """
+
+    def run(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
+        own = wide(rows, ["duty"])
+        duty, attributes = F.col("duty"), literals(p["attributes"])
+        some = own.where(readable("duty") if version <= 3 else readable("duty") & (duty != ""))
+        evidence: dict[str, Column] = {}
+        kind: Column = F.lit("violation")
+        what: Column = F.lit("responsibility_phrase_missing")
+        if version <= 4:
+            some = own.where(readable("duty"))
+            bad = some.where(~_phrase_by_pattern(version, attributes)(duty))
+        elif version <= 8:
+            bad = _phrase_by_facts(some, attributes, version)
+            kind = F.col("_kind")
+            if version <= 6:
+                what = F.col("_what")
+            elif version == 7:
+                evidence = {"original_issue_type": F.col("_what")}
+        else:
+            bad = some.withColumn("_attributes", terms_in(duty, attributes)).withColumn("_kinds", terms_in(duty, list(facts.RESPONSIBILITY_TYPES)))
+            bad = bad.where((F.size("_attributes") == 0) | (F.size("_kinds") == 0))
+            evidence = {"responsibility_attributes": F.col("_attributes"), "responsibility_types": F.col("_kinds")}
+        return union([issues(unavailable(own, "duty"), "review", "responsibility_unavailable", "duty"), issues(bad, kind, what, "duty", **evidence)])
+
+    return run
+
+
+for _v in range(1, 10):
+    CHECKS["responsibility_phrase", _v] = _phrase(_v)
 
 
 @check("responsibility_department_alignment", 1)

@@ -34,6 +34,19 @@ DUTY = {
     "person_names": "concat('p', o_custkey % 17)",
     "duty": "CASE WHEN o_orderkey % 13 = 5 THEN '核对台账' ELSE concat('对第', o_custkey % 3, '项资料的真实性负', CASE WHEN o_orderstatus = 'O' THEN '主体责任' ELSE '审核责任' END) END",
 }
+# Sentences that tell the grammars of responsibility apart: whose statement it is, denied or not, taken back, quoted, with a second one.
+CLAUSE = {
+    "entity_code": "concat('E', o_custkey % 4)",
+    "file_path": "concat('o', o_orderkey % 400)",
+    "record_id": "concat('c', o_orderkey)",
+    "role": "CASE o_custkey % 4 WHEN 0 THEN '审核' WHEN 1 THEN '审批' ELSE '经办' END",
+    "duty": "concat(CASE WHEN o_orderkey % 11 = 7 THEN '参照“供应商承担审批责任”的说明,' ELSE '' END,"
+    " CASE o_orderkey % 7 WHEN 1 THEN '本岗位' WHEN 2 THEN '供应商' WHEN 3 THEN '其他部门' WHEN 4 THEN '建设部' WHEN 5 THEN '由供应商' WHEN 6 THEN '并非本岗位' ELSE '' END,"
+    " '对第', o_custkey % 3, '项资料的', CASE WHEN o_custkey % 5 < 3 THEN '真实性' ELSE '内容' END, CASE o_orderkey % 5 WHEN 1 THEN '承担' WHEN 2 THEN '负有' WHEN 3 THEN '不负' WHEN 4 THEN '不应承担' ELSE '负' END,"
+    " CASE WHEN o_orderstatus = 'O' THEN '主体责任' ELSE '审核责任' END,"
+    " CASE o_orderkey % 11 WHEN 3 THEN '。本岗位不承担上述责任' WHEN 5 THEN ',但本岗位不承担审批责任' WHEN 9 THEN ';对台账承担审批责任' ELSE '' END)",
+    "person_names": "'p'",
+}
 MEASURE = {
     "entity_code": "concat('E', p_partkey % 5)",
     "file_path": "'m'",
@@ -49,11 +62,11 @@ def _view(names: dict[str, str], table: str, row: str) -> str:
     return f"SELECT {', '.join(f'{v} AS {k}' for k, v in names.items())}, CAST({row} AS INT) AS line FROM {table}"
 
 
-WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')})"
+WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')})"
 
 
 def _records(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
+    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
     rows = spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*(f"{v} AS {k}" for k, v in names.items()), f"CAST({row} AS INT) AS `row`")
 
     def cell(name: str) -> Any:
@@ -63,9 +76,9 @@ def _records(spark: SparkSession, d: str, kind: str) -> DataFrame:
         return F.struct(*(values.get(f, F.lit(None)).alias(f) for f in fields)).cast(CELL)
 
     own = [k for k in names if k not in ("entity_code", "file_path", "record_id")]
-    people = F.array(F.struct(F.col("person_names").alias("name"), F.lit(None).cast("string").alias("person_id"), F.lit(False).alias("identity_reliable"))) if kind == "position_duty" else F.array()
+    people = F.array(F.struct(F.col("person_names").alias("name"), F.lit(None).cast("string").alias("person_id"), F.lit(False).alias("identity_reliable"))) if kind != "matrix" else F.array()
     return rows.select(
-        F.lit(kind).alias("record_type"), "entity_code", F.lit("06").alias("business_code"), F.lit("06").alias("business_id"), F.lit("default").alias("variant_id"), "file_path", F.lit("s").alias("sheet"), "row",
+        F.lit("position_duty" if kind == "clauses" else kind).alias("record_type"), "entity_code", F.lit("06").alias("business_code"), F.lit("06").alias("business_id"), F.lit("default").alias("variant_id"), "file_path", F.lit("s").alias("sheet"), "row",
         F.create_map(*(x for k in own for x in (F.lit(k), cell(k)))).alias("fields"), "record_id", people.cast("array<struct<name:string,person_id:string,identity_reliable:boolean>>").alias("person_keys"),
     )
 
@@ -94,7 +107,7 @@ def through_check(name: str, operator: str, version: int, kind: str | None, sql:
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         ctx = context(spark, d, needs if needs is not None else (kind,) if kind else ())
-        rows = ctx.of_type(kind) if kind else ctx.records
+        rows = ctx.of_type("position_duty" if kind == "clauses" else kind) if kind else ctx.records
         found = CHECKS[operator, version](ctx, rows, params or {})
         key = "entity_code" if operator in PACKAGE_CHECKS else "record_id"
         return found.select(key, "kind", "issue_type", *(F.get_json_object("evidence", f"$.{e}").alias(e) for e in evidence))
@@ -166,11 +179,48 @@ through_check(
 )
 through_check(
     "value_mapping", "value_mapping", 5, "position_duty",
-    """SELECT record_id, 'violation' AS kind, CASE WHEN duty = '核对台账' THEN 'responsibility_role_missing' ELSE 'responsibility_role_mismatch' END AS issue_type FROM duties
+    """SELECT record_id, 'violation' AS kind, CASE WHEN duty = '核对台账' THEN 'responsibility_role_missing' ELSE 'responsibility_role_conflict' END AS issue_type FROM duties
     WHERE role <> '' AND NOT contains(duty, CASE role WHEN '经办' THEN '主体责任' WHEN '审核' THEN '审核责任' ELSE '审批责任' END)""",
     {"source_field": "role", "text_field": "duty", "mapping": {"经办": ["主体责任"], "审核": ["审核责任"], "审批": ["审批责任"]}},
 )
 through_check("responsibility_phrase", "responsibility_phrase", 9, "position_duty", "SELECT record_id, 'violation' AS kind, 'responsibility_phrase_missing' AS issue_type FROM duties WHERE NOT contains(duty, '真实性')", {"attributes": ["真实性"]})
+# What the generated sentences say, by grammar: 2 takes 不应 for no denial, a named unit and 并非 for the row itself.
+SAID = """, said AS (SELECT *, CASE role WHEN '经办' THEN '主体责任' WHEN '审核' THEN '审核责任' ELSE '审批责任' END AS wanted,
+      CASE WHEN o_orderstatus = 'O' THEN '主体责任' ELSE '审核责任' END AS type, contains(duty, '真实性') AS quality, o_orderkey % 7 IN (2, 3, 5) AS other, o_orderkey % 11 = 3 AS taken_back, o_orderkey % 11 = 7 AS quote, o_orderkey % 11 = 9 AS second,
+      o_orderkey % 5 = 3 AS no2, o_orderkey % 5 IN (3, 4) OR o_orderkey % 7 = 6 AS no3, o_orderkey % 7 = 4 OR (o_orderkey % 7 = 6 AND o_orderkey % 5 IN (3, 4)) AS unclear
+      FROM clauses JOIN orders ON record_id = concat('c', o_orderkey)),
+    own AS (SELECT *, NOT (no2 OR other OR taken_back) AS own2, NOT (no3 OR other OR taken_back) AS own3, taken_back AND NOT no2 AND NOT other AS against2, taken_back AND NOT no3 AND NOT other AS against3 FROM said)"""
+ONE_OF = "CASE WHEN {own} AND second THEN {both} WHEN {own} AND type = wanted OR second AND wanted = '审批责任' THEN NULL WHEN NOT {own} AND NOT second THEN 'responsibility_role_missing' ELSE 'responsibility_role_conflict' END"
+OF_ROLE = """{said}, judged AS (SELECT record_id, {chain} ELSE {rest} END AS issue_type FROM own)
+    SELECT record_id, CASE WHEN issue_type IN ('responsibility_role_unresolved', 'responsibility_multiple_types') THEN 'review' ELSE 'violation' END AS kind, issue_type FROM judged WHERE issue_type IS NOT NULL"""
+CHAIN_2 = "CASE WHEN against2 THEN 'responsibility_self_contradiction' WHEN other AND NOT second THEN 'responsibility_other_actor'"
+CHAIN_3 = "CASE WHEN against3 THEN 'responsibility_self_contradiction' WHEN unclear THEN 'responsibility_role_unresolved' WHEN other AND NOT second THEN 'responsibility_other_actor'"
+EITHER = "CASE WHEN wanted IN (type, '审批责任') THEN NULL ELSE 'responsibility_multiple_types' END"
+ROLE_PARAMS = {"source_field": "role", "text_field": "duty", "mapping": {"经办": ["主体责任"], "审核": ["审核责任"], "审批": ["审批责任"]}}
+for _version, _chain, _own, _both in ((3, CHAIN_2, "own2", "'responsibility_multiple_types'"), (4, CHAIN_3, "own3", "'responsibility_multiple_types'"), (5, CHAIN_3, "own3", EITHER)):
+    _sql = OF_ROLE.format(said=SAID, chain=_chain, rest=ONE_OF.format(own=_own, both=_both))
+    if _version == 5:  # what the row assumes beyond doubt is enough, whatever else is unclear
+        _sql = _sql.replace("SELECT record_id, CASE WHEN against3", "SELECT record_id, CASE WHEN NOT against3 AND (own3 AND NOT unclear AND type = wanted OR second AND wanted = '审批责任') THEN NULL WHEN against3")
+    through_check(f"value_mapping_{_version}", "value_mapping", _version, "clauses", _sql, ROLE_PARAMS)
+REASON_6 = """CASE WHEN against2 THEN 'responsibility_self_contradiction' WHEN own2 AND quality THEN NULL WHEN other AND NOT second THEN 'responsibility_other_actor'
+      WHEN own2 OR second THEN 'responsibility_quality_missing' WHEN quality AND quote THEN 'responsibility_structure_unresolved' ELSE 'responsibility_assertion_missing' END"""
+through_check(
+    "responsibility_phrase_6", "responsibility_phrase", 6, "clauses",
+    f"""{SAID}, judged AS (SELECT record_id, {REASON_6} AS issue_type FROM own)
+    SELECT record_id, CASE WHEN issue_type = 'responsibility_structure_unresolved' THEN 'review' ELSE 'violation' END AS kind, issue_type FROM judged WHERE issue_type IS NOT NULL""",
+    {"attributes": ["真实性"]},
+)
+through_check(
+    "responsibility_phrase_7", "responsibility_phrase", 7, "clauses",
+    f"""{SAID} SELECT record_id, CASE WHEN unclear OR coalesce({REASON_6} = 'responsibility_structure_unresolved', false) THEN 'review' ELSE 'violation' END AS kind, 'responsibility_phrase_missing' AS issue_type
+    FROM own WHERE against3 OR NOT (own3 AND NOT unclear OR second)""",
+    {"attributes": ["真实性"]},
+)
+through_check(
+    "responsibility_phrase_8", "responsibility_phrase", 8, "clauses",
+    f"{SAID} SELECT record_id, 'violation' AS kind, 'responsibility_phrase_missing' AS issue_type FROM own WHERE against3 OR NOT (own3 AND quality)",
+    {"attributes": ["真实性"]},
+)
 through_check(
     "responsibility_department_alignment", "responsibility_department_alignment", 1, "matrix",
     f"""SELECT record_id, 'review' AS kind, 'responsibility_department_mismatch' AS issue_type FROM measures m
