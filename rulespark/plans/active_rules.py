@@ -44,10 +44,9 @@ QUALITIES = ["一致性", "准确性", "真实性", "完整性", "有效性", "
 RESPONSIBILITIES = {"经办": ["主体责任"], "审核": ["审核责任"], "审批": ["审批责任"]}
 
 
-def _list_of(words: list[str]) -> str:
-    """A pattern of cells that hold nothing but such words, one or several."""
-    word = "|".join(re.escape(norm_literal(w)) for w in words)
-    return f"^(?:{word})(?:[/、,，；;](?:{word}))*$"
+def _holding(words: list[str]) -> str:
+    """A pattern of cells that hold one of the words, alone or within a longer name."""
+    return f"(?:{'|'.join(re.escape(norm_literal(w)) for w in dict.fromkeys(words) if w)})"
 
 
 def _rule(code: str, rule_id: str, record_type: str, *checks: tuple[str, str, int, dict[str, Any], str]) -> dict[str, Any]:
@@ -62,12 +61,21 @@ def _constraint(field: str, words: list[str], pattern: str, **exceptions: list[s
     return {"field": field, "placeholders": [*words, *FILLERS], "placeholder_patterns": [pattern], "separators": [], **exceptions}
 
 
+def specific_departments() -> dict[str, Any]:
+    """Parameters of the check that departments are concrete."""
+    return _constraint("department", DEPARTMENTS, _holding(DEPARTMENTS), prefix_exceptions=DEPARTMENT_PREFIXES, contains_exceptions=[])
+
+
+def specific_positions() -> dict[str, Any]:
+    """Parameters of the check that positions are concrete."""
+    return _constraint("position", POSITIONS, _holding(POSITIONS), prefix_exceptions=[], contains_exceptions=POSITION_PARTS)
+
+
 def active_pack(entity_codes: list[str], businesses: list[dict[str, Any]]) -> Pack:
     """The rules in force for a submission of these entities and businesses (see ``submission_scope`` of a pack)."""
     deleted = {"source_fields": ["control_measure", "carrier"], "target_field": "duty", "match_scope": "measure"}
     gone = "【第9条】矩阵中对应的措施或载体已删除，请核对岗位职责描述是否规范。"
-    departments = _constraint("department", DEPARTMENTS, _list_of(DEPARTMENTS), prefix_exceptions=DEPARTMENT_PREFIXES, contains_exceptions=[])
-    positions = _constraint("position", POSITIONS, _list_of(POSITIONS), prefix_exceptions=[], contains_exceptions=POSITION_PARTS)
+    # Codes, ids and message texts of the rules.
     rules = [
         _rule(
             "R01", "documents.completeness", "package",
@@ -77,8 +85,8 @@ def active_pack(entity_codes: list[str], businesses: list[dict[str, Any]]) -> Pa
         _rule("R02", "entities.explanation", "package", ("entity_difference_explanation", "required_documents", 1, {"material_types": [], "explanation_mode": True}, "【第2条】主体差异缺少可归属的Word说明。")),
         _rule(
             "R05", "duties.completeness", "position_duty",
-            ("department_specific", "field_constraints", 6, departments, "【第5条】部门应具体。"),
-            ("position_specific", "field_constraints", 6, positions, "【第5条】岗位名称应具体。"),
+            ("department_specific", "field_constraints", 6, specific_departments(), "【第5条】部门应具体。"),
+            ("position_specific", "field_constraints", 6, specific_positions(), "【第5条】岗位名称应具体。"),
             ("person_required", "field_constraints", 4, _constraint("person_names", [], PERSON_PATTERN), "【第5条】应具体到人员。"),
         ),
         _rule("R06", "lists.incompatible_exists", "package", ("incompatible_sheet_exists", "sheet_exists", 1, {"sheet_types": ["incompatible_position"]}, "【第6条】三清单缺少不相容岗位清单。")),

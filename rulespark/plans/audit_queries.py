@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.operators.checks import CHECKS, PACKAGE_CHECKS
+from rulespark.plans.active_rules import specific_departments, specific_positions
 from rulespark.plans.engine import Result, run_engine
 from rulespark.plans.records import CELL, ENTITIES, FILES, RECORDS, Context
 
@@ -47,6 +48,15 @@ CLAUSE = {
     " CASE o_orderkey % 11 WHEN 3 THEN '。本岗位不承担上述责任' WHEN 5 THEN ',但本岗位不承担审批责任' WHEN 9 THEN ';对台账承担审批责任' ELSE '' END)",
     "person_names": "'p'",
 }
+# Departments and positions that name a concrete one, a vague one, or a vague word within a longer name.
+POST = {
+    "entity_code": "concat('E', o_custkey % 4)",
+    "file_path": "concat('o', o_orderkey % 400)",
+    "record_id": "concat('p', o_orderkey)",
+    "department": "CASE o_orderkey % 7 WHEN 0 THEN '财务部' WHEN 1 THEN '合同归口管理部门' WHEN 2 THEN '归口管理部门（党委办公室）' WHEN 3 THEN '外包归口管理部门（党委办公室）' WHEN 4 THEN '甲公司-财务管理部门' WHEN 5 THEN '委托代理部' ELSE concat('第', o_custkey % 9, '项目部') END",
+    "position": "CASE o_orderkey % 8 WHEN 0 THEN '会计' WHEN 1 THEN '物资采购人员' WHEN 2 THEN '采购人员专责' WHEN 3 THEN '部门负责人-综合管理人员' WHEN 4 THEN '现场查勘人员' WHEN 5 THEN '营销部管理人员' WHEN 6 THEN '副负责人' ELSE concat('第', o_custkey % 9, '班') END",
+    "person_names": "'p'",
+}
 MEASURE = {
     "entity_code": "concat('E', p_partkey % 5)",
     "file_path": "'m'",
@@ -62,11 +72,11 @@ def _view(names: dict[str, str], table: str, row: str) -> str:
     return f"SELECT {', '.join(f'{v} AS {k}' for k, v in names.items())}, CAST({row} AS INT) AS line FROM {table}"
 
 
-WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')})"
+WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')}), posts AS ({_view(POST, 'orders', 'o_orderkey')})"
 
 
 def _records(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
+    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "posts": (POST, "orders", "o_orderkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
     rows = spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*(f"{v} AS {k}" for k, v in names.items()), f"CAST({row} AS INT) AS `row`")
 
     def cell(name: str) -> Any:
@@ -78,7 +88,7 @@ def _records(spark: SparkSession, d: str, kind: str) -> DataFrame:
     own = [k for k in names if k not in ("entity_code", "file_path", "record_id")]
     people = F.array(F.struct(F.col("person_names").alias("name"), F.lit(None).cast("string").alias("person_id"), F.lit(False).alias("identity_reliable"))) if kind != "matrix" else F.array()
     return rows.select(
-        F.lit("position_duty" if kind == "clauses" else kind).alias("record_type"), "entity_code", F.lit("06").alias("business_code"), F.lit("06").alias("business_id"), F.lit("default").alias("variant_id"), "file_path", F.lit("s").alias("sheet"), "row",
+        F.lit("matrix" if kind == "matrix" else "position_duty").alias("record_type"), "entity_code", F.lit("06").alias("business_code"), F.lit("06").alias("business_id"), F.lit("default").alias("variant_id"), "file_path", F.lit("s").alias("sheet"), "row",
         F.create_map(*(x for k in own for x in (F.lit(k), cell(k)))).alias("fields"), "record_id", people.cast("array<struct<name:string,person_id:string,identity_reliable:boolean>>").alias("person_keys"),
     )
 
@@ -107,7 +117,7 @@ def through_check(name: str, operator: str, version: int, kind: str | None, sql:
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         ctx = context(spark, d, needs if needs is not None else (kind,) if kind else ())
-        rows = ctx.of_type("position_duty" if kind == "clauses" else kind) if kind else ctx.records
+        rows = ctx.of_type("matrix" if kind == "matrix" else "position_duty") if kind else ctx.records
         found = CHECKS[operator, version](ctx, rows, params or {})
         key = "entity_code" if operator in PACKAGE_CHECKS else "record_id"
         return found.select(key, "kind", "issue_type", *(F.get_json_object("evidence", f"$.{e}").alias(e) for e in evidence))
@@ -184,6 +194,9 @@ through_check(
     {"source_field": "role", "text_field": "duty", "mapping": {"经办": ["主体责任"], "审核": ["审核责任"], "审批": ["审批责任"]}},
 )
 through_check("responsibility_phrase", "responsibility_phrase", 9, "position_duty", "SELECT record_id, 'violation' AS kind, 'responsibility_phrase_missing' AS issue_type FROM duties WHERE NOT contains(duty, '真实性')", {"attributes": ["真实性"]})
+VAGUE = "SELECT record_id, 'violation' AS kind, 'field_not_concrete' AS issue_type FROM posts JOIN orders ON record_id = concat('p', o_orderkey) WHERE o_orderkey % {n} IN ({some})"
+through_check("department_specific", "field_constraints", 6, "posts", VAGUE.format(n=7, some="1, 3, 4, 5"), specific_departments())
+through_check("position_specific", "field_constraints", 6, "posts", VAGUE.format(n=8, some="1, 5, 6"), specific_positions())
 # What the generated sentences say, by grammar: 2 takes 不应 for no denial, a named unit and 并非 for the row itself.
 SAID = """, said AS (SELECT *, CASE role WHEN '经办' THEN '主体责任' WHEN '审核' THEN '审核责任' ELSE '审批责任' END AS wanted,
       CASE WHEN o_orderstatus = 'O' THEN '主体责任' ELSE '审核责任' END AS type, contains(duty, '真实性') AS quality, o_orderkey % 7 IN (2, 3, 5) AS other, o_orderkey % 11 = 3 AS taken_back, o_orderkey % 11 = 7 AS quote, o_orderkey % 11 = 9 AS second,
