@@ -72,9 +72,9 @@ def _part(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def occurrences(text: Column, pattern: str) -> Column:
+def occurrences(text: Column, pattern: str | Column) -> Column:
     """The matches of a pattern from left to right: array<struct<start, end, text>>, offsets from 0."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _CLOSE, -1)
+    pieces = F.split(F.regexp_replace(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), _CLOSE, -1)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
 
     def step(state: Column, piece: Column) -> Column:

@@ -13,9 +13,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulespark.functions import duties, facts
+from rulespark.functions import carriers, duties, facts
 from rulespark.functions.keys import contains_any, norm_literal, norm_text, strip_blanks, terms_in
-from rulespark.operators.relational import any_of
+from rulespark.operators.relational import any_of, holding
 from rulespark.plans.records import PLACE, SCOPE, Context, issues, scope_known, wide, with_key
 
 Check = Callable[[Context, DataFrame, dict[str, Any]], DataFrame]
@@ -338,34 +338,70 @@ CHECKS["roles_same_duty", 3] = _same_duty(False, True)
 CHECKS["roles_same_duty", 4] = _same_duty(True, True)
 
 
-@check("set_subset", 1, 2, 3, 4, 5)
-def set_subset(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """Carriers that a row names beyond those of its measure: from its carrier column, and quoted in its duty."""
-    source, target = p["source_field"], p["target_field"]
-    own = with_key(wide(rows, sorted({source, "duty", "carrier", "measure_id"}))).where(scope_known() & F.col("key").isNotNull())
-    aliases = {norm_literal(k): norm_literal(v) for k, v in (p.get("aliases") or {}).items()}
-
-    def canonical(x: Column) -> Column:
-        out = x
-        for k, v in aliases.items():
-            out = F.when(x == k, v).otherwise(out)
-        return out
-
-    parts = [own.select("*", F.lit("carrier").alias("_kind"), F.explode(facts.carrier_names(F.col("carrier"))).alias("_item")), own.select("*", F.lit("duty_text").alias("_kind"), F.explode(facts.quoted_names(F.col("duty"))).alias("_item"))]
-    used = union(parts).withColumn("_item", canonical(F.col("_item"))).where(~F.col("_item").isin(*EMPTY_WORDS))
-    targets = with_key(wide(ctx.of_type(p.get("target_record_type", "matrix")), sorted({target, "measure_id"}))).where(F.col("key").isNotNull() & (F.col(target) != ""))
-    allowed = targets.select(*SCOPE, "key", F.array_sort(F.transform(facts.carrier_names(F.col(target)), canonical)).alias("_set"))
-    one = allowed.groupBy(*SCOPE, "key").agg(F.min("_set").alias("_low"), F.max("_set").alias("_high"))
-    joined = used.join(one, [*SCOPE, "key"])
-    unclear = joined.where("_low != _high").dropDuplicates(["record_id", "_kind"])
-    extra = joined.where((F.col("_low") == F.col("_high")) & ~F.array_contains("_low", F.col("_item")))
-    listed = extra.groupBy(*[c for c in ("record_type", *SCOPE, "business_id", *PLACE, "record_id")], "_kind").agg(F.array_sort(F.collect_set("_item")).alias("_missing"))
-    return union(
-        [
-            issues(unclear, "review", "matrix_ambiguous", "measure_id", ["source_kind"], source_kind=F.col("_kind")),
-            issues(listed, "violation", "carrier_reference_unmatched", source, ["source_kind"], source_kind=F.col("_kind"), missing_references=F.col("_missing")),
+def _words_found(ctx: Context, own: DataFrame, text: str, words: list[str]) -> DataFrame:
+    """``own`` with ``_words``: the words that stand in the text, whatever their number."""
+    if not words:
+        return own.withColumn("_words", F.array().cast("array<string>"))
+    found = holding(own.select("record_id", text), text, ctx.spark.createDataFrame([(w,) for w in words], "_word string"), "_word")
+    return own.join(found.groupBy("record_id").agg(F.collect_set("_word").alias("_words")), "record_id", "left")
+
+
+def _set_subset(version: int) -> Check:
+    """Carriers that a row names beyond those of its measure.
+
+    1 reads the carrier column or else the running text, the others both, each
+    reported by its source; the versions read running text by the grammar of
+    their number (see ``carriers``), and from 3 on carriers have short names.
+    """
+
+    def run(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
+        source, target, body = p["source_field"], p["target_field"], p.get("fallback_explicit_field")
+        aliases = {norm_literal(k): norm_literal(v) for k, v in (p.get("aliases") or {}).items()}
+        named = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)) if aliases else None
+
+        def canonical(x: Column) -> Column:
+            return F.coalesce(F.element_at(named, x), x) if aliases else x
+
+        def measure(rows: DataFrame) -> DataFrame:
+            return with_key(rows).withColumn("_k", F.coalesce(F.col("key").cast("string"), F.concat(F.lit("text:"), "measure_id")))
+
+        own = wide(lines_as_items(rows, source), sorted({source, "measure_id", *([body] if body else [])}))
+        numberless = ~readable("measure_id") | (F.col("measure_id") == "")
+        known = measure(own.where(scope_known() & ~numberless))
+        targets = measure(wide(lines_as_items(ctx.of_type(p.get("target_record_type", "matrix")), target), sorted({target, "measure_id"})).where(readable("measure_id")))
+        listed = F.array_sort(F.array_distinct(F.transform(facts.carrier_names(F.coalesce(F.col(target), F.lit(""))), canonical)))
+        allowed = targets.withColumn("_set", listed).groupBy(*SCOPE, "_k").agg(F.min("_set").alias("_low"), F.max("_set").alias("_high"), F.bool_or(~readable(target)).alias("_gone"))
+        joined = known.join(allowed, [*SCOPE, "_k"], "left")
+        usable = joined.where("NOT _gone AND _low = _high")
+        short = carriers.local_aliases(F.col("_low"), version) if version >= 3 else F.array().cast(carriers.KNOWN)
+        cells = usable.where(F.coalesce(F.col(source), F.lit("")) != "").withColumn("_short", short)
+        cells = cells.withColumn("_missing", F.array_except(F.transform(facts.carrier_names(F.col(source)), lambda x: F.coalesce(F.get(F.filter("_short", lambda s: s["term"] == x), F.lit(0))["name"], canonical(x))), "_low"))
+        beyond = {"source_kind": F.col("_kind"), "missing_references": F.col("_missing")}
+        out = [
+            issues(own.where(~scope_known()), "review", "carrier_scope_unconfirmed"),
+            issues(own.where(scope_known() & numberless), "review", "carrier_measure_id_missing", "measure_id"),
+            issues(joined.where("_low IS NULL OR (NOT _gone AND _low != _high)"), "review", "matrix_ambiguous", "measure_id"),
+            issues(joined.where("_gone"), "review", "carrier_target_unavailable", "measure_id"),
+            issues(cells.where("size(_missing) > 0").withColumn("_kind", F.lit("carrier_field")), "review", "carrier_reference_unmatched", source, ["source_kind"], **beyond),
         ]
-    )
+        if version >= 2:
+            out.append(issues(usable.where(F.col(f"{source}_state") == "unreadable"), "review", "carrier_source_unavailable", source))
+        if body:
+            if version >= 2:
+                out.append(issues(usable.where(F.coalesce(F.col(body), F.lit("")) == ""), "review", "carrier_source_unavailable", body))
+            texts = usable.where(F.coalesce(F.col(body), F.lit("")) != "")
+            texts = texts if version >= 2 else texts.where(F.coalesce(F.col(source), F.lit("")) == "")
+            said = carriers.with_references(_words_found(ctx, texts, body, literals(p.get("terminology") or [])), body, "_low", version, aliases, "_words")
+            said = said.withColumn("_kind", F.lit("duty_text")).withColumn("_missing", F.col("_refs.unresolved"))
+            out.append(issues(said.where("_refs.status = 'unavailable'"), "review", "carrier_parse_unavailable", body, fragments=F.col("_refs.unavailable")))
+            out.append(issues(said.where("size(_missing) > 0"), "review", "carrier_reference_unmatched", body, ["source_kind"], **beyond))
+        return union(out)
+
+    return run
+
+
+for _v in range(1, 6):
+    CHECKS["set_subset", _v] = _set_subset(_v)
 
 
 @check("deleted_text_reappears", 1, 2, 3)

@@ -65,6 +65,17 @@ MEASURE = {
     "applicability": "CASE p_size % 3 WHEN 0 THEN '适用' WHEN 1 THEN '不适用' ELSE '' END",
     "applicability_reason": "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '无此业务' END",
     "responsibility": "concat('dept', p_partkey % 12, '-会计')",
+    "carrier": "CASE WHEN p_partkey % 45 = 7 AND p_partkey % 2 = 0 THEN '付款单' ELSE concat('付款单、第', p_partkey % 3, '号合同或协议') END",
+}
+# Rows that refer to carriers of their measure, in the column and in running text.
+REFERENCE = {
+    "entity_code": "concat('E', o_custkey % 5)",
+    "file_path": "concat('o', o_orderkey % 400)",
+    "record_id": "concat('r', o_orderkey)",
+    "measure_id": "concat('X-', o_custkey % 45, '-控制措施', o_orderkey % 9)",
+    "carrier": "CASE o_orderkey % 4 WHEN 0 THEN '付款单' WHEN 1 THEN '付款单、台账' ELSE '' END",
+    "duty": "CASE o_orderkey % 6 WHEN 0 THEN '对付款单的准确性负主体责任' WHEN 1 THEN '对《台账》的完整性负主体责任' WHEN 2 THEN '对协议的准确性负审核责任' WHEN 3 THEN '对付款单准确匹配情况负审核责任' WHEN 4 THEN '对未知登记表的完整性负责' ELSE '对本岗位工作负责' END",
+    "person_names": "'p'",
 }
 
 
@@ -72,11 +83,11 @@ def _view(names: dict[str, str], table: str, row: str) -> str:
     return f"SELECT {', '.join(f'{v} AS {k}' for k, v in names.items())}, CAST({row} AS INT) AS line FROM {table}"
 
 
-WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')}), posts AS ({_view(POST, 'orders', 'o_orderkey')})"
+WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')}), posts AS ({_view(POST, 'orders', 'o_orderkey')}), referring AS ({_view(REFERENCE, 'orders', 'o_orderkey')})"
 
 
 def _records(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "posts": (POST, "orders", "o_orderkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
+    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "posts": (POST, "orders", "o_orderkey"), "referring": (REFERENCE, "orders", "o_orderkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
     rows = spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*(f"{v} AS {k}" for k, v in names.items()), f"CAST({row} AS INT) AS `row`")
 
     def cell(name: str) -> Any:
@@ -194,6 +205,18 @@ through_check(
     {"source_field": "role", "text_field": "duty", "mapping": {"经办": ["主体责任"], "审核": ["审核责任"], "审批": ["审批责任"]}},
 )
 through_check("responsibility_phrase", "responsibility_phrase", 9, "position_duty", "SELECT record_id, 'violation' AS kind, 'responsibility_phrase_missing' AS issue_type FROM duties WHERE NOT contains(duty, '真实性')", {"attributes": ["真实性"]})
+USED = """, allowed AS (SELECT entity_code, measure_id, min(carrier) AS low, max(carrier) AS high FROM measures GROUP BY ALL),
+    seen AS (SELECT r.*, o_orderkey, low, high FROM referring r JOIN orders ON record_id = concat('r', o_orderkey) LEFT JOIN allowed USING (entity_code, measure_id)), usable AS (SELECT * FROM seen WHERE low = high)
+    SELECT record_id, 'review' AS kind, 'matrix_ambiguous' AS issue_type, NULL AS source_kind, NULL AS missing_references FROM seen WHERE low IS NULL OR low <> high
+    UNION ALL SELECT record_id, 'review', 'carrier_reference_unmatched', 'carrier_field', '["台账"]' FROM usable WHERE o_orderkey % 4 = 1
+    UNION ALL SELECT record_id, 'review', 'carrier_parse_unavailable', NULL, NULL FROM usable WHERE o_orderkey % 6 = 3 AND {read}
+    UNION ALL SELECT record_id, 'review', 'carrier_reference_unmatched', 'duty_text', concat('["', CASE o_orderkey % 6 WHEN 1 THEN '台账' WHEN 2 THEN '协议' ELSE '未知登记表' END, '"]') FROM usable
+      WHERE (o_orderkey % 6 IN (1, 4) OR o_orderkey % 6 = 2 AND {named}) AND {read}"""
+for _version, _read, _named in ((1, "carrier = ''", "true"), (2, "true", "true"), (5, "true", "NOT contains(low, '或协议')")):
+    through_check(
+        f"set_subset_{_version}", "set_subset", _version, "referring", USED.format(read=_read, named=_named),
+        {"source_field": "carrier", "target_record_type": "matrix", "target_field": "carrier", "fallback_explicit_field": "duty"}, ("source_kind", "missing_references"), ("referring", "matrix"),
+    )
 VAGUE = "SELECT record_id, 'violation' AS kind, 'field_not_concrete' AS issue_type FROM posts JOIN orders ON record_id = concat('p', o_orderkey) WHERE o_orderkey % {n} IN ({some})"
 through_check("department_specific", "field_constraints", 6, "posts", VAGUE.format(n=7, some="1, 3, 4, 5"), specific_departments())
 through_check("position_specific", "field_constraints", 6, "posts", VAGUE.format(n=8, some="1, 5, 6"), specific_positions())

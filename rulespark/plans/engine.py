@@ -35,6 +35,13 @@ INTERNAL = {
     "reason_cache_missing": ("field_source_unavailable", "applicability_reason"),
     "person_missing": ("dependency_incomplete", "person_names"),
     "responsibility_unavailable": ("field_source_unavailable", "duty"),
+    "carrier_parse_unavailable": ("parser_incomplete", "duty"),
+    "carrier_source_unavailable": ("field_source_unavailable", "duty"),
+    "carrier_target_unavailable": ("field_source_unavailable", "carrier"),
+    "carrier_scope_unconfirmed": ("scope_unconfirmed", ""),
+    "carrier_measure_id_missing": ("dependency_incomplete", "measure_id"),
+    "responsibility_structure_unresolved": ("parser_incomplete", "duty"),
+    "responsibility_role_unresolved": ("parser_incomplete", "duty"),
     "reference_field_unavailable": ("matrix_source_unconfirmed", "measure_id"),
     "reference_matrix_unavailable": ("matrix_source_unconfirmed", "measure_id"),
 }

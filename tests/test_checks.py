@@ -82,10 +82,23 @@ def test_roles_disjoint(spark):
     assert run(spark, "roles_disjoint", 1, rows, p) == [(1, "violation", "role_overlap"), (2, "violation", "role_overlap")]
 
 
-def test_set_subset(spark):
-    rows = [matrix(1, carrier="《付款单》、合同（正本、副本）"), duty(2, carrier="付款单、验收单"), duty(3, duty="核对《合同（正本、副本）》和《台账》")]
-    p = {"source_field": "carrier", "target_record_type": "matrix", "target_field": "carrier"}
-    assert run(spark, "set_subset", 5, rows, p, ["position_duty"]) == [(2, "violation", "carrier_reference_unmatched"), (3, "violation", "carrier_reference_unmatched")]
+def test_set_subset_by_version(spark):
+    rows = [
+        matrix(1, carrier="《付款单》、合同（正本、副本）"), duty(2, carrier="付款单、验收单"), duty(3, duty="核对《合同（正本、副本）》和《台账》"),
+        duty(4, measure_id=""), duty(5, measure_id="X-9-控制措施1"), duty(6, variant="unknown"), duty(7, carrier=cell("", "formula_no_cache"), duty="对付款单的准确性负主体责任"),
+        duty(8, duty="对合同的准确性负审核责任"), duty(9, carrier="付款单", duty="对付款单准确匹配情况负审核责任"), matrix(10, measure_id="X-2-控制措施1", carrier=cell("", "formula_no_cache")), duty(11, measure_id="X-2-控制措施1"),
+        matrix(12, measure_id="X-3-控制措施1", carrier="甲单"), matrix(13, measure_id="X-3-控制措施1", carrier="乙单"), duty(14, measure_id="X-3-控制措施1"), duty(15, carrier="合同"),
+    ]
+    p = {"source_field": "carrier", "target_record_type": "matrix", "target_field": "carrier", "fallback_explicit_field": "duty"}
+    always = [
+        (2, "review", "carrier_reference_unmatched"), (3, "review", "carrier_reference_unmatched"), (4, "review", "carrier_measure_id_missing"), (5, "review", "matrix_ambiguous"), (6, "review", "carrier_scope_unconfirmed"),
+        (11, "review", "carrier_target_unavailable"), (14, "review", "matrix_ambiguous"),
+    ]
+    wrong, unread, gone = ("review", "carrier_reference_unmatched"), ("review", "carrier_parse_unavailable"), ("review", "carrier_source_unavailable")
+    assert run(spark, "set_subset", 1, rows, p, ["position_duty"]) == sorted([*always, (8, *wrong), (15, *wrong)])
+    assert run(spark, "set_subset", 2, rows, p, ["position_duty"]) == sorted([*always, (7, *gone), (8, *wrong), (9, *unread), (15, *wrong)])
+    for version in (3, 4, 5):  # 合同 is the short name of the one carrier with a bracket
+        assert run(spark, "set_subset", version, rows, p, ["position_duty"]) == sorted([*always, (7, *gone), (9, *unread)])
 
 
 def test_deleted_text_reappears(spark):
