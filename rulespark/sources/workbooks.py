@@ -10,29 +10,37 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import IO
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.functions.keys import norm_literal, norm_text
+from rulespark.functions.keys import norm_text
 from rulespark.operators.relational import holding
 from rulespark.plans.records import with_record_id
+from rulespark.sources.tables import header_rows, in_regions
 
 SPAN = "array<struct<text:string,start:int,end:int>>"
-CELLS = f"relative_path string, sheet string, hidden boolean, `row` int, col int, coordinate string, current string, formula string, state string, deleted_spans {SPAN}, red_spans {SPAN}, error string"
+CELLS = f"relative_path string, sheet string, hidden boolean, `row` int, col int, coordinate string, current string, formula string, state string, deleted_spans {SPAN}, red_spans {SPAN}, area string, error string"
 
 # The parts of a workbook package.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
-#: A sheet whose XML is larger is reported, not read: its cells would not fit a task.
-MOST_XML_BYTES = 64 << 20
+#: Cells that leave a task at a time, and characters of text among them.
+BATCH_CELLS, BATCH_CHARACTERS = 20_000, 4 << 20
+
+#: Bytes of a sheet's XML that are looked at in one step.
+STEP_BYTES = 1 << 20
 
 RED = "FFFF0000"
 
+__all__ = ["classify_material", "header_rows", "longest_alias", "read_cells", "read_files", "records_from_cells", "with_system_types", "workbook_cells"]
+
 
 def _column(reference: str) -> int:
     n = 0
@@ -69,42 +77,113 @@ def _without(text: str, spans: list) -> str:
     return text
 
 
+def _place(reference: str) -> tuple[int, int]:
+    return int(re.sub(r"\D", "", reference)), _column(reference)
+
+
+def _merged_areas(stream: IO[bytes]) -> list[tuple[int, int, int, int, str]]:
+    """The merged areas of a sheet in order of their first row; the sheet is read through and must be well-formed."""
+    found = []
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        if name.rpartition(":")[2] == "mergeCell":
+            first, _, last = attributes["ref"].partition(":")
+            found.append((*_place(first), *_place(last or first), attributes["ref"]))
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler = start
+    while part := stream.read(STEP_BYTES):
+        parser.Parse(part, False)
+    parser.Parse(b"", True)
+    return sorted(found)
+
+
+def _cell(c: ElementTree.Element, shared: list) -> dict | None:
+    """What a cell says; None if it only has a format."""
+    kind, value, formula = c.get("t"), c.find(f"{MAIN}v"), c.find(f"{MAIN}f")
+    text, struck, red = value.text if value is not None and value.text else "", [], []
+    if kind == "s" and value is not None:
+        text, struck, red = shared[int(value.text)]
+    elif kind == "inlineStr":
+        text, struck, red = _rich(c.find(f"{MAIN}is"))
+    if not text and formula is None:
+        return None
+    current = _without(text, struck)
+    state = "formula_no_cache" if formula is not None and value is None else "formula_cached" if formula is not None else "value" if current.strip() else "empty"
+    return {"coordinate": c.get("r"), "current": current, "formula": formula.text if formula is not None else None, "state": state, "deleted_spans": struck, "red_spans": red}
+
+
+def sheet_cells(open_sheet: Callable[[], IO[bytes]], shared: list) -> Iterator[dict]:
+    """The cells of a sheet that say something, row by row as the XML passes; a row is let go once it is read.
+
+    A merged area repeats its first cell down to the last row of the sheet that
+    has content; rows and columns that only have formats give nothing.
+    """
+    with open_sheet() as stream:
+        areas = _merged_areas(stream)
+    held: list[tuple[tuple[int, int, int, int, str], dict]] = []  # areas that have begun, with their first cell
+    due, last = 0, 0
+
+    def repeats(row: int) -> Iterator[dict]:
+        """The copies of the areas that cover a row."""
+        for (r1, c1, r2, c2, ref), first in held:
+            if r1 <= row <= r2:
+                for col in range(c1, c2 + 1):
+                    if (row, col) != (r1, c1):
+                        yield first | {"row": row, "col": col, "area": ref}
+
+    with open_sheet() as stream:
+        root = None
+        for event, node in ElementTree.iterparse(stream, events=("start", "end")):
+            if event == "start":
+                if node.tag == f"{MAIN}sheetData":
+                    root = node
+                continue
+            if node.tag != f"{MAIN}row":
+                continue
+            cells: dict[tuple[int, int], dict] = {}
+            for c in node.iter(f"{MAIN}c"):
+                row, col = _place(c.get("r"))
+                if (own := _cell(c, shared)) is not None:
+                    cells[row, col] = own | {"row": row, "col": col, "area": None}
+            if root is not None:
+                root.clear()
+            for row in sorted({r for r, _ in cells}):
+                for between in range(last + 1, row):
+                    yield from repeats(between)
+                held = [x for x in held if x[0][2] >= row]
+                while due < len(areas) and areas[due][0] <= row:
+                    if areas[due][0] == row and (first := cells.get(areas[due][:2])) is not None:
+                        held.append((areas[due], first))
+                        first["area"] = areas[due][4]
+                    due += 1
+                own = {place: c for place, c in cells.items() if place[0] == row}
+                yield from (own | {(c["row"], c["col"]): c for c in repeats(row)}).values()
+                last = row
+
+
 def workbook_cells(content: bytes) -> Iterator[dict]:
-    """The cells of a workbook; merged areas repeat their first cell, struck-out text is no current text."""
+    """The cells of a workbook, sheet after sheet; struck-out text is no current text.
+
+    The texts that its sheets share are held, everything else passes: a sheet of any size takes
+    the memory of a row and of the merged areas that cover it.
+    """
     book = zipfile.ZipFile(io.BytesIO(content))
     read = lambda name: ElementTree.fromstring(book.read(name))
-    shared = [_rich(s) for s in read("xl/sharedStrings.xml").findall(f"{MAIN}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+    shared: list = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        with book.open("xl/sharedStrings.xml") as stream:
+            for _, node in ElementTree.iterparse(stream):
+                if node.tag == f"{MAIN}si":
+                    shared.append(_rich(node))
+                    node.clear()
     links = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
     for sheet in read("xl/workbook.xml").iter(f"{MAIN}sheet"):
         place = links[sheet.get(LINK)].lstrip("/")
         place = place if place.startswith("xl/") else f"xl/{place}"
         base = {"sheet": sheet.get("name"), "hidden": sheet.get("state", "visible") != "visible", "error": None}
-        if book.getinfo(place).file_size > MOST_XML_BYTES:
-            yield base | {"row": 0, "col": 0, "error": "sheet too large"}
-            continue
-        root, cells = read(place), {}
-        for c in root.iter(f"{MAIN}c"):
-            reference, kind = c.get("r"), c.get("t")
-            value, formula = c.find(f"{MAIN}v"), c.find(f"{MAIN}f")
-            struck, red = [], []
-            if kind == "s" and value is not None:
-                text, struck, red = shared[int(value.text)]
-            elif kind == "inlineStr":
-                text, struck, red = _rich(c.find(f"{MAIN}is"))
-            else:
-                text = value.text if value is not None and value.text else ""
-            current = _without(text, struck)
-            state = "formula_no_cache" if formula is not None and value is None else "formula_cached" if formula is not None else "value" if current.strip() else "empty"
-            row, col = int(re.sub(r"\D", "", reference)), _column(reference)
-            cells[row, col] = base | {"row": row, "col": col, "coordinate": reference, "current": current, "formula": formula.text if formula is not None else None, "state": state, "deleted_spans": struck, "red_spans": red}
-        for area in root.iter(f"{MAIN}mergeCell"):
-            start, _, end = area.get("ref").partition(":")
-            (r1, c1), (r2, c2) = ((int(re.sub(r"\D", "", x)), _column(x)) for x in (start, end or start))
-            if (r1, c1) in cells:
-                for r in range(r1, r2 + 1):
-                    for c in range(c1, c2 + 1):
-                        cells[r, c] = cells[r1, c1] | {"row": r, "col": c}
-        yield from cells.values()
+        for cell in sheet_cells(lambda place=place: book.open(place), shared):
+            yield base | cell
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -117,17 +196,27 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def read_cells(files: DataFrame) -> DataFrame:
-    """CELLS of the workbooks among ``files``; a file that can't be read gives one row with its error."""
+    """CELLS of the workbooks among ``files``, in bounded batches; a file that can't be read on gives a row with its error."""
     names = [c.split(" ")[0].strip("`") for c in CELLS.replace(SPAN, "spans").split(", ")]
 
+    def batches(path: str, content: bytes) -> Iterator[list[dict]]:
+        rows, characters = [], 0
+        try:
+            for cell in workbook_cells(content):
+                rows.append({"relative_path": path} | cell)
+                characters += len(cell["current"])
+                if len(rows) == BATCH_CELLS or characters > BATCH_CHARACTERS:
+                    yield rows
+                    rows, characters = [], 0
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, expat.ExpatError, ValueError, IndexError, AttributeError) as e:
+            rows.append({"relative_path": path, "row": 0, "col": 0, "error": f"{type(e).__name__}: {e}"})
+        yield rows
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["relative_path"], frame["content"]):
-                try:
-                    rows = list(workbook_cells(content))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError, AttributeError) as e:
-                    rows = [{"row": 0, "col": 0, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame([{"relative_path": path} | r for r in rows], columns=names).astype(object).where(lambda x: x.notna(), None)
+                for rows in batches(path, content):
+                    yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
 
     books = files.where("true_format = 'xlsx'").select("relative_path", "content")
     # One file is a unit of work: a batch of whole workbooks must not pile up in a worker.
@@ -149,34 +238,16 @@ def longest_alias(rows: DataFrame, text: str, aliases: DataFrame, alias: str, va
     return rows.join(one, text, "left")
 
 
-def header_rows(cells: DataFrame, aliases: dict[str, dict[str, list[str]]], core: dict[str, list[str]]) -> DataFrame:
-    """(relative_path, sheet, header_row, record_type, columns): the first row of a sheet that names all core fields of a type.
-
-    ``aliases``: record type -> field -> header texts; ``core``: record type -> fields a header has to name.
-    """
-    listed = [(t, f, norm_literal(a)) for t, fields in aliases.items() for f, names in fields.items() for a in [f, *names]]
-    table = cells.sparkSession.createDataFrame(listed, "record_type string, field string, header string")
-    named = cells.where("error IS NULL AND state != 'empty'").select("relative_path", "sheet", "row", "col", norm_text(F.col("current")).alias("header")).join(F.broadcast(table), "header")
-    first = named.groupBy("relative_path", "sheet", "row", "record_type", "field").agg(F.min("col").alias("col"))
-    rows = first.groupBy("relative_path", "sheet", "row", "record_type").agg(F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("columns"))
-    whole = F.lit(False)
-    for kind, fields in core.items():
-        all_named = F.lit(True)
-        for f in fields:
-            all_named = all_named & F.map_contains_key("columns", F.lit(f))
-        whole = whole | ((F.col("record_type") == kind) & all_named)
-    w = Window.partitionBy("relative_path", "sheet").orderBy("row", F.size("columns").desc(), "record_type")
-    return rows.where(whole).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("relative_path", "sheet", F.col("row").alias("header_row"), "record_type", "columns")
-
-
 def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, include_hidden: bool = False) -> DataFrame:
-    """Business records: the rows below each header that say anything, fields by name.
+    """Business records: the rows below each header, within its region, that say anything; fields by name.
 
     ``files`` gives entity_code, business_code, business_id and variant_id of each relative_path.
     """
+    cells, place = in_regions(cells), ["relative_path", "sheet", "region"]
+    headers = headers if "region" in headers.columns else headers.withColumn("region", F.lit(0))
     visible = cells.where("error IS NULL") if include_hidden else cells.where("error IS NULL AND NOT hidden")
-    fields = headers.select("relative_path", "sheet", "header_row", "record_type", F.explode("columns").alias("field", "col"))
-    own = visible.join(fields, ["relative_path", "sheet", "col"]).where(F.col("row") > F.col("header_row"))
+    fields = headers.select(*place, "header_row", "record_type", F.explode("columns").alias("field", "col"))
+    own = visible.join(fields, [*place, "col"]).where(F.col("row") > F.col("header_row"))
     cell = F.struct(
         F.col("current").alias("raw"),
         "current",
@@ -188,7 +259,7 @@ def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, i
         F.lit(False).alias("deleted_unavailable"),
         "red_spans",
     )
-    rows = own.groupBy("relative_path", "sheet", "row", "record_type").agg(
+    rows = own.groupBy(*place, "row", "record_type").agg(
         F.map_from_entries(F.collect_list(F.struct("field", cell.alias("cell")))).alias("fields"), F.bool_or(F.col("state") != "empty").alias("_some")
     )
     # A column that the header names but a row leaves out is an empty cell, not an absent one.
@@ -196,8 +267,8 @@ def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, i
         F.lit("").alias("raw"), F.lit("").alias("current"), F.lit("").alias("coordinate"), F.lit(None).cast("string").alias("formula"), F.lit(None).cast("string").alias("cached"), F.lit("empty").alias("state"),
         F.array().cast(SPAN).alias("deleted_spans"), F.lit(False).alias("deleted_unavailable"), F.array().cast(SPAN).alias("red_spans"),
     )
-    named = headers.select("relative_path", "sheet", F.map_keys("columns").alias("_all"))
-    rows = rows.where("_some").join(named, ["relative_path", "sheet"])
+    named = headers.select(*place, F.map_keys("columns").alias("_all"))
+    rows = rows.where("_some").join(named, place)
     rows = rows.withColumn("fields", F.map_concat("fields", F.map_from_entries(F.transform(F.array_except("_all", F.map_keys("fields")), lambda k: F.struct(k, blank)))))
     person = F.element_at("fields", "person_names")["current"]
     number = F.element_at("fields", "person_ids")["current"]

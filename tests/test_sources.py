@@ -1,5 +1,9 @@
 import io
+import re
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -7,7 +11,8 @@ from rulespark.functions.keys import display_text, measure_key, natural_key, nor
 from rulespark.plans.engine import run_engine
 from rulespark.plans.records import FILES, Context
 from rulespark.sources import sinks
-from rulespark.sources.workbooks import classify_material, header_rows, longest_alias, read_cells, read_files, records_from_cells, with_system_types
+from rulespark.sources.tables import named_headers, with_regions
+from rulespark.sources.workbooks import CELLS, classify_material, header_rows, longest_alias, read_cells, read_files, records_from_cells, with_system_types
 from rulespark.streaming.intake import audit_stream, latest_findings, watch_records
 from tests.records_fixture import context, duty
 from tests.test_engine import PACK
@@ -100,3 +105,96 @@ def test_stream_equals_batch(spark, tmp_path):
         audit_stream(watch_records(spark, str(tmp_path / "in")), PACK, make, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     streamed = {r["finding_key"] for r in latest_findings(spark, str(tmp_path / "out")).collect()}
     assert streamed == {r["finding_key"] for r in run_engine(PACK, make(whole.records)).findings.collect()}
+
+
+def cells_frame(spark, sheets, path="f.xlsx"):
+    """Cells from sheet -> {reference: text, or (text, area)}; the state is by the text."""
+    rows = []
+    for sheet, cells in sheets.items():
+        for reference, said in cells.items():
+            said, area, first = said if isinstance(said, tuple) else (said, None, reference)
+            letters, number = re.match(r"([A-Z]+)(\d+)", reference).groups()
+            col = 0
+            for c in letters:
+                col = col * 26 + ord(c) - 64
+            rows.append((path, sheet, False, int(number), col, first, said, None, "value" if said else "empty", [], [], area, None))
+    return spark.createDataFrame(rows, CELLS)
+
+
+def scope_of(spark, path="f.xlsx"):
+    return spark.createDataFrame([(path, "205H", "06", None, None)], "relative_path string, entity_code string, business_code string, business_id string, variant_id string")
+
+
+FULL = {
+    "position_duty": {"measure_id": ["控制措施编号"], "department": ["部门"], "position": ["岗位名称"], "duty": ["岗位职责"], "person_names": ["人员"]},
+    "system_rule": {"measure_id": ["控制措施编号"], "system_rule_name": ["规则名称"], "system_rule_content": ["规则内容"]},
+    "matrix": {"measure_id": ["控制措施编号"], "control_measure": ["控制措施"], "responsibility": ["责任主体"], "applicability": ["是否适用"], "carrier": ["控制载体"]},
+}
+NEEDED = {"position_duty": ["measure_id", "department", "position", "duty"], "system_rule": ["measure_id", "system_rule_name", "system_rule_content"], "matrix": ["measure_id", "control_measure", "responsibility"]}
+
+
+def test_two_tables_of_a_sheet_are_two_sets_of_records(spark):
+    duties = {"A2": "控制措施编号", "B2": "部门", "C2": "岗位名称", "D2": "岗位职责", "A3": "1-1", "B3": "财务部", "C3": "会计", "D3": "做账", "A4": ("合并", "A4:A8", "A4"), "B4": "审计部", "A6": ("合并", "A4:A8", "A4")}
+    rules = {"A7": "控制措施编号", "B7": "规则名称", "C7": "规则内容", "A8": "1-2", "B8": "校验", "C8": "不得为空"}
+    below = {"A1": "一、岗位职责清单", "C1": "填报单位：甲", "A6": "二、系统控制规则清单（填报）"} | duties | rules
+    below["A6"] = "二、系统控制规则清单（填报）"
+    beside = {"A1": "岗位职责清单", "F1": "系统规则清单"} | {k: v for k, v in duties.items() if k[1:] in "23"} | {f"{chr(ord(k[0]) + 5)}{int(k[1:]) - 5}": v for k, v in rules.items()}
+    none = {"A1": "不相容岗位清单所列", "A2": "控制措施编号", "B2": "规则名称", "C2": "规则内容", "A3": "2", "B3": "x", "C3": "y"}
+    cells = with_regions(cells_frame(spark, {"竖": below, "横": beside, "无": none, "填报说明": below}))
+    heads = {(r["sheet"], r["region"], r["header_row"], r["record_type"]) for r in header_rows(cells, FULL, NEEDED).collect()}
+    assert heads == {("竖", 1, 2, "position_duty"), ("竖", 2, 7, "system_rule"), ("横", 1, 2, "position_duty"), ("横", 2, 2, "system_rule"), ("无", 0, 2, "system_rule"), ("填报说明", 0, 2, "position_duty")}
+    rows = records_from_cells(cells.where("sheet != '填报说明'"), header_rows(cells, FULL, NEEDED), scope_of(spark)).collect()
+    got = {(r["sheet"], r["row"], r["record_type"]): r["fields"]["measure_id"]["current"] for r in rows}
+    # The merged cell reaches into the second table, so it stays in its first row.
+    assert got == {("竖", 3, "position_duty"): "1-1", ("竖", 4, "position_duty"): "合并", ("竖", 8, "system_rule"): "1-2", ("横", 3, "position_duty"): "1-1", ("横", 3, "system_rule"): "1-2", ("无", 3, "system_rule"): "2"}
+
+
+def test_headers_with_notes_remarks_and_qualifiers(spark):
+    sheets = {
+        "注": {"A1": "控制措施编号（必填）", "B1": "部门\n（全称）", "C1": "岗位名称：按名册", "D1": "岗位职责(可多行(至少一行))", "E1": "人员姓名/工号"},
+        "两": {"A1": "控制措施编号", "B1": "部门\n岗位名称", "C1": "岗位名称", "D1": "岗位职责"},
+        "矩": {"A1": "控制措施编号", "B1": "控制措施", "C1": "甲县公司责任主体", "D1": "本部是否适用（及原因）", "E1": "责任主体"},
+        "近": {"A1": "序", "A2": "对应控制措施编号", "B2": "所在部门", "C2": "现岗位名称", "D2": "主要岗位职责"},
+        "远": {f"A{k}": "行" for k in range(1, 7)} | {"A7": "对应控制措施编号", "B7": "所在部门", "C7": "现岗位名称", "D7": "主要岗位职责"},
+        "缺": {"A1": "对应控制措施编号", "B1": "所在部门", "C1": "现岗位名称"},
+    }
+    cells = cells_frame(spark, sheets)
+    found = {r["sheet"]: (r["header_row"], r["record_type"], r["columns"]) for r in header_rows(cells, FULL, NEEDED).collect()}
+    assert found == {
+        "注": (1, "position_duty", {"measure_id": 1, "department": 2, "position": 3, "duty": 4, "person_names": 5}),
+        "矩": (1, "matrix", {"measure_id": 1, "control_measure": 2, "responsibility": 3, "applicability": 4}),
+        "近": (2, "position_duty", {"measure_id": 1, "department": 2, "position": 3, "duty": 4}),
+    }
+    owners = {(r["sheet"], r["col"]): r["owner"] for r in named_headers(with_regions(cells), FULL).where("record_type = 'matrix' AND owner != ''").collect()}
+    assert owners == {("矩", 3): "甲县公司", ("矩", 4): "本部"}
+
+
+def test_large_sheets_pass_in_bounded_memory(tmp_path):
+    script = """
+import io, resource, sys, zipfile
+sys.path.insert(0, sys.argv[1])
+from tests.test_sources import MAIN, REL
+from rulespark.sources.workbooks import workbook_cells
+out = io.BytesIO()
+with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets><sheet name="s" sheetId="1" r:id="r0"/></sheets></workbook>')
+    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r0" Target="worksheets/s0.xml"/></Relationships>')
+    with z.open("xl/worksheets/s0.xml", "w", force_zip64=True) as f:
+        f.write(f'<worksheet xmlns="{MAIN}"><sheetData>'.encode())
+        for r in range(1, 300001):
+            said = "x" * 180 if r <= 250000 else ""
+            f.write(f'<row r="{r}"><c r="A{r}" t="inlineStr"><is><t>{said}</t></is></c><c r="XFD{r}" s="1"/></row>'.encode())
+        f.write(b'</sheetData><mergeCells><mergeCell ref="A249999:B260000"/><mergeCell ref="XEZ270000:XFA280000"/></mergeCells></worksheet>')
+book = out.getvalue()
+size = zipfile.ZipFile(io.BytesIO(book)).getinfo("xl/worksheets/s0.xml").file_size
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+count, last = 0, 0
+for c in workbook_cells(book):
+    count, last = count + 1, max(last, c["row"])
+print(size, count, last, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    root = str(Path(__file__).resolve().parent.parent)
+    done = subprocess.run([sys.executable, "-c", script, root], capture_output=True, text=True, cwd=root)
+    size, count, last, grown = map(int, done.stdout.split())
+    # 250,000 texts, and three copies of the merged one within the rows that have content.
+    assert size > 64 << 20 and count == 250_000 + 2 and last == 250_000 and grown < 60_000
