@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from rulespark.operators.checks import CHECKS, PACKAGE_CHECKS
 from rulespark.plans.active_rules import specific_departments, specific_positions
 from rulespark.plans.engine import Result, run_engine
 from rulespark.plans.records import CELL, ENTITIES, FILES, RECORDS, Context
+from rulespark.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,8 +110,8 @@ def context(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("position_dut
     for kind in kinds:
         part = _records(spark, d, kind)
         records = part if records is None else records.unionByName(part)
-    # Checks read the records again and again; kept, they are also a leaf of the plan, so that no expression of theirs is copied into it.
-    records = records.persist(StorageLevel.MEMORY_AND_DISK) if records is not None else spark.createDataFrame([], RECORDS)
+    # Checks read the records again and again; as a table they are also a leaf of the plan, so that no expression of theirs is copied into it.
+    records = stored(records) if records is not None else spark.createDataFrame([], RECORDS)
     sheet = lambda kind, columns: f"struct('{kind}' AS title, '{kind}' AS sheet_type, {columns} AS columns, array('编号') AS headers)"
     files = spark.read.parquet(f"{d}/nation.parquet").selectExpr(
         "concat('E', n_nationkey) AS entity_code", "'06' AS business_code", "'06' AS business_id", "'default' AS variant_id", "concat(n_name, '.xlsx') AS relative_path", "n_name AS sha256", "'xlsx' AS true_format",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.functions.keys import contains_any, fold_text, norm_literal, norm_text, strip_blanks
+from rulespark.sources.stored import stored
 
 PLACE = ["relative_path", "sheet"]
 
@@ -150,6 +151,7 @@ def named_headers(cells: DataFrame, aliases: dict[str, dict[str, list[str]]]) ->
     words = sorted({a for _, _, a in listed} | {"适用", "责任主体", "控制载体", "姓名", "修改备注", "不适用原因", "不适用理由", "部门"})
     where = [*PLACE, "region", "row", "col"]
     texts = cells.where("error IS NULL AND state != 'empty'").select(*where, "region_kind", fold_text(F.col("current")).alias("_raw")).withColumn("_text", strip_blanks(F.col("_raw"))).where(contains_any(F.col("_text"), words))
+    texts = stored(texts)
     said = texts.select("_raw", "_text").distinct()
     said = said.select("_raw", "_text", F.posexplode(header_candidates(F.col("_raw"), [a for _, _, a in listed])).alias("_order", "header"))
     by_alias = said.join(table, "header").select("_raw", "_order", F.lit(99).alias("_rule"), "record_type", "field", F.lit("").alias("owner"))
