@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.functions import carriers, duties, facts
+from rulespark.functions.items import NUMBERED, numbered_items
 from rulespark.functions.keys import contains_any, norm_literal, norm_text, strip_blanks, terms_in
 from rulespark.operators.relational import any_of, holding
 from rulespark.plans.records import PLACE, SCOPE, Context, issues, scope_known, wide, with_key
@@ -404,22 +405,101 @@ for _v in range(1, 6):
     CHECKS["set_subset", _v] = _set_subset(_v)
 
 
-@check("deleted_text_reappears", 1, 2, 3)
-def deleted_text_reappears(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """Struck-out text of a measure that its duty row still uses; text that some source row retains makes it a review."""
-    target, fields = p["target_field"], list(p["source_fields"])
-    own = with_key(wide(rows, sorted({target, "measure_id"}))).where(scope_known() & F.col("key").isNotNull() & (F.col(target) != ""))
-    base = ctx.records.where(F.col("record_type").isin("matrix", "deleted_matrix"))
-    spans = F.flatten(F.array(*(F.coalesce(F.element_at("fields", f)["deleted_spans"], F.array()) for f in fields)))
-    current = F.concat_ws("\n", *(F.element_at("fields", f)["current"] for f in fields))
-    sources = with_key(wide(base, ["measure_id"], ("fields",))).where("key IS NOT NULL").select(*SCOPE, "key", F.transform(spans, lambda s: strip_blanks(s["text"])).alias("_spans"), strip_blanks(current).alias("_current"))
-    texts = sources.select(*SCOPE, "key", F.explode(F.array_distinct("_spans")).alias("_text")).where(F.length("_text") >= 2).distinct()
-    retained = texts.join(sources.select(*SCOPE, "key", "_current"), [*SCOPE, "key"]).groupBy(*SCOPE, "key", "_text")
-    kept = retained.agg(F.bool_or(F.contains("_current", "_text")).alias("_some"), F.bool_and(F.contains("_current", "_text")).alias("_all")).where("NOT _all")
-    hit = own.join(kept.withColumn("_plain", norm_text(F.col("_text"))), [*SCOPE, "key"]).where(F.contains(F.col(target), F.col("_plain")))
-    kind = F.when(F.col("_some"), "review").otherwise("violation")
-    what = F.when(F.col("_some"), "deleted_text_conflict").otherwise("deleted_matrix_text_reappeared")
-    return issues(hit, kind, what, target, ["reason"], reason=F.col("_text"), deleted_text=F.col("_text"), final_text_wins=F.lit(True))
+def _first_of_sheet(rows: DataFrame) -> DataFrame:
+    place = Window.partitionBy("file_path", "sheet").orderBy("row", "record_id")
+    return rows.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+
+
+def _struck(field: Column, items: bool) -> Column:
+    """What a cell strikes out: array<struct<text, said, whole>>, each span and, with ``items``, each numbered entry of the whole cell within a span."""
+    spans = F.coalesce(field["deleted_spans"], F.array())
+    found = F.transform(spans, lambda s: F.struct(strip_blanks(s["text"]).alias("text"), s["text"].alias("said"), F.lit(True).alias("whole")))
+    if items:
+        inside = F.filter(numbered_items(F.coalesce(field["raw"], F.lit(""))), lambda i: F.exists(spans, lambda s: (s["start"] <= i["start"]) & (i["end"] <= s["end"])))
+        found = F.concat(found, F.transform(inside, lambda i: F.struct(strip_blanks(i["text"]).alias("text"), i["text"].alias("said"), F.lit(False).alias("whole"))))
+    return found
+
+
+def _deleted_text(version: int) -> Check:
+    """Struck-out text of the matrix that a row still uses.
+
+    1 looks for the struck spans; 2 also for numbered entries that are struck
+    as a whole, and lets stand what every current row of the measure retains
+    (what only some retain is a review); 3 looks at rows of a known measure
+    only, within their measure.
+    """
+
+    def run(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
+        target, fields = p["target_field"], list(p["source_fields"])
+        by_measure = version == 3 or p.get("match_scope", "measure") == "measure"
+        group = [*SCOPE, "_k"] if by_measure else SCOPE
+
+        def keyed(rows: DataFrame) -> DataFrame:
+            return with_key(rows).withColumn("_k", F.when(F.coalesce("measure_id", F.lit("")) != "", F.coalesce(F.col("key").cast("string"), F.concat(F.lit("text:"), "measure_id"))))
+
+        def cell(name: str) -> Column:
+            return F.element_at("fields", name)
+
+        own = keyed(wide(rows, sorted({"measure_id", target}), ("fields",)))
+        gone = cell(target)["formula"].isNotNull() & (F.size(F.coalesce(cell(target)["deleted_spans"], F.array())) > 0)
+        own = own.withColumn("_target", F.when(gone, "").otherwise(strip_blanks(F.coalesce(cell(target)["current"], F.lit("")))))
+        if version == 3:
+            own = own.where("_k IS NOT NULL")
+        out = [issues(_first_of_sheet(own.where(~scope_known())), "review", "deletion_scope_unknown")]
+        own = own.where(scope_known())
+        if by_measure and version < 3:
+            out.append(issues(own.where("_k IS NULL"), "review", "deletion_measure_missing", "measure_id"))
+            own = own.where("_k IS NOT NULL")
+
+        # A struck-out number still tells the measure of a deleted row.
+        base = ctx.records.where(F.col("record_type").isin("matrix", "deleted_matrix"))
+        number = cell("measure_id")
+        whole_number = number.withField("current", F.coalesce(F.when(number["current"] != "", number["current"]), number["raw"], F.lit("")))
+        base = base.withColumn("fields", F.when(number.isNotNull(), F.transform_values("fields", lambda k, v: F.when(k == "measure_id", whole_number).otherwise(v))).otherwise(F.col("fields")))
+        base = keyed(wide(base, ["measure_id"], ("fields",)))
+        lost = any_of([cell(f).isNull() | F.coalesce(cell(f)["deleted_unavailable"], F.lit(False)) for f in fields])
+        struck = F.flatten(F.array(*(F.when(cell(f).isNull() | F.coalesce(cell(f)["deleted_unavailable"], F.lit(False)), F.array()).otherwise(_struck(cell(f), version >= 2)) for f in fields)))
+        current = F.array(*(strip_blanks(F.coalesce(cell(f)["current"], F.lit(""))) for f in fields))
+        sources = duties.once(base.select(*group, "record_type", "fields"), _lost=lost, _struck=F.filter(struck, lambda s: s["text"] != ""), _current=current).drop("fields")
+        some = sources.groupBy(*group).agg(F.bool_or("_lost").alias("_lost"), F.bool_or(F.size("_struck") > 0).alias("_any"), F.count_if(F.col("record_type") == "matrix").alias("_rows"))
+        texts = sources.select(*group, F.inline("_struck")).distinct()
+        if version >= 2:
+            entries = numbered_items(F.col("said"))
+            listed = F.col("whole") & F.col("said").rlike(NUMBERED) & (F.size(entries) > 0) & F.forall(entries, lambda e: F.exists("_current", lambda c: F.contains(c, strip_blanks(e["text"]))))
+            held = F.exists("_current", lambda c: F.contains(c, F.col("text"))) | listed
+            kept = texts.join(sources.where("record_type = 'matrix'").select(*group, "_current"), group).where(held).groupBy(*group, "text", "said", "whole").agg(F.count(F.lit(1)).alias("_kept"))
+            texts = texts.join(kept, [*group, "text", "said", "whole"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(0)))
+        else:
+            texts = texts.withColumn("_kept", F.lit(0))
+
+        known = own.join(some, group, "left")
+        if version < 3:
+            out.append(issues(_first_of_sheet(known.where("_lost IS NULL")), "review", "deletion_matrix_missing"))
+        out.append(issues(_first_of_sheet(known.where("_lost")), "review", "deletion_source_unavailable"))
+        out.append(issues(unavailable(known.where("_any"), target), "review", "deletion_duty_unavailable", target))
+        read = known.where(F.col("_any") & readable(target) & (F.col("_target") != "")).drop("fields")
+        if by_measure:
+            found = read.join(texts, group).where(F.contains("_target", F.col("text")))
+        else:
+            renamed = texts.select(*(F.col(c).alias(f"_s_{c}") for c in SCOPE), "text", "said", "whole", "_kept")
+            same = any_of([~F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in SCOPE])
+            found = holding(read, "_target", renamed, "text").where(~same)
+        kinds = ["record_type", *SCOPE, "business_id", *PLACE, "record_id", "_rows"]
+        judged = found.groupBy(*kinds).agg(
+            F.array_sort(F.collect_set(F.when(F.col("_kept") == 0, F.struct("text", "said")))).alias("_hits"),
+            F.array_sort(F.collect_set(F.when((F.col("_kept") > 0) & (F.col("_kept") != F.col("_rows")), F.col("said")))).alias("_split"),
+        )
+        shown = F.col("_hits") if version == 1 else F.filter("_hits", lambda h: ~F.exists("_hits", lambda o: (o["text"] != h["text"]) & F.contains(o["text"], h["text"])))
+        judged = judged.withColumn("_texts", F.array_distinct(F.transform(shown, lambda h: h["said"])))
+        out.append(issues(judged.where("size(_split) > 0"), "review", "deletion_current_conflict", target, conflicting_texts=F.col("_split")))
+        out.append(issues(judged.where("size(_hits) > 0"), "violation", "deleted_matrix_text_reappeared", target, deleted_texts=F.col("_texts"), all_texts=F.array_distinct(F.transform("_hits", lambda h: h["said"])), final_text_wins=F.lit(version >= 2)))
+        return union(out)
+
+    return run
+
+
+for _v in (1, 2, 3):
+    CHECKS["deleted_text_reappears", _v] = _deleted_text(_v)
 
 
 @check("applicability_values", 1, 2)

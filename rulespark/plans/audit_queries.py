@@ -79,27 +79,43 @@ REFERENCE = {
 }
 
 
+# Measures of two numbered entries, of which none, the second or both are struck out; and duties that use an entry.
+STRUCK = {
+    "entity_code": "concat('E', p_partkey % 5)",
+    "file_path": "'k'",
+    "record_id": "concat('k', p_partkey)",
+    "measure_id": "concat('X-', p_partkey % 45, '-控制措施', p_size % 9)",
+    "control_measure": "CASE p_size % 3 WHEN 0 THEN concat('1.核对第', p_partkey % 3, '号台账;2.登记', p_partkey % 4, '号凭证') WHEN 1 THEN concat('1.核对第', p_partkey % 3, '号台账;2.') ELSE '' END",
+}
+STRUCK_WHOLE = "concat('1.核对第', p_partkey % 3, '号台账;2.登记', p_partkey % 4, '号凭证')"
+USING = REFERENCE | {"record_id": "concat('u', o_orderkey)", "duty": "concat('按规定登记', o_orderkey % 4, ' 号凭证并归档')"}
+
+
 def _view(names: dict[str, str], table: str, row: str) -> str:
     return f"SELECT {', '.join(f'{v} AS {k}' for k, v in names.items())}, CAST({row} AS INT) AS line FROM {table}"
 
 
-WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')}), posts AS ({_view(POST, 'orders', 'o_orderkey')}), referring AS ({_view(REFERENCE, 'orders', 'o_orderkey')})"
+WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')}), posts AS ({_view(POST, 'orders', 'o_orderkey')}), referring AS ({_view(REFERENCE, 'orders', 'o_orderkey')}), struck AS ({_view(STRUCK, 'part', 'p_partkey')}), using_rows AS ({_view(USING, 'orders', 'o_orderkey')})"
 
 
 def _records(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "posts": (POST, "orders", "o_orderkey"), "referring": (REFERENCE, "orders", "o_orderkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
-    rows = spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*(f"{v} AS {k}" for k, v in names.items()), f"CAST({row} AS INT) AS `row`")
+    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "posts": (POST, "orders", "o_orderkey"), "referring": (REFERENCE, "orders", "o_orderkey"), "using": (USING, "orders", "o_orderkey"), "struck": (STRUCK, "part", "p_partkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
+    rows = spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*(f"{v} AS {k}" for k, v in names.items()), f"CAST({row} AS INT) AS `row`", *([f"{STRUCK_WHOLE} AS _whole"] if kind == "struck" else []))
 
     def cell(name: str) -> Any:
         text = F.col(name)
+        if (name, kind) == ("control_measure", "struck"):
+            span = F.struct(F.expr("substring(_whole, greatest(length(control_measure), 0) + 1)").alias("text"), F.length(text).alias("start"), F.length("_whole").alias("end"))
+            spans = F.when(F.length(text) < F.length("_whole"), F.array(span)).otherwise(F.array())
+            return F.struct(F.col("_whole"), text, F.lit("A1"), F.lit(None), F.lit(None), F.when(text == "", "empty").otherwise("value"), spans, F.lit(False), F.array()).cast(CELL)
         values = {"raw": text, "current": text, "state": F.when(text == "", "empty").otherwise("value"), "deleted_unavailable": F.lit(False)}
         fields = ("raw", "current", "coordinate", "formula", "cached", "state", "deleted_spans", "deleted_unavailable", "red_spans")
         return F.struct(*(values.get(f, F.lit(None)).alias(f) for f in fields)).cast(CELL)
 
     own = [k for k in names if k not in ("entity_code", "file_path", "record_id")]
-    people = F.array(F.struct(F.col("person_names").alias("name"), F.lit(None).cast("string").alias("person_id"), F.lit(False).alias("identity_reliable"))) if kind != "matrix" else F.array()
+    people = F.array(F.struct(F.col("person_names").alias("name"), F.lit(None).cast("string").alias("person_id"), F.lit(False).alias("identity_reliable"))) if kind not in ("matrix", "struck") else F.array()
     return rows.select(
-        F.lit("matrix" if kind == "matrix" else "position_duty").alias("record_type"), "entity_code", F.lit("06").alias("business_code"), F.lit("06").alias("business_id"), F.lit("default").alias("variant_id"), "file_path", F.lit("s").alias("sheet"), "row",
+        F.lit("matrix" if kind in ("matrix", "struck") else "position_duty").alias("record_type"), "entity_code", F.lit("06").alias("business_code"), F.lit("06").alias("business_id"), F.lit("default").alias("variant_id"), "file_path", F.lit("s").alias("sheet"), "row",
         F.create_map(*(x for k in own for x in (F.lit(k), cell(k)))).alias("fields"), "record_id", people.cast("array<struct<name:string,person_id:string,identity_reliable:boolean>>").alias("person_keys"),
     )
 
@@ -205,6 +221,16 @@ through_check(
     {"source_field": "role", "text_field": "duty", "mapping": {"经办": ["主体责任"], "审核": ["审核责任"], "审批": ["审批责任"]}},
 )
 through_check("responsibility_phrase", "responsibility_phrase", 9, "position_duty", "SELECT record_id, 'violation' AS kind, 'responsibility_phrase_missing' AS issue_type FROM duties WHERE NOT contains(duty, '真实性')", {"attributes": ["真实性"]})
+REAPPEARS = """, gone AS (SELECT s.*, p_partkey % 4 AS entry, p_size % 3 AS style FROM struck s JOIN part ON record_id = concat('k', p_partkey)),
+    texts AS (SELECT entity_code, measure_id, entry, {kept} AS kept, (SELECT count(*) FROM gone n WHERE n.entity_code = g.entity_code AND n.measure_id = g.measure_id) AS n FROM gone g WHERE style IN ({styles}) GROUP BY ALL),
+    used AS (SELECT u.*, o_orderkey % 4 AS entry FROM using_rows u JOIN orders ON record_id = concat('u', o_orderkey))
+    SELECT record_id, CASE WHEN kept = 0 THEN 'violation' ELSE 'review' END AS kind, CASE WHEN kept = 0 THEN 'deleted_matrix_text_reappeared' ELSE 'deletion_current_conflict' END AS issue_type
+    FROM used JOIN texts USING (entity_code, measure_id, entry) WHERE kept < n"""
+KEPT = "(SELECT count(*) FROM gone k WHERE k.entity_code = g.entity_code AND k.measure_id = g.measure_id AND k.entry = g.entry AND k.style = 0)"
+FIRST_MISSING = """ UNION ALL SELECT record_id, 'review', 'deletion_matrix_missing' FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line, record_id) AS place FROM used u
+    WHERE NOT EXISTS (SELECT 1 FROM struck s WHERE s.entity_code = u.entity_code AND s.measure_id = u.measure_id)) WHERE place = 1"""
+for _version, _sql in ((1, REAPPEARS.format(kept="0", styles="1") + FIRST_MISSING), (2, REAPPEARS.format(kept=KEPT, styles="1, 2") + FIRST_MISSING), (3, REAPPEARS.format(kept=KEPT, styles="1, 2"))):
+    through_check(f"deleted_text_{_version}", "deleted_text_reappears", _version, "using", _sql, {"source_fields": ["control_measure"], "target_field": "duty"}, (), ("using", "struck"))
 USED = """, allowed AS (SELECT entity_code, measure_id, min(carrier) AS low, max(carrier) AS high FROM measures GROUP BY ALL),
     seen AS (SELECT r.*, o_orderkey, low, high FROM referring r JOIN orders ON record_id = concat('r', o_orderkey) LEFT JOIN allowed USING (entity_code, measure_id)), usable AS (SELECT * FROM seen WHERE low = high)
     SELECT record_id, 'review' AS kind, 'matrix_ambiguous' AS issue_type, NULL AS source_kind, NULL AS missing_references FROM seen WHERE low IS NULL OR low <> high

@@ -129,7 +129,7 @@ def reconcile(findings: DataFrame) -> DataFrame:
     """Drop from a carrier finding the names that a deletion finding of the same row explains; drop it if none is left."""
     place = ["entity_code", "business_code", "variant_id", "file_path", "sheet", "row"]
     named = findings.where("issue_type = 'carrier_reference_unmatched'").select("finding_key", *place, F.explode(F.from_json(F.get_json_object("evidence", "$.missing_references"), "array<string>")).alias("name"))
-    deleted = findings.where("kind = 'violation' AND issue_type = 'deleted_matrix_text_reappeared'").select(*place, F.get_json_object("evidence", "$.deleted_text").alias("name")).distinct()
+    deleted = findings.where("kind = 'violation' AND issue_type = 'deleted_matrix_text_reappeared'").select(*place, F.explode(F.from_json(F.get_json_object("evidence", "$.all_texts"), "array<string>")).alias("name")).distinct()
     left = named.join(deleted, [*place, "name"], "left_anti").groupBy("finding_key").agg(F.array_sort(F.collect_set("name")).alias("left_names"))
     joined = findings.join(left, "finding_key", "left")
     carrier = F.col("issue_type") == "carrier_reference_unmatched"

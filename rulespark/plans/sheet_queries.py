@@ -45,7 +45,7 @@ def customer_sheets(spark: SparkSession, d: str) -> DataFrame:
         cells(placed.where("NOT open"), F.col("n") + F.col("k") + 4, [said[0], said[1], said[3]]),
     ]
     whole = reduce(DataFrame.unionByName, parts).withColumn("relative_path", F.lit("f.xlsx")).withColumn("state", F.lit("value")).withColumn("hidden", F.lit(False))
-    whole = whole.withColumn("coordinate", F.concat(F.char(F.col("col") + 64), "row"))
+    whole = whole.withColumn("raw", F.col("current")).withColumn("coordinate", F.concat(F.char(F.col("col") + 64), "row"))
     empty = spark.createDataFrame([], CELLS).schema
     return whole.select(*((F.col(f.name) if f.name in whole.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.fields))
 

@@ -25,7 +25,7 @@ from rulespark.plans.records import with_record_id
 from rulespark.sources.tables import header_rows, in_regions
 
 SPAN = "array<struct<text:string,start:int,end:int>>"
-CELLS = f"relative_path string, sheet string, hidden boolean, `row` int, col int, coordinate string, current string, formula string, state string, deleted_spans {SPAN}, red_spans {SPAN}, area string, error string"
+CELLS = f"relative_path string, sheet string, hidden boolean, `row` int, col int, coordinate string, raw string, current string, formula string, state string, deleted_spans {SPAN}, red_spans {SPAN}, area string, error string"
 
 # The parts of a workbook package.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -110,7 +110,7 @@ def _cell(c: ElementTree.Element, shared: list) -> dict | None:
         return None
     current = _without(text, struck)
     state = "formula_no_cache" if formula is not None and value is None else "formula_cached" if formula is not None else "value" if current.strip() else "empty"
-    return {"coordinate": c.get("r"), "current": current, "formula": formula.text if formula is not None else None, "state": state, "deleted_spans": struck, "red_spans": red}
+    return {"coordinate": c.get("r"), "raw": text, "current": current, "formula": formula.text if formula is not None else None, "state": state, "deleted_spans": struck, "red_spans": red}
 
 
 def sheet_cells(open_sheet: Callable[[], IO[bytes]], shared: list) -> Iterator[dict]:
@@ -249,7 +249,7 @@ def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, i
     fields = headers.select(*place, "header_row", "record_type", F.explode("columns").alias("field", "col"))
     own = visible.join(fields, [*place, "col"]).where(F.col("row") > F.col("header_row"))
     cell = F.struct(
-        F.col("current").alias("raw"),
+        "raw",
         "current",
         "coordinate",
         "formula",

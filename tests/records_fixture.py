@@ -3,10 +3,11 @@
 from rulespark.plans.records import ENTITIES, FILES, RECORDS, Context
 
 
-def cell(text="", state=None, deleted=()):
+def cell(text="", state=None, deleted=(), raw=None):
+    """A cell; ``raw`` is the whole text, in which ``deleted`` texts have their places."""
     state = state or ("value" if text else "empty")
-    spans = [{"text": t, "start": 0, "end": len(t)} for t in deleted]
-    return {"raw": text, "current": text, "coordinate": "A1", "formula": None, "cached": None, "state": state, "deleted_spans": spans, "deleted_unavailable": False, "red_spans": []}
+    spans = [{"text": t, "start": max((raw or "").find(t), 0), "end": max((raw or "").find(t), 0) + len(t)} for t in deleted]
+    return {"raw": text if raw is None else raw, "current": text, "coordinate": "A1", "formula": None, "cached": None, "state": state, "deleted_spans": spans, "deleted_unavailable": False, "red_spans": []}
 
 
 def record(kind, row, entity="205H", business="06", variant="default", sheet="s", file="f.xlsx", people=(), **fields):

@@ -1,7 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from rulespark.functions.items import numbered_items
 from rulespark.operators.checks import CHECKS
 from rulespark.plans.records import with_record_id
 from tests.records_fixture import cell, context, duty, file, matrix, record
@@ -106,7 +108,39 @@ def test_deleted_text_reappears(spark):
     p = {"source_fields": ["control_measure"], "target_field": "duty"}
     assert run(spark, "deleted_text_reappears", 3, rows, p, ["position_duty"]) == [(2, "violation", "deleted_matrix_text_reappeared")]
     kept = [*rows, matrix(5, control_measure="逐笔登记台账")]
-    assert run(spark, "deleted_text_reappears", 3, kept, p, ["position_duty"]) == [(2, "review", "deleted_text_conflict")]
+    assert run(spark, "deleted_text_reappears", 3, kept, p, ["position_duty"]) == [(2, "review", "deletion_current_conflict")]
+
+
+def test_deleted_text_by_version(spark):
+    listed = "1.逐笔登记台账；2.核对(含1.明细)合同；3.归档"
+    rows = [
+        matrix(1, control_measure=cell("", deleted=[listed], raw=listed)),
+        matrix(2, measure_id="X-2-控制措施1", control_measure=cell("1.；2.核对", deleted=["逐笔登记台账"], raw="1.逐笔登记台账；2.核对")), matrix(3, measure_id="X-2-控制措施1", control_measure="逐笔登记台账"),
+        record("deleted_matrix", 4, measure_id=cell("", deleted=["X-3-控制措施1"], raw="X-3-控制措施1"), control_measure=cell("", deleted=["盘点现金"], raw="盘点现金")),
+        matrix(5, measure_id="X-4-控制措施1", control_measure=cell("1.新登记；2.新核对", deleted=["1.新核对；2.新登记"], raw="1.新核对；2.新登记；1.新登记；2.新核对")),
+        duty(6, duty="应核对(含1.明细)合同，再归档"), duty(7, duty="逐笔登记台账", measure_id="X-2-控制措施1"), duty(8, duty="盘点现金", measure_id="X-3-控制措施1"), duty(9, duty="1.新核对；2.新登记", measure_id="X-4-控制措施1"),
+        duty(10, duty="盘点现金", measure_id=""), duty(11, duty="盘点现金", variant="unknown"), duty(12, duty=cell("", "formula_no_cache")), duty(13, duty="盘点现金", measure_id="X-9-控制措施1", sheet="t"),
+        matrix(14, measure_id="X-5-控制措施1", control_measure=None), duty(15, measure_id="X-5-控制措施1", sheet="u"),
+    ]
+    p = {"source_fields": ["control_measure"], "target_field": "duty"}
+    hit, review = ("violation", "deleted_matrix_text_reappeared"), "review"
+    always = [(8, *hit), (12, review, "deletion_duty_unavailable"), (15, review, "deletion_source_unavailable")]
+    missing = [(10, review, "deletion_measure_missing"), (13, review, "deletion_matrix_missing")]
+    unknown = [(11, review, "deletion_scope_unknown")]
+    two = [(6, *hit), (7, review, "deletion_current_conflict")]
+    assert run(spark, "deleted_text_reappears", 1, rows, p, ["position_duty"]) == sorted([*always, *missing, *unknown, (7, *hit), (9, *hit)])
+    assert run(spark, "deleted_text_reappears", 2, rows, p, ["position_duty"]) == sorted([*always, *missing, *unknown, *two])
+    assert run(spark, "deleted_text_reappears", 3, rows, p, ["position_duty"]) == sorted([*always, *unknown, *two])
+    wide_open = run(spark, "deleted_text_reappears", 1, rows, p | {"match_scope": "scope"}, ["position_duty"])
+    assert {x[0] for x in wide_open if x[1] == "violation"} == {7, 8, 9, 10, 13}
+
+
+def test_numbered_items_equal_python(spark):
+    texts = ["1.甲；2.乙", "（1）甲。 （2）乙；", "说明：1.甲", "1.甲(a；2.b)；3.丙", "", "1、", "1．甲\n２．乙 \n", "前；1.甲】；2.乙"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("i", numbered_items(F.col("t"))).collect()
+    assert [[(x["text"], x["start"], x["end"]) for x in r["i"]] for r in rows] == [
+        [("甲", 2, 3), ("乙", 6, 7)], [("甲", 3, 4), ("乙", 9, 10)], [], [("甲(a；2.b)", 2, 10), ("丙", 13, 14)], [], [], [("甲", 2, 3), ("乙", 6, 7)], [("甲】", 4, 6), ("乙", 9, 10)],
+    ]
 
 
 def test_responsibility_phrase_and_mapping(spark):

@@ -71,7 +71,7 @@ def test_on_unavailable_and_bad_parameters(spark):
 def test_deletion_explains_a_carrier(spark):
     rows = [matrix(1, carrier="付款单", control_measure=cell("核对", deleted=["台账"])), duty(2, duty="登记《台账》、《付款单》"), duty(3, duty="登记《名册》")]
     both = pack(
-        rule("R12", "set_subset", 5, "position_duty", {"source_field": "carrier", "target_record_type": "matrix", "target_field": "carrier"}),
+        rule("R12", "set_subset", 5, "position_duty", {"source_field": "carrier", "target_record_type": "matrix", "target_field": "carrier", "fallback_explicit_field": "duty"}),
         rule("R13", "deleted_text_reappears", 3, "position_duty", {"source_fields": ["control_measure"], "target_field": "duty"}),
     )
     found = run_engine(both, context(spark, rows)).findings.collect()

@@ -117,7 +117,7 @@ def cells_frame(spark, sheets, path="f.xlsx"):
             col = 0
             for c in letters:
                 col = col * 26 + ord(c) - 64
-            rows.append((path, sheet, False, int(number), col, first, said, None, "value" if said else "empty", [], [], area, None))
+            rows.append((path, sheet, False, int(number), col, first, said, said, None, "value" if said else "empty", [], [], area, None))
     return spark.createDataFrame(rows, CELLS)
 
 
