@@ -457,7 +457,7 @@ def enriched_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The same checks through records, packs and the engine.
-from rulespark.plans import audit_queries, sheet_queries  # noqa: E402
+from rulespark.plans import audit_queries, evidence_queries, sheet_queries  # noqa: E402
 
-QUERIES |= audit_queries.QUERIES | sheet_queries.QUERIES
-SQL |= audit_queries.SQL | sheet_queries.SQL
+QUERIES |= audit_queries.QUERIES | sheet_queries.QUERIES | evidence_queries.QUERIES
+SQL |= audit_queries.SQL | sheet_queries.SQL | evidence_queries.SQL
