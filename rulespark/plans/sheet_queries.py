@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulespark.sources.stored import stored
-from rulespark.sources.tables import header_rows, with_regions
+from rulespark.sources.tables import header_rows, resolved_columns, with_regions
 from rulespark.sources.workbooks import CELLS, records_from_cells
 
 ALIASES = {
@@ -44,7 +44,12 @@ def customer_sheets(spark: SparkSession, d: str) -> DataFrame:
         cells(sheets, second + 1, [style("控制措施编号"), style("规则名称"), style("规则内容")]),
         cells(placed.where("NOT open"), F.col("n") + F.col("k") + 4, [said[0], said[1], said[3]]),
     ]
-    whole = reduce(DataFrame.unionByName, parts).withColumn("relative_path", F.lit("f.xlsx")).withColumn("state", F.lit("value")).withColumn("hidden", F.lit(False))
+    return as_cells(spark, reduce(DataFrame.unionByName, parts).withColumn("relative_path", F.lit("f.xlsx")))
+
+
+def as_cells(spark: SparkSession, said: DataFrame) -> DataFrame:
+    """CELLS of (relative_path, sheet, row, col, current)."""
+    whole = said.withColumn("state", F.lit("value")).withColumn("hidden", F.lit(False)).withColumn("column_hidden", F.lit(False))
     whole = whole.withColumn("raw", F.col("current")).withColumn("coordinate", F.concat(F.char(F.col("col") + 64), "row"))
     empty = spark.createDataFrame([], CELLS).schema
     return whole.select(*((F.col(f.name) if f.name in whole.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.fields))
@@ -59,10 +64,30 @@ def sheet_records(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sheet", "row", "record_type", text("measure_id").alias("measure_id"), F.coalesce(text("department"), text("system_rule_name")).alias("second"), F.coalesce(text("duty"), text("system_rule_content")).alias("last"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"sheet_records": sheet_records}
+MATRIX = {"matrix": {"measure_id": ["控制措施编号"], "control_measure": ["控制措施"], "responsibility": ["责任主体"], "applicability": ["是否适用"]}}
+ANSWER = "CASE o_orderkey % 3 WHEN 0 THEN '适用' WHEN 1 THEN '不适用' ELSE '' END"
+OTHER = f"CASE WHEN o_custkey % 5 = 0 THEN {ANSWER} WHEN o_custkey % 5 < 3 THEN '待核实' ELSE CASE o_orderkey % 3 WHEN 0 THEN '不适用' WHEN 1 THEN '适用' ELSE '' END END"
+
+
+def answer_columns_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """Which of two columns of answers counts on each sheet (one a customer): by the unit in the header, by equal or by clear answers."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("row", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1)
+    place = ["concat('f', o_custkey % 3) AS relative_path", "concat('s', o_custkey) AS sheet"]
+    heads = orders.select("o_custkey").distinct().selectExpr(*place, "1 AS row", "posexplode(array('控制措施编号', '控制措施', '责任主体', '是否适用', concat('第', o_custkey % 4, '公司是否适用'))) AS (k, current)")
+    body = orders.selectExpr(*place, "row", f"posexplode(array(concat('X-', o_orderkey), '核对', '财务部-会计', {ANSWER}, {OTHER})) AS (k, current)").where("current != ''")
+    cells = stored(as_cells(spark, heads.unionByName(body).withColumn("col", F.col("k") + 1)))
+    names = spark.range(3).select(F.concat(F.lit("f"), "id").alias("relative_path"), F.concat(F.lit("第"), "id", F.lit("公司")).alias("name"))
+    chosen = resolved_columns(cells, stored(header_rows(cells, MATRIX, {"matrix": ["measure_id", "control_measure", "responsibility"]})), MATRIX, names)
+    return chosen.select("sheet", F.element_at("columns", "applicability").alias("col"), F.element_at("reasons", "applicability").alias("reason"), F.element_at("columns", "responsibility").alias("responsibility"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"sheet_records": sheet_records, "answer_columns_chosen": answer_columns_chosen}
 SQL = {
     "sheet_records": """WITH o AS (SELECT *, concat('s', o_custkey) AS sheet, o_orderstatus = 'O' AS open, row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'O' ORDER BY o_orderkey) AS k FROM orders),
     n AS (SELECT sheet, count(*) FILTER (WHERE open) AS n FROM o GROUP BY sheet)
     SELECT sheet, CAST(CASE WHEN open THEN 2 + k ELSE 4 + n + k END AS INT) AS "row", CASE WHEN open THEN 'position_duty' ELSE 'system_rule' END AS record_type,
       concat('X-', o_orderkey) AS measure_id, concat('d', o_orderkey % 7) AS second, o_orderpriority AS last FROM o JOIN n USING (sheet)""",
+    "answer_columns_chosen": """WITH c AS (SELECT o_custkey AS c, bool_or(o_orderkey % 3 < 2) AS answered FROM orders GROUP BY 1),
+    r AS (SELECT c, CASE WHEN c % 4 = c % 3 THEN 'current_unit_header' WHEN c % 5 = 0 OR c % 5 > 2 AND NOT answered THEN 'equivalent_columns' WHEN c % 5 < 3 AND answered THEN 'answer_values' ELSE 'column_conflict' END AS reason FROM c)
+    SELECT concat('s', c) AS sheet, CASE reason WHEN 'answer_values' THEN 4 WHEN 'column_conflict' THEN NULL ELSE 5 END::INT AS col, reason, 3::INT AS responsibility FROM r""",
 }

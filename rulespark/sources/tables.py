@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulespark.functions import facts
 from rulespark.functions.keys import contains_any, fold_text, norm_literal, norm_text, strip_blanks
 from rulespark.sources.stored import stored
 
@@ -193,3 +194,101 @@ def header_rows(cells: DataFrame, aliases: dict[str, dict[str, list[str]]], core
     w = Window.partitionBy(*PLACE, "region").orderBy("row", F.size("columns").desc(), "record_type")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*PLACE, "region", F.col("row").alias("header_row"), "record_type", "columns")
 
+
+# Fields that a header names for a unit, and the field that stands beside another.
+OWNED_FIELDS = ["applicability", "control_measure", "carrier"]
+BESIDE = {"applicability_reason": "applicability", "position": "department"}
+
+
+def column_profiles(cells: DataFrame, headers: DataFrame, aliases: dict[str, dict[str, list[str]]], names: DataFrame) -> DataFrame:
+    """(place, region, record_type, header_row, field, col, owner, hidden, valid, owned, signature, explicit, unclear, own_rows): every column that a header row names for a field, with what stands below.
+
+    ``names``: relative_path and name, the forms under which the unit of a file
+    goes.  A column is valid if its header names no unit, this one, or asks for
+    applicability in so many words.  The signature sums up the rows, so that
+    equal columns have equal ones.
+    """
+    cells = in_regions(cells)
+    where = [*PLACE, "region"]
+    own = names.groupBy("relative_path").agg(F.collect_set(norm_text(F.col("name"))).alias("_names"))
+    named = named_headers(cells, aliases).withColumnRenamed("row", "header_row").join(headers.select(*where, "header_row", "record_type", "columns"), [*where, "header_row", "record_type"])
+    # A fuzzy column is one that the header row was completed with.
+    named = named.where(~F.col("fuzzy") | F.coalesce(F.element_at("columns", F.col("field")) == F.col("col"), F.lit(False))).drop("columns", "fuzzy")
+    text = cells.where("error IS NULL").select(*where, "row", "col", "column_hidden", norm_text(F.col("current")).alias("_text"))
+    titles = text.select(*where, F.col("row").alias("header_row"), "col", "column_hidden", F.col("_text").alias("_header"))
+    named = named.join(titles, [*where, "header_row", "col"]).join(own, "relative_path", "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
+    owned = (F.col("owner") != "") & F.array_contains("_names", F.col("owner"))
+    valid = (F.col("owner") == "") | owned | ((F.col("field") == "applicability") & F.col("_header").contains("是否适用"))
+    keys = [*where, "record_type", "header_row", "field", "col", "owner"]
+    named = named.select(*keys, F.coalesce("column_hidden", F.lit(False)).alias("hidden"), valid.alias("valid"), owned.alias("owned"), "_names")
+    below = named.join(text.select(*where, "row", "col", "_text").where("_text != ''"), [*where, "col"], "left").withColumn("_text", F.when(F.col("row") > F.col("header_row"), F.col("_text")))
+    answer = facts.applicability(F.col("_text"))
+    counted = below.groupBy(*keys, "hidden", "valid", "owned").agg(
+        F.coalesce(F.sum(F.when(F.col("_text").isNotNull(), F.xxhash64("row", "_text").cast("decimal(38,0)"))), F.lit(0)).cast("decimal(38,0)").alias("signature"),
+        F.count_if(answer["decision"].isNotNull()).alias("explicit"), F.count_if(F.col("_text").isNotNull() & answer["decision"].isNull()).alias("unclear"),
+        F.count_if(F.col("_text").isNotNull() & F.exists("_names", lambda n: F.contains(F.col("_text"), n))).alias("own_rows"),
+    )
+    return counted
+
+
+def resolved_columns(cells: DataFrame, headers: DataFrame, aliases: dict[str, dict[str, list[str]]], names: DataFrame) -> DataFrame:
+    """``headers`` with one column a field, told by owner, visibility and content, and ``reasons`` (field -> why).
+
+    Of the valid columns of a field the visible ones count, hidden ones only if
+    there is no other.  Of several: the one whose header names the unit; the one whose
+    cells do; the one beside the column it belongs to; any of equal ones; for
+    applicability the only one that answers every row it fills, if no other
+    contradicts it.  A field without a valid column is ``owner_unconfirmed``, one that this does not
+    decide a ``column_conflict``; both drop out of ``columns``.
+    """
+    profiles = stored(column_profiles(cells, headers, aliases, names))
+    where = [*PLACE, "region", "record_type", "header_row"]
+    option = F.struct("col", "owned", "hidden", "signature", "explicit", "unclear", "own_rows")
+    fields = profiles.groupBy(*where, "field").agg(F.array_sort(F.collect_list(F.when(F.col("valid"), option))).alias("_valid"))
+    shown = F.filter("_valid", lambda o: ~o["hidden"])
+    fields = fields.withColumn("_options", F.when(F.size(shown) > 0, shown).otherwise(F.col("_valid"))).withColumn("_hid", F.size("_options") < F.size("_valid"))
+
+    # Rows of an applicability whose options answer differently.
+    answers = profiles.where("field = 'applicability' AND valid").select(*where, "col", "hidden")
+    text = in_regions(cells).where("error IS NULL").select(*PLACE, "region", "row", "col", norm_text(F.col("current")).alias("_text"))
+    said = answers.join(text, [*PLACE, "region", "col"]).where(F.col("row") > F.col("header_row")).withColumn("_said", facts.applicability(F.col("_text"))["decision"]).where("_said IS NOT NULL")
+    by_row = said.groupBy(*where, "row").agg(F.min("_said").alias("_low"), F.max("_said").alias("_high"))
+    against = by_row.groupBy(*where).agg(F.count_if(F.col("_low") != F.col("_high")).alias("_against"))
+    fields = fields.join(against, where, "left")
+
+    def only(condition) -> Column:
+        """The one option that fits, else null."""
+        fit = F.filter("_options", condition)
+        return F.when(F.size(fit) == 1, F.get(fit, F.lit(0))["col"])
+
+    first, last = F.get("_options", F.lit(0))["col"], F.try_element_at(F.col("_options"), F.lit(-1))["col"]
+    owned = F.when(F.col("field").isin(OWNED_FIELDS), only(lambda o: o["owned"]))
+    by_values = only(lambda o: o["own_rows"] > 0)
+    equal = F.size(F.array_distinct(F.transform("_options", lambda o: o["signature"]))) == 1
+    answered = F.when((F.col("field") == "applicability") & (F.coalesce("_against", F.lit(0)) == 0), only(lambda o: (o["explicit"] > 0) & (o["unclear"] == 0)))
+    verdict = lambda col, why: F.struct(col.cast("int").alias("col"), F.lit(why).alias("why"))
+
+    def chosen(beside: Column) -> Column:
+        paired = only(lambda o: o["col"] == beside + 1)
+        return (
+            F.when(F.size("_options") == 0, verdict(F.lit(None), "owner_unconfirmed"))
+            .when((F.size("_options") == 1) & F.col("_hid"), verdict(first, "visible_equivalent_preferred"))
+            .when((F.size("_options") == 1) & F.get("_options", F.lit(0))["hidden"], verdict(first, "hidden_field_required"))
+            .when(F.size("_options") == 1, verdict(first, "single_field"))
+            .when(owned.isNotNull(), verdict(owned, "current_unit_header"))
+            .when(by_values.isNotNull(), verdict(by_values, "current_unit_values"))
+            .when(paired.isNotNull(), verdict(paired, "paired"))
+            .when(equal, verdict(F.when(F.col("field") == "applicability", last).otherwise(first), "equivalent_columns"))
+            .when(answered.isNotNull(), verdict(answered, "answer_values"))
+            .otherwise(verdict(F.lit(None), "column_conflict"))
+        )
+
+    alone = fields.where(~F.col("field").isin(list(BESIDE))).withColumn("_c", chosen(F.lit(None).cast("int")))
+    out = alone.select(*where, "field", "_c.col", "_c.why")
+    for field, other in BESIDE.items():
+        anchor = out.where(F.col("field") == other).select(*where, F.col("col").alias("_beside"))
+        out = out.unionByName(fields.where(F.col("field") == field).join(anchor, where, "left").withColumn("_c", chosen(F.col("_beside"))).select(*where, "field", "_c.col", "_c.why"))
+    whole = out.groupBy(*where).agg(
+        F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("field", "col"))))).alias("_columns"), F.map_from_entries(F.collect_list(F.struct("field", "why"))).alias("reasons")
+    )
+    return headers.join(whole, where, "left").withColumn("columns", F.coalesce("_columns", F.col("columns"))).drop("_columns")

@@ -25,7 +25,7 @@ from rulespark.plans.records import with_record_id
 from rulespark.sources.tables import header_rows, in_regions
 
 SPAN = "array<struct<text:string,start:int,end:int>>"
-CELLS = f"relative_path string, sheet string, hidden boolean, `row` int, col int, coordinate string, raw string, current string, formula string, state string, deleted_spans {SPAN}, red_spans {SPAN}, area string, error string"
+CELLS = f"relative_path string, sheet string, hidden boolean, `row` int, col int, coordinate string, raw string, current string, formula string, state string, deleted_spans {SPAN}, red_spans {SPAN}, area string, column_hidden boolean, error string"
 
 # The parts of a workbook package.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -81,21 +81,24 @@ def _place(reference: str) -> tuple[int, int]:
     return int(re.sub(r"\D", "", reference)), _column(reference)
 
 
-def _merged_areas(stream: IO[bytes]) -> list[tuple[int, int, int, int, str]]:
-    """The merged areas of a sheet in order of their first row; the sheet is read through and must be well-formed."""
-    found = []
+def _layout(stream: IO[bytes]) -> tuple[list[tuple[int, int, int, int, str]], list[tuple[int, int]]]:
+    """The merged areas of a sheet in order of their first row, and its ranges of hidden columns; the sheet is read through and must be well-formed."""
+    found, hidden = [], []
 
     def start(name: str, attributes: dict[str, str]) -> None:
-        if name.rpartition(":")[2] == "mergeCell":
+        kind = name.rpartition(":")[2]
+        if kind == "mergeCell":
             first, _, last = attributes["ref"].partition(":")
             found.append((*_place(first), *_place(last or first), attributes["ref"]))
+        elif kind == "col" and attributes.get("hidden") in ("1", "true"):
+            hidden.append((int(attributes["min"]), int(attributes["max"])))
 
     parser = expat.ParserCreate()
     parser.StartElementHandler = start
     while part := stream.read(STEP_BYTES):
         parser.Parse(part, False)
     parser.Parse(b"", True)
-    return sorted(found)
+    return sorted(found), hidden
 
 
 def _cell(c: ElementTree.Element, shared: list) -> dict | None:
@@ -120,17 +123,20 @@ def sheet_cells(open_sheet: Callable[[], IO[bytes]], shared: list) -> Iterator[d
     has content; rows and columns that only have formats give nothing.
     """
     with open_sheet() as stream:
-        areas = _merged_areas(stream)
+        areas, hidden = _layout(stream)
     held: list[tuple[tuple[int, int, int, int, str], dict]] = []  # areas that have begun, with their first cell
     due, last = 0, 0
 
+    def unseen(col: int) -> bool:
+        return any(low <= col <= high for low, high in hidden)
+
     def repeats(row: int) -> Iterator[dict]:
         """The copies of the areas that cover a row."""
         for (r1, c1, r2, c2, ref), first in held:
             if r1 <= row <= r2:
                 for col in range(c1, c2 + 1):
                     if (row, col) != (r1, c1):
-                        yield first | {"row": row, "col": col, "area": ref}
+                        yield first | {"row": row, "col": col, "area": ref, "column_hidden": unseen(col)}
 
     with open_sheet() as stream:
         root = None
@@ -145,7 +151,7 @@ def sheet_cells(open_sheet: Callable[[], IO[bytes]], shared: list) -> Iterator[d
             for c in node.iter(f"{MAIN}c"):
                 row, col = _place(c.get("r"))
                 if (own := _cell(c, shared)) is not None:
-                    cells[row, col] = own | {"row": row, "col": col, "area": None}
+                    cells[row, col] = own | {"row": row, "col": col, "area": None, "column_hidden": unseen(col)}
             if root is not None:
                 root.clear()
             for row in sorted({r for r, _ in cells}):

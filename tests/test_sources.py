@@ -11,7 +11,7 @@ from rulespark.functions.keys import display_text, measure_key, natural_key, nor
 from rulespark.plans.engine import run_engine
 from rulespark.plans.records import FILES, Context
 from rulespark.sources import sinks
-from rulespark.sources.tables import named_headers, with_regions
+from rulespark.sources.tables import named_headers, resolved_columns, with_regions
 from rulespark.sources.workbooks import CELLS, classify_material, header_rows, longest_alias, read_cells, read_files, records_from_cells, with_system_types
 from rulespark.streaming.intake import audit_stream, latest_findings, watch_records
 from tests.records_fixture import context, duty
@@ -117,7 +117,7 @@ def cells_frame(spark, sheets, path="f.xlsx"):
             col = 0
             for c in letters:
                 col = col * 26 + ord(c) - 64
-            rows.append((path, sheet, False, int(number), col, first, said, said, None, "value" if said else "empty", [], [], area, None))
+            rows.append((path, sheet, False, int(number), col, first, said, said, None, "value" if said else "empty", [], [], area, False, None))
     return spark.createDataFrame(rows, CELLS)
 
 
@@ -198,3 +198,33 @@ print(size, count, last, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - be
     size, count, last, grown = map(int, done.stdout.split())
     # 250,000 texts, and three copies of the merged one within the rows that have content.
     assert size > 64 << 20 and count == 250_000 + 2 and last == 250_000 and grown < 60_000
+
+
+def test_columns_are_told_by_owner_visibility_and_content(spark):
+    head = {"A1": "控制措施编号", "B1": "控制措施", "C1": "责任主体"}
+    body = {f"{c}{r}": t for r in (2, 3) for c, t in (("A", f"1-{r}"), ("B", "核对"), ("C", "财务部-会计"))}
+
+    def sheet(**more):
+        return head | body | {k.upper(): v for k, v in more.items()}
+
+    sheets = {
+        "本": sheet(d1="乙公司是否适用", d2="适用", e1="甲公司是否适用", e2="不适用"),
+        "清": sheet(d1="是否适用", d2="适用", d3="不适用", e1="适用情况", e2="修改了", e3="不适用"),
+        "争": sheet(d1="是否适用", d2="适用", e1="适用情况", e2="不适用"),
+        "同": sheet(d1="是否适用", d2="适用", e1="适用情况", e2="适用"),
+        "邻": sheet(d1="不适用原因", d2="x", e1="是否适用", e2="适用", f1="不适用理由", f2="y"),
+        "外": sheet(c1="乙公司责任主体"),
+        "名": sheet(d1="责任主体（甲公司）", d2="甲公司-财务部-会计"),
+        "隐": sheet(d1="是否适用", d2="适用", e1="适用情况", e2="不适用"),
+        "藏": sheet(d1="是否适用", d2="适用"),
+    }
+    cells = cells_frame(spark, sheets).withColumn("column_hidden", F.expr("col = 4 AND sheet IN ('隐', '藏')"))
+    names = spark.createDataFrame([("f.xlsx", "甲公司"), ("f.xlsx", None)], "relative_path string, name string")
+    heads = header_rows(cells, FULL, NEEDED | {"matrix": ["measure_id", "control_measure"]})
+    got = {r["sheet"]: (r["columns"], r["reasons"]) for r in resolved_columns(cells, heads, FULL, names).collect()}
+    pick = lambda s, f: (got[s][0].get(f), got[s][1][f])
+    assert {s: pick(s, "applicability") for s in "本清争同邻隐藏"} == {
+        "本": (5, "current_unit_header"), "清": (4, "answer_values"), "争": (None, "column_conflict"), "同": (5, "equivalent_columns"), "邻": (5, "single_field"), "隐": (5, "visible_equivalent_preferred"), "藏": (4, "hidden_field_required"),
+    }
+    assert pick("邻", "applicability_reason") == (6, "paired") and pick("外", "responsibility") == (None, "owner_unconfirmed") and pick("名", "responsibility") == (4, "current_unit_values")
+    assert pick("本", "measure_id") == (1, "single_field")
