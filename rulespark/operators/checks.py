@@ -7,6 +7,7 @@ earlier versions of a name stand for the latest one unless listed apart.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -521,8 +522,8 @@ def applicability_values(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> Da
     )
 
 
-def _unlike(pattern: str) -> Callable[[Column], Column]:
-    return lambda x: ~x.rlike(pattern)
+def _like(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: x.rlike(pattern)
 
 
 def _equal(text: str) -> Callable[[Column], Column]:
@@ -550,27 +551,115 @@ def unit_segments(parts: Column) -> Column:
     return F.when(F.size(parts) >= 3, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)))).otherwise(F.slice(parts, 1, 1))
 
 
-def restricted(items: Column, unit: Column, restrictions: list[dict[str, str]]) -> Column:
-    """What the first restriction that all items fall under says of the unit; null without one or without a unit."""
-    verdict = F.lit(None).cast("string")
-    for r in restrictions:
-        whole = (F.size(items) > 0) & (F.size(F.filter(items, _unlike(r["item_pattern"]))) == 0) & unit.isNotNull()
-        verdict = F.coalesce(verdict, F.when(whole, F.when(unit.rlike(r["entity_pattern"]), "applicable").otherwise("not_applicable")))
-    return verdict
-
-
 def unit_names(ctx: Context) -> DataFrame:
     """(entity_code, _unit): the roster, one row a unit."""
     return ctx.entities.groupBy("entity_code").agg(F.min("name").alias("_unit")).withColumn("_unit", norm_text(F.col("_unit")))
 
 
+# Fixed value: words of a responsible unit's cell that leave its scope open.
+OPEN_SCOPE = r"负责(?!人)|承担|适用|待(?:确认|核实|定)|未知|其他|可能|包括|仅|等|[-/—]$"
+
+
+def _sound(config: dict[str, Any]) -> bool:
+    """Whether restrictions can be read: a wrong one must not exclude a unit."""
+
+    def patterns(listed: Any) -> bool:
+        if not isinstance(listed, list) or not all(isinstance(x, str) and x for x in listed):
+            return False
+        try:
+            return all(re.compile(x) for x in listed)
+        except re.error:
+            return False
+
+    rules = config.get("restrictions")
+    if not isinstance(rules, list) or not rules or not patterns(config.get("known_entity_patterns", [])):
+        return False
+    ids = [r.get("id") if isinstance(r, dict) else None for r in rules]
+    if not all(isinstance(i, str) and i for i in ids) or len(set(ids)) != len(ids):
+        return False
+    return all(r.get("patterns") and patterns(r["patterns"]) and patterns(r.get("entity_patterns")) and patterns(r.get("required_patterns", [])) for r in rules)
+
+
+def _whole(text: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns fits the whole text; never null."""
+    return F.coalesce(any_of([text.rlike(f"^(?:{x})$") for x in patterns]), F.lit(False))
+
+
+def restricted_groups(ctx: Context, own: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """``own`` with what the whole group of responsible units (``_items``) says of the row's unit.
+
+    ``_verdict`` is applicable, not_applicable or null (undecided, ``_why`` says
+    for what reason); ``_restrictions`` are the ids of the restrictions that every item falls
+    under.  A restriction has patterns of whole items, patterns of the full names of
+    units it holds for (none: for no unit), and patterns that some item must
+    fit.  An item that begins with the full name or a confirmed alias of one
+    unit is that unit's, whatever pattern its words fit.  Without a
+    restriction a group of known units that includes the row's own does not
+    exclude it.
+    """
+    none = F.lit(None).cast("string")
+    if not _sound(config):
+        return own.withColumn("_verdict", none).withColumn("_why", F.lit("configuration")).withColumn("_restrictions", F.array().cast("array<string>"))
+    rules = config["restrictions"]
+    roster = unit_names(ctx).where("entity_code IS NOT NULL AND _unit != ''")
+    confirmed = [(norm_literal(k), v["entity_code"] if isinstance(v, dict) else v) for k, v in (config.get("entity_aliases") or {}).items() if not isinstance(v, dict) or v.get("confirmed") is True]
+    aliases = ctx.spark.createDataFrame([x for x in confirmed if x[0] and isinstance(x[1], str)], "_name string, entity_code string").join(roster.select("entity_code"), "entity_code")
+    names = roster.select(F.col("_unit").alias("_name"), "entity_code").unionByName(aliases.select("_name", "entity_code")).distinct()
+
+    # A unit's item is its name and at most a department and a position.
+    items = own.select(F.explode("_items").alias("_item")).distinct()
+    cut = F.regexp_replace("_item", r"[-/][^-/,;、]+$", "")
+    bases = items.select("_item", F.explode(F.array_distinct(F.array(F.col("_item"), cut, F.regexp_replace(cut, r"[-/][^-/,;、]+$", "")))).alias("_name"))
+    owners = bases.join(names, "_name").groupBy("_item").agg(F.min("entity_code").alias("_owner"), F.max("entity_code").alias("_other")).where("_owner = _other").drop("_other")
+    owners = owners.join(roster.select(F.col("entity_code").alias("_owner"), F.col("_unit").alias("_owner_name")), "_owner")
+    fits = [(_whole(F.col("_item"), r["patterns"]) & (F.col("_owner").isNull() | _whole(F.col("_owner_name"), r["entity_patterns"]) if r["entity_patterns"] else _whole(F.col("_item"), r["patterns"]))).alias(f"_fit{k}") for k, r in enumerate(rules)]
+    judged = items.join(owners, "_item", "left").select("_item", "_owner", *fits)
+    each = own.select("record_id", "entity_code", F.explode("_items").alias("_item")).join(judged, "_item")
+    known = F.col("_owner").isNotNull()
+    for k in range(len(rules)):
+        known = known | F.col(f"_fit{k}")
+    group = each.groupBy("record_id").agg(
+        *(F.bool_and(f"_fit{k}").alias(f"_all{k}") for k in range(len(rules))), F.bool_and(known).alias("_known"), F.bool_or(F.coalesce(F.col("_owner") == F.col("entity_code"), F.lit(False))).alias("_here"),
+    )
+    out = own.join(group, "record_id", "left").join(roster, "entity_code", "left")
+    under = [F.coalesce(F.col(f"_all{k}"), F.lit(False)) & _all_of([F.exists("_items", _like(f"^(?:{x})$")) for x in r.get("required_patterns", [])]) for k, r in enumerate(rules)]
+    says = F.array_compact(F.array(*(F.when(u, F.struct(F.lit(r["id"]).alias("id"), F.lit(bool(r["entity_patterns"])).alias("some"), _whole(F.col("_unit"), r["entity_patterns"]).alias("holds"))) for u, r in zip(under, rules))))
+    out = duties.once(out, _says=says)
+    unit_known = _whole(F.col("_unit"), [x for r in rules for x in r["entity_patterns"]] + list(config.get("known_entity_patterns", [])))
+    several = F.size(F.array_distinct(F.transform("_says", lambda x: x["holds"]))) > 1
+    open_scope = (F.size("_items") == 0) | F.exists("_items", lambda i: i.rlike(OPEN_SCOPE))
+    why = (
+        F.when(~readable("responsibility"), "source_unavailable").when(open_scope, "open_scope")
+        .when(F.size("_says") == 0, F.when(F.col("_unit").isNotNull() & F.col("_known") & F.col("_here"), none).otherwise("unknown_units"))
+        .when(~F.exists("_says", lambda x: x["some"]), none).when(F.col("_unit").isNull(), "unit_unknown").when(~unit_known, "unit_class_unknown").when(several, "conflicting_restrictions")
+    )
+    out = out.withColumn("_why", why)
+    verdict = F.when((F.size("_says") == 0) | F.get("_says", F.lit(0))["holds"], "applicable").otherwise("not_applicable")
+    kept = F.when(F.col("_why").isin("source_unavailable", "open_scope"), F.array().cast("array<string>")).otherwise(F.transform("_says", lambda x: x["id"]))
+    return out.withColumn("_verdict", F.when(F.col("_why").isNull(), verdict)).withColumn("_restrictions", kept).drop("_says", "_unit", "_known", "_here", *(f"_all{k}" for k in range(len(rules))))
+
+
+def _all_of(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 @check("responsibility_applicability", 1)
 def responsibility_applicability(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """The whole group of responsible units against restrictions: a pattern of items and a pattern of unit names."""
-    own = wide(lines_as_items(rows, "responsibility"), ["responsibility", "applicability"]).where((F.col("responsibility") != "") & readable("applicability"))
-    own = own.join(unit_names(ctx), "entity_code").withColumn("_items", responsible(F.col("responsibility"))).withColumn("_a", facts.applicability(F.col("applicability")))
-    own = own.withColumn("_verdict", restricted(F.col("_items"), F.col("_unit"), p["restrictions"])).where("_verdict IS NOT NULL AND _a.decision IS NOT NULL AND _a.decision != _verdict")
-    return issues(own, "violation", "responsibility_applicability_conflict", "applicability", responsibility_decision=F.col("_verdict"), stated_decision=F.col("_a.decision"))
+    """The answer of a row against the restriction that its whole group of responsible units falls under; what can't be told is a limitation."""
+    own = wide(lines_as_items(rows, "responsibility"), ["responsibility", "applicability"])
+    own = restricted_groups(ctx, own.withColumn("_items", responsible(F.col("responsibility"))), p)
+    own = own.withColumn("_a", F.when(readable("applicability"), facts.applicability(F.col("applicability"))["decision"])).withColumn("_bound", F.size("_restrictions") > 0)
+    dark = own.where("_verdict IS NULL OR (_bound AND _a IS NULL)").withColumn("_why", F.coalesce("_why", F.lit("no_clear_answer")))
+    against = own.where("_bound AND _verdict IS NOT NULL AND _a IS NOT NULL AND _a != _verdict")
+    return union(
+        [
+            issues(dark, "limitation", "responsibility_applicability_unresolved", "responsibility", ["reason"], reason=F.col("_why"), restriction_ids=F.col("_restrictions")),
+            issues(against, "violation", "responsibility_applicability_conflict", "applicability", responsibility_decision=F.col("_verdict"), stated_decision=F.col("_a"), restriction_ids=F.col("_restrictions")),
+        ]
+    )
 
 
 @check("responsibility_unit_specific", 1)
@@ -809,10 +898,12 @@ def _coverage(version: int) -> Check:
         own = with_key(wide(lines_as_items(rows, "responsibility"), ["measure_id", "applicability", "responsibility"])).withColumn("_items", responsible(F.col("responsibility")))
         decision = facts.applicability(F.col("applicability"))["decision"] if version >= 5 else facts.plain_answer(F.col("applicability"))
         own = own.withColumn("_decision", decision)
-        restrictions = (p.get("responsibility_applicability") or {}).get("restrictions", [])
-        if version == 8 and restrictions:
-            own = own.join(unit_names(ctx), "entity_code", "left").withColumn("_verdict", restricted(F.col("_items"), F.col("_unit"), restrictions))
-            own = own.where("_verdict IS NULL OR _verdict = 'applicable'").withColumn("_decision", F.coalesce("_verdict", "_decision")).drop("_unit", "_verdict")
+        undecided = None
+        if version == 8 and p.get("responsibility_applicability"):
+            own = restricted_groups(ctx, own, p["responsibility_applicability"])
+            undecided = own.where("_verdict IS NULL")
+            # A wrong answer does not spare a measure that is known to hold for the unit.
+            own = own.where("_verdict IS NULL OR _verdict = 'applicable'").withColumn("_decision", F.when(F.size("_restrictions") > 0, F.coalesce("_verdict", "_decision")).otherwise(F.col("_decision"))).drop("_verdict", "_restrictions", "_why")
         placeless = own.where(~scope_known())
         own = own.where(scope_known() & (F.coalesce("_decision", F.lit("")) != "not_applicable"))
         unclear = own.where("_decision IS NULL")
@@ -879,6 +970,8 @@ def _coverage(version: int) -> Check:
             found.append(issues(unsure.where("responsibility_state = 'empty'"), "violation", "responsibility_empty", "responsibility"))
             unsure = unsure.where("responsibility_state = 'value'")
         found.append(issues(unsure, open_kind, "coverage_mapping_unconfirmed", None, ["measure_id"], measure_id=F.col("measure_id"), responsibility_items=F.col("_items"), mapping_details=F.col("_details")))
+        if undecided is not None:
+            found.append(issues(undecided, "limitation", "responsibility_applicability_unresolved", "responsibility", ["reason"], reason=F.col("_why")))
         return union(found)
 
     return run

@@ -91,15 +91,38 @@ STRUCK_WHOLE = "concat('1.核对第', p_partkey % 3, '号台账;2.登记', p_par
 USING = REFERENCE | {"record_id": "concat('u', o_orderkey)", "duty": "concat('按规定登记', o_orderkey % 4, ' 号凭证并归档')"}
 
 
+# Groups of responsible units: of the province, of nobody, of two together, open, with the row's own unit, unknown.
+GROUP = {
+    "entity_code": "concat('E', p_partkey % 5)",
+    "file_path": "'g'",
+    "record_id": "concat('g', p_partkey)",
+    "responsibility": "CASE p_partkey % 7 WHEN 0 THEN '省公司-财务部-主任' WHEN 1 THEN '国网财务部；省公司-物资部' WHEN 2 THEN '北京电力交易中心' WHEN 3 THEN '省公司、物资公司' WHEN 4 THEN '省公司-财务部；待确认' WHEN 5 THEN '省公司-财务部；国网湖南省电力有限公司凤凰县供电分公司-财务部-主任' ELSE '外地公司-财务部' END",
+    "applicability": "CASE p_size % 3 WHEN 0 THEN '适用' WHEN 1 THEN '不适用' ELSE '' END",
+}
+UNITS = ["国网湖南省电力有限公司", "国网湖南省电力有限公司物资公司", "国网湖南省电力有限公司凤凰县供电分公司", "国网湖南省电力有限公司龙山县供电分公司", "尚未确认归属的中心"]
+RESTRICTIONS = {
+    "restrictions": [
+        {"id": "province", "patterns": ["省公司[-/][^-/,;、]+部(?:[-/][^-/,;、]+)?", "国网[^-/;,、]+部(?:[-/][^-/,;、]+)?"], "entity_patterns": ["国网湖南省电力有限公司"]},
+        {"id": "nobody", "patterns": ["北京电力交易中心(?:[-/][^-/,;、]+){0,2}"], "entity_patterns": []},
+        {"id": "both", "patterns": ["省公司", "物资公司"], "required_patterns": ["省公司", "物资公司"], "entity_patterns": ["国网湖南省电力有限公司", "国网湖南省电力有限公司物资公司"]},
+    ],
+    "known_entity_patterns": ["国网湖南省电力有限公司.+供电分公司(?:本部)?"],
+}
+
+
 def _view(names: dict[str, str], table: str, row: str) -> str:
     return f"SELECT {', '.join(f'{v} AS {k}' for k, v in names.items())}, CAST({row} AS INT) AS line FROM {table}"
 
 
-WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')}), posts AS ({_view(POST, 'orders', 'o_orderkey')}), referring AS ({_view(REFERENCE, 'orders', 'o_orderkey')}), struck AS ({_view(STRUCK, 'part', 'p_partkey')}), using_rows AS ({_view(USING, 'orders', 'o_orderkey')})"
+WITH = f"WITH duties AS ({_view(DUTY, 'orders', 'o_orderkey')}), measures AS ({_view(MEASURE, 'part', 'p_partkey')}), clauses AS ({_view(CLAUSE, 'orders', 'o_orderkey')}), posts AS ({_view(POST, 'orders', 'o_orderkey')}), referring AS ({_view(REFERENCE, 'orders', 'o_orderkey')}), struck AS ({_view(STRUCK, 'part', 'p_partkey')}), using_rows AS ({_view(USING, 'orders', 'o_orderkey')}), groups_of AS ({_view(GROUP, 'part', 'p_partkey')})"
+
+
+#: The kinds whose rows are measures.
+MEASURES = ("matrix", "struck", "groups")
 
 
 def _records(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "posts": (POST, "orders", "o_orderkey"), "referring": (REFERENCE, "orders", "o_orderkey"), "using": (USING, "orders", "o_orderkey"), "struck": (STRUCK, "part", "p_partkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
+    names, table, row = {"position_duty": (DUTY, "orders", "o_orderkey"), "clauses": (CLAUSE, "orders", "o_orderkey"), "posts": (POST, "orders", "o_orderkey"), "referring": (REFERENCE, "orders", "o_orderkey"), "using": (USING, "orders", "o_orderkey"), "struck": (STRUCK, "part", "p_partkey"), "groups": (GROUP, "part", "p_partkey"), "matrix": (MEASURE, "part", "p_partkey")}[kind]
     rows = spark.read.parquet(f"{d}/{table}.parquet").selectExpr(*(f"{v} AS {k}" for k, v in names.items()), f"CAST({row} AS INT) AS `row`", *([f"{STRUCK_WHOLE} AS _whole"] if kind == "struck" else []))
 
     def cell(name: str) -> Any:
@@ -113,9 +136,9 @@ def _records(spark: SparkSession, d: str, kind: str) -> DataFrame:
         return F.struct(*(values.get(f, F.lit(None)).alias(f) for f in fields)).cast(CELL)
 
     own = [k for k in names if k not in ("entity_code", "file_path", "record_id")]
-    people = F.array(F.struct(F.col("person_names").alias("name"), F.lit(None).cast("string").alias("person_id"), F.lit(False).alias("identity_reliable"))) if kind not in ("matrix", "struck") else F.array()
+    people = F.array(F.struct(F.col("person_names").alias("name"), F.lit(None).cast("string").alias("person_id"), F.lit(False).alias("identity_reliable"))) if kind not in MEASURES else F.array()
     return rows.select(
-        F.lit("matrix" if kind in ("matrix", "struck") else "position_duty").alias("record_type"), "entity_code", F.lit("06").alias("business_code"), F.lit("06").alias("business_id"), F.lit("default").alias("variant_id"), "file_path", F.lit("s").alias("sheet"), "row",
+        F.lit("matrix" if kind in MEASURES else "position_duty").alias("record_type"), "entity_code", F.lit("06").alias("business_code"), F.lit("06").alias("business_id"), F.lit("default").alias("variant_id"), "file_path", F.lit("s").alias("sheet"), "row",
         F.create_map(*(x for k in own for x in (F.lit(k), cell(k)))).alias("fields"), "record_id", people.cast("array<struct<name:string,person_id:string,identity_reliable:boolean>>").alias("person_keys"),
     )
 
@@ -144,7 +167,9 @@ def through_check(name: str, operator: str, version: int, kind: str | None, sql:
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         ctx = context(spark, d, needs if needs is not None else (kind,) if kind else ())
-        rows = ctx.of_type("matrix" if kind == "matrix" else "position_duty") if kind else ctx.records
+        rows = ctx.of_type("matrix" if kind in MEASURES else "position_duty") if kind else ctx.records
+        if kind == "groups":
+            ctx.entities = spark.createDataFrame([(f"E{k}", n, None, None, True) for k, n in enumerate(UNITS)], ENTITIES)
         found = CHECKS[operator, version](ctx, rows, params or {})
         key = "entity_code" if operator in PACKAGE_CHECKS else "record_id"
         return found.select(key, "kind", "issue_type", *(F.get_json_object("evidence", f"$.{e}").alias(e) for e in evidence))
@@ -221,6 +246,15 @@ through_check(
     {"source_field": "role", "text_field": "duty", "mapping": {"经办": ["主体责任"], "审核": ["审核责任"], "审批": ["审批责任"]}},
 )
 through_check("responsibility_phrase", "responsibility_phrase", 9, "position_duty", "SELECT record_id, 'violation' AS kind, 'responsibility_phrase_missing' AS issue_type FROM duties WHERE NOT contains(duty, '真实性')", {"attributes": ["真实性"]})
+through_check(
+    "responsibility_applicability", "responsibility_applicability", 1, "groups",
+    """, said AS (SELECT record_id, applicability AS answer, p_partkey % 7 AS g, p_partkey % 5 AS e FROM groups_of JOIN part ON record_id = concat('g', p_partkey)),
+    judged AS (SELECT *, g < 4 AS bound, CASE WHEN g IN (0, 1) AND e < 4 THEN CASE WHEN e = 0 THEN '适用' ELSE '不适用' END WHEN g = 2 THEN '不适用' WHEN g = 3 AND e < 4 THEN CASE WHEN e < 2 THEN '适用' ELSE '不适用' END WHEN g = 5 AND e = 2 THEN '适用' END AS verdict FROM said)
+    SELECT record_id, CASE WHEN verdict IS NULL OR answer = '' THEN 'limitation' ELSE 'violation' END AS kind, CASE WHEN verdict IS NULL OR answer = '' THEN 'responsibility_applicability_unresolved' ELSE 'responsibility_applicability_conflict' END AS issue_type,
+      CASE WHEN verdict IS NOT NULL AND answer <> '' THEN NULL WHEN verdict IS NOT NULL THEN 'no_clear_answer' WHEN g < 4 THEN 'unit_class_unknown' WHEN g = 4 THEN 'open_scope' ELSE 'unknown_units' END AS reason
+    FROM judged WHERE verdict IS NULL OR bound AND answer <> verdict""",
+    RESTRICTIONS, ("reason",), ("groups",),
+)
 REAPPEARS = """, gone AS (SELECT s.*, p_partkey % 4 AS entry, p_size % 3 AS style FROM struck s JOIN part ON record_id = concat('k', p_partkey)),
     texts AS (SELECT entity_code, measure_id, entry, {kept} AS kept, (SELECT count(*) FROM gone n WHERE n.entity_code = g.entity_code AND n.measure_id = g.measure_id) AS n FROM gone g WHERE style IN ({styles}) GROUP BY ALL),
     used AS (SELECT u.*, o_orderkey % 4 AS entry FROM using_rows u JOIN orders ON record_id = concat('u', o_orderkey))

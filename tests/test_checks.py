@@ -176,8 +176,9 @@ def test_coverage_by_version(spark):
     assert names(7) == sorted([ambiguous, unsure[0], (3, "violation", "responsibility_empty"), (4, "review", "responsibility_unit_unavailable"), *unread])
     assert names(7, {"confirmed_mappings": {"归口办": [{"department": "财务部", "position": "会计"}]}, "confirmed_aliases": {"主办": "会计"}})[1:] == names(7)[2:]
     assert {x[1] for x in names(7, {"unresolved_kind": "review"})} == {"review", "violation"}
-    rule = {"responsibility_applicability": {"restrictions": [{"item_pattern": "职员|会计", "entity_pattern": "^乙"}]}}
+    rule = {"responsibility_applicability": {"restrictions": [{"id": "r", "patterns": [".*(?:职员|会计)"], "entity_patterns": ["乙.*"]}], "known_entity_patterns": ["甲.*"]}}
     assert [x for x in names(8, rule) if x[0] in (1, 5)] == []
+    assert {x[0] for x in names(8, rule) if x[2] == "responsibility_applicability_unresolved"} == {2, 3, 4}
 
 
 def test_coverage_details_name_the_positions_of_a_department(spark):
@@ -211,7 +212,7 @@ def test_other_row_checks(spark):
     assert run(spark, "forbidden_reference", 1, rows, {"terms": ["旧平台"], "fields": ["control_measure"]}, ["matrix"]) == [(1, "violation", "forbidden_reference")]
     assert run(spark, "text_pattern", 1, rows, {"field": "responsibility", "patterns": ["部-"]}, ["matrix"]) == [(1, "violation", "pattern_missing")]
     assert run(spark, "responsibility_department_alignment", 1, rows, {"keyword_mappings": {"业务": ["营销"], "会计": ["财务"]}}, ["matrix"]) == [(1, "review", "responsibility_department_mismatch")]
-    assert run(spark, "responsibility_applicability", 1, rows, {"restrictions": [{"item_pattern": "业务部门", "entity_pattern": "^乙"}]}, ["matrix"]) == [(1, "violation", "responsibility_applicability_conflict")]
+    assert run(spark, "responsibility_applicability", 1, rows, {"restrictions": [{"id": "r", "patterns": [".*业务部门.*"], "entity_patterns": ["乙.*"]}], "known_entity_patterns": ["甲.*"]}, ["matrix"]) == [(1, "violation", "responsibility_applicability_conflict")]
     systems = [record("system_rule", 1, system_owner="国网总部", system_type=""), record("system_rule", 2, system_owner="某某分公司", system_type=""), record("system_rule", 3, system_owner="", system_type="三级部署系统")]
     assert run(spark, "system_type_preprocessing_notice", 1, systems) == [(2, "violation", "system_type_preprocessing_unresolved")]
 
@@ -238,3 +239,48 @@ def test_every_version_plans(spark):
     ctx = context(spark, [], [])
     for f in {*CHECKS.values()}:
         assert f(ctx, ctx.records, params).schema.names[:3] == ["record_id", "kind", "issue_type"]
+
+
+UNIT = "国网湖南省电力有限公司"
+COUNTY = f"{UNIT}凤凰县供电分公司"
+RULES = {
+    "restrictions": [
+        {"id": "province", "patterns": [r"省公司[-/][^-/,;、]+部(?:[-/][^-/,;、]+)?", r"省公司物资部(?:[-/][^-/,;、]+)?", r"国网[^-/;,、]+部(?:[-/][^-/,;、]+)?"], "entity_patterns": [UNIT]},
+        {"id": "trading", "patterns": [r"北京电力交易中心(?:[-/][^-/,;、]+){0,2}"], "entity_patterns": []},
+        {"id": "both", "patterns": ["省公司", "物资公司"], "required_patterns": ["省公司", "物资公司"], "entity_patterns": [UNIT, f"{UNIT}物资公司"]},
+    ],
+    "known_entity_patterns": [UNIT + ".+供电分公司(?:本部)?", "国网湖南省电力公司长沙培训服务部"],
+}
+
+
+def verdicts(spark, cases, config=RULES):
+    """What a check makes of (unit, group, answer)."""
+    rows = [matrix(k, entity=e, responsibility=text, applicability=answer) for k, (e, text, answer) in enumerate(cases)]
+    ctx = context(spark, rows)
+    ctx.records = with_record_id(ctx.records)
+    units = {"P": UNIT, "C": COUNTY, "M": f"{UNIT}物资公司", "U": "尚未确认归属的中心", "T": "国网湖南省电力公司长沙培训服务部"}
+    ctx.entities = spark.createDataFrame([(k, v, None, None, True) for k, v in units.items()], ctx.entities.schema)
+    found = {r["row"]: r["kind"] for r in CHECKS["responsibility_applicability", 1](ctx, ctx.records, config).collect()}
+    return [found.get(k) for k in range(len(cases))]
+
+
+def test_restrictions_of_whole_groups(spark):
+    no, yes = "否", "适用"
+    own = f"{COUNTY}-财务部-主任"
+    cases = [
+        ("P", "省公司-财务部-主任", no, "violation"), ("P", "省公司/财务部/部门负责人", yes, None), ("C", "省公司-物资部", yes, "violation"), ("C", "国网财务部", "否", None), ("U", "北京电力交易中心-财务部", yes, "violation"), ("P", "省公司、物资公司", yes, None),
+        ("M", "省公司\n物资公司", no, "violation"), ("C", "省公司；物资公司", no, None), ("C", "省公司；省公司", no, "limitation"), ("C", f"省公司-财务部；{own}", no, None), ("C", own, no, None), ("P", own, no, "limitation"),
+        ("C", "省公司-财务部；未知公司-财务部", yes, "limitation"), ("C", "省公司-财务部；待确认", yes, "limitation"), ("C", "仅省公司-财务部", yes, "limitation"), ("C", "省公司-财务部-", yes, "limitation"), ("C", "", yes, "limitation"), ("U", "省公司-财务部", yes, "limitation"), ("X", "省公司-财务部", yes, "limitation"),
+        ("C", "省公司-财务部", "可能适用", "limitation"), ("C", "省公司-财务部", "", "limitation"), ("C", "省公司-财务部", cell("", "formula_no_cache"), "limitation"), ("C", cell("", "formula_no_cache"), yes, "limitation"),
+        ("T", "国网湖南省电力公司长沙培训服务部/财务部/主任", no, None), ("C", "县公司-财务部-主任", no, None), ("C", "县公司二号-财务部-主任", no, "limitation"), ("C", "两处-财务部", no, "limitation"),
+    ]
+    aliases = {"县公司": {"entity_code": "C", "confirmed": True}, "两处": {"entity_code": "C", "confirmed": True}, "两 处": {"entity_code": "P", "confirmed": True}, "未知公司": {"entity_code": "C", "confirmed": False}}
+    got = verdicts(spark, [c[:3] for c in cases], RULES | {"entity_aliases": aliases})
+    assert [(c[:2], g) for c, g in zip(cases, got) if g != c[3]] == []
+
+
+def test_restrictions_that_conflict_or_cannot_be_read_decide_nothing(spark):
+    case = [("P", "省公司-财务部-主任", "否")]
+    more = RULES | {"restrictions": [*RULES["restrictions"], {"id": "other", "patterns": ["省公司-财务部-主任"], "entity_patterns": [COUNTY]}]}
+    broken = [{"id": "a", "patterns": ["x"]}, {"id": "a", "patterns": ["x"], "entity_patterns": "y"}, {"id": "a", "patterns": "x", "entity_patterns": []}, {"id": "a", "patterns": ["["], "entity_patterns": []}, {"patterns": ["x"], "entity_patterns": []}, {"id": "a", "patterns": ["x"], "entity_patterns": [], "required_patterns": [1]}]
+    assert [verdicts(spark, case, c) for c in (more, *({"restrictions": [r]} for r in broken), {"restrictions": []}, {})] == [["limitation"]] * 9
