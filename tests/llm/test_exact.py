@@ -40,12 +40,34 @@ def test_sharding_equals_sql_and_keeps_its_law(spark):
         bytes_of[r["shard"]] += r["size"]
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    share, largest = sum(bytes_of.values()) / 24, max(r[1] is not None and len(r[1].encode()) + 8 or 8 for r in rows)
+    group_bytes, shards_of = Counter(), {}
+    key = {r[0]: r[1] for r in rows}
+    for r in rows:
+        group_bytes[r[1]] += (len(r[1].encode()) if r[1] else 0) + 8
+    for r in out.where("doc_id >= 1000").collect():
+        shards_of.setdefault(key[r["doc_id"]], set()).add(r["shard"])
+    share = sum(bytes_of.values()) / 24
+    largest = max(*(b for b in group_bytes.values() if b <= share), *(len((r[1] or "").encode()) + 8 for r in rows))
     assert all(abs(bytes_of[k] - share) <= largest for k in range(24))
+    # Equal texts stay together unless they are more than a shard.
+    assert len(shards_of[hot]) > 1 and all(len(x) == 1 for t, x in shards_of.items() if group_bytes[t] <= share)
     checksum = {r["doc_id"]: r["text_crc32"] for r in out.where("doc_id >= 1000").collect()}
     assert checksum == {r[0]: zlib.crc32(r[1].encode()) for r in rows if r[0] and r[0] >= 1000}
 
 
+def test_sharding_of_hot_ids_nulls_and_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    hot, pairs = sentence(rng, 20), [sentence(rng, rng.randint(5, 60)) for _ in range(200)]
+    rows = [(None, hot, "en", "s", 1)] * 300 + [(7, hot, "en", "s", 1)] * 300 + [(k, hot, "en", "s", 1) for k in range(100, 200)] + [(1000 + k, pairs[k % 200], "en", "s", 1) for k in range(600)] + [(5000 + k, None, "en", "s", 1) for k in range(20)]
+    monkeypatch.setattr(sharding, "LEAST_RANGES", 40)
+    out = sharding.shard_records(frame(spark, rows).repartition(4), range_rows=10)
+    assert as_set(out) == sql_rows(sharding.SQL, rows, out.columns)
+    where = {}
+    for r in out.where("doc_id >= 1000").collect():
+        where.setdefault((r["doc_id"] - 1000) % 200 if r["doc_id"] < 5000 else "null", set()).add(r["shard"])
+    assert all(len(x) == 1 for x in where.values()) and len(where) == 201
+
+
 def test_licenses_equal_sql(spark):
     rng = random.Random(6)
     notices = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License. mit license MIT LICENSE", "Apache License", "cc by cc by sa 4 0",
