@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from rulespark.llm import texthash as th
 from rulespark.llm.common import map_arrow
 
-#: Which words of a window count.  Fixed values: any eight words in a row without a substitution hit
-#: the first; the others bridge single and double substitutions.
-MASKS = ("111111", "1101011001", "110010100111", "1010011011")
+#: Which words of a window count, chosen greedily by the placements of substitutions that they leave unseen.
+#: Together the first ones hit every stretch of 12 to 23 words of which a quarter or fewer are substituted, and so
+#: every longer one, which has such a stretch within; the second ones do so for whole items of 5 to 11 words.
+MASKS = ("111011", "110100011", "11001011", "110111", "11111")
+SHORT_MASKS = ("1111", "11101", "10111", "11011", "110011")
 
 #: Words of an overlap, and the share of them that must be equal, for a leak.
 LEAST_OVERLAP, LEAST_SHARE = 12, 0.75
@@ -70,11 +72,16 @@ class SeedIndex:
                 if n >= LEAST_ITEM_WORDS:
                     self.ids.append(ids[part.first + i])
                     self.words.append(hashes[found.first[i] : found.first[i] + n])
-        short = sorted({len(w) for w in self.words if len(w) < max(map(len, MASKS))})
-        self.masks = [*MASKS, *("1" * n for n in short)]
+        short = [len(w) < LEAST_OVERLAP for w in self.words]
+        self.masks: list[str] = []
         self.tables = []
-        for seed, mask in enumerate(self.masks):
-            parts = [_masked(w, np.zeros(len(w), np.int64), mask, seed) for w in self.words]
+        for seed, mask in enumerate((*MASKS, *SHORT_MASKS)):
+            # An item under LEAST_OVERLAP words has to match as a whole, and only such items are looked up by few words.
+            own = [w if is_short == (seed >= len(MASKS)) else w[:0] for w, is_short in zip(self.words, short)]
+            if not any(len(w) for w in own):
+                continue
+            self.masks.append(mask)
+            parts = [_masked(w, np.zeros(len(w), np.int64), mask, len(self.tables)) for w in own]
             hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
             item = np.repeat(np.arange(len(parts)), [len(h) for h, _ in parts])
             place = np.concatenate([p for _, p in parts]) if parts else np.zeros(0, np.int64)

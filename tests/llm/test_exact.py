@@ -1,6 +1,7 @@
 """Operators with one right answer, against brute force, SQL or the tokenizer library."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 
 from rulespark.llm import licenses, sharding
 from rulespark.llm.bpe import encode_texts
-from rulespark.llm.decontaminate import benchmark_leaks, overlap
+from rulespark.llm.decontaminate import LEAST_OVERLAP, MASKS, SHORT_MASKS, benchmark_leaks, overlap
 from rulespark.llm.quality_rules import judge_quality
 from rulespark.llm.queries import vocabulary_path
 from tests.llm.fixtures import as_set, frame, odd_rows, sentence, stored
@@ -178,3 +179,32 @@ def test_overlaps_equal_brute_force_and_meet_the_declared_rule(spark):
     found = benchmark_leaks(frame(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} >= {(0, 0)} and (2, 2) not in {(r["doc_id"], r["item_id"]) for r in found}
     assert all(r["n_words"] >= 12 and 4 * r["n_equal"] >= 3 * r["n_words"] for r in found)
+
+
+def unseen(masks, words, substituted):
+    """How many placements of substitutions no mask sees past."""
+    windows = [{at + k for k, c in enumerate(m) if c == "1"} for m in masks for at in range(words - len(m) + 1)]
+    return sum(all(w & set(hit) for w in windows) for hit in itertools.combinations(range(words), substituted))
+
+
+def test_masks_see_every_overlap_within_the_share():
+    # A longer overlap within the share has one of these lengths within.
+    for words in range(LEAST_OVERLAP, 2 * LEAST_OVERLAP):
+        assert unseen(MASKS, words, words // 4) == 0, words
+    for words in range(5, LEAST_OVERLAP):
+        assert unseen(SHORT_MASKS, words, words // 4) == 0, words
+
+
+def test_leaks_of_every_length_with_a_quarter_substituted(spark):
+    rng = random.Random(21)
+    items, docs = [], []
+    for n in [*range(5, 12), 12, 12, 12, 14, 16, 20, 24, 40]:
+        words = sentence(rng, n).split()
+        items.append((len(items), " ".join(words)))
+        for _ in range(6):
+            spots = rng.sample(range(n), n // 4)
+            said = [f"zz{k}" if k in spots else w for k, w in enumerate(words)]
+            docs.append((1000 * len(items) + len(docs), f"{sentence(rng, 9)} {' '.join(said)}. {sentence(rng, 9)}", "en", "s", 1))
+    clean = [(k, sentence(rng, 60), "en", "s", 1) for k in range(300)]
+    out = benchmark_leaks(frame(spark, docs + clean), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in out} == {d[0] for d in docs} and {(r["doc_id"] // 1000 - 1, r["item_id"]) for r in out} == {(k, k) for k, _ in items}
