@@ -17,18 +17,22 @@ from rulespark.llm.toxicity import score_toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs of all documents: the lines and passages that are cut from all but one text, with their clusters."""
     return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("version")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document: five-word shingles, similarity of 0.75 or more; empty texts link with nothing."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from the labelled rows that are not held out; empty texts score the intercept."""
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license phrases and notices of every document, by SQL functions alone; a null text has none."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
@@ -40,26 +44,32 @@ def vocabulary_path() -> str:
 
 
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every document; a null text is empty."""
     return encode_texts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from confirmed and unlabelled rows that are not held out; empty texts score the intercept."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out; `und` without a letter."""
     return identify_language(table(spark, sf_dir, "documents"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document by the law `bytes`; equal texts stay together, null texts are a group of their own."""
     return sharding.shard_records(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rules and the log ratio verdict of every document; a null text fails the base rules."""
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item: 12 words or more, three quarters of them equal; null texts have none."""
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
