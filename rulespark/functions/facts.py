@@ -17,6 +17,12 @@ NEGATIVE = r"^(?:不适用|否)(?=$|[,:;。]|因|本|县|无|暂|不)"
 NEGATED_POSITIVE = r"(?:但|仍|也|同时|实际)(?:为|是)?适用"
 UNCERTAIN = r"是否|待(?:确认|核实|定)|不确定|并非|不是不|不一定|可能|[?？]|(?:如|若).*(?:适用|执行)|但.*(?:开展|适用|执行)"
 
+# Answers that only tell for units of a level, by the unit's full name, and headers of columns of levels.
+COUNTY_UNIT, CITY_UNIT = r"^国网湖南省电力有限公司.{2,6}县供电分公司$", r"^国网湖南省电力有限公司.{2,6}供电分公司本部$"
+CITY_RUN, NOT_FOR_COUNTIES = "市公司集中管控,县公司不适用", "此条不适用县、支公司"
+LEVEL_HEADERS = ("适用层级", "适用主体")
+CITY_AND_COUNTY, CITY_SEATS = "地市及区县", "地市本部、变电检修公司、输电检修公司、吉首支公司"
+
 # Responsibility types by role, and the words that assume or deny one.
 RESPONSIBILITY_TYPES = ("主体责任", "审核责任", "审批责任")
 ASSUMES = r"负有?|承担|担负|具有|履行"
@@ -100,6 +106,22 @@ def applicability(text: Column) -> Column:
     return F.struct(state.alias("state"), decision.alias("decision"), reason.alias("reason"))
 
 
+def applicability_of(text: Column, unit: Column, header: Column) -> Column:
+    """``applicability`` of an answer, or what it says for a unit of this level, by the unit's full name and the column's header; both may be null."""
+    plain = applicability(text)
+    t = F.regexp_replace(F.regexp_replace(text, r"^[。;]+", ""), r"[。;]+$", "")
+    county, city = F.coalesce(unit.rlike(COUNTY_UNIT), F.lit(False)), F.coalesce(unit.rlike(CITY_UNIT), F.lit(False))
+    levels = F.coalesce(header.isin(*LEVEL_HEADERS), F.lit(False))
+    told = lambda state, decision, reason: F.struct(F.lit(state).alias("state"), F.lit(decision).alias("decision"), reason.cast("string").alias("reason"))
+    open_answer = plain["decision"].isNull() & text.isNotNull()
+    return (
+        F.when(open_answer & county & (t == CITY_RUN), told("explicit_negative", "not_applicable", F.lit("市公司集中管控")))
+        .when(open_answer & county & (t == NOT_FOR_COUNTIES), told("explicit_negative", "not_applicable", t))
+        .when(open_answer & levels & (((county | city) & (t == CITY_AND_COUNTY)) | (city & (t == CITY_SEATS))), told("explicit_positive", "applicable", F.lit(None)))
+        .otherwise(plain)
+    )
+
+
 def clauses(text: Column) -> Column:
     return F.filter(F.split(text, r"[,，;；。!！]"), lambda c: c != "")
 

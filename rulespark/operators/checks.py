@@ -201,7 +201,7 @@ def _alignment(version: int) -> Check:
         own = _duty_presence(ctx, rows, ["measure_id", "applicability"])
         if version == 1:
             own = own.join(ctx.submitted("position_duty"), SCOPE, "left_semi")
-        own = own.where(readable("applicability")).withColumn("_a", facts.applicability(F.col("applicability")))
+        own = answered(ctx, own.where(readable("applicability")))
         state, decision = F.col("_a.state"), F.coalesce(F.col("_a.decision"), F.lit(""))
         present = decision != "applicable"
         absent = (decision != "not_applicable") if version == 1 else (decision == "applicable")
@@ -225,7 +225,7 @@ def _reference_exists(with_applicability: bool) -> Check:
         unknown = own.where(~scope_known())
         own = own.where(scope_known()).join(ctx.submitted(p["target_record_type"]), SCOPE, "left_semi")
         targets = with_key(wide(ctx.of_type(p["target_record_type"]), sorted({target, "applicability"})), target)
-        targets = targets.withColumn("_a", facts.applicability(F.col("applicability"))).withColumn("_state", F.when(F.col("applicability_state") == "unreadable", "source_unavailable").otherwise(F.col("_a.state")))
+        targets = answered(ctx, targets).withColumn("_state", F.when(F.col("applicability_state") == "unreadable", "source_unavailable").otherwise(F.col("_a.state")))
         number = F.coalesce(F.col("key").cast("string"), F.col(target))
         known = (
             targets.where(F.col(target) != "")
@@ -259,6 +259,21 @@ CHECKS["reference_exists", 1] = _reference_exists(False)
 CHECKS["reference_exists", 2] = _reference_exists(True)
 
 
+def unit_names(ctx: Context) -> DataFrame:
+    """(entity_code, _unit): the roster, one row a unit."""
+    return ctx.entities.groupBy("entity_code").agg(F.min("name").alias("_unit")).withColumn("_unit", norm_text(F.col("_unit")))
+
+
+def answered(ctx: Context, rows: DataFrame, name: str = "_a") -> DataFrame:
+    """``rows`` with what their applicability says for their unit, under the header it was read from."""
+    out = rows.join(unit_names(ctx), "entity_code", "left")
+    if ctx.answer_headers is None:
+        out = out.withColumn("_header", F.lit(None).cast("string"))
+    else:
+        out = out.join(ctx.answer_headers.groupBy("file_path", "sheet").agg(F.min("header").alias("_header")).withColumn("_header", norm_text(F.col("_header"))), ["file_path", "sheet"], "left")
+    return out.withColumn(name, facts.applicability_of(F.col("applicability"), F.col("_unit"), F.col("_header"))).drop("_unit", "_header")
+
+
 def _explicit_role() -> Column:
     inferred = F.filter(F.array(*(F.lit(t) for t in ROLES.values())), lambda t: F.contains(F.col("duty"), t))
     by_type = F.create_map(*(F.lit(x) for role, t in ROLES.items() for x in (t, role)))
@@ -506,7 +521,7 @@ for _v in (1, 2, 3):
 @check("applicability_values", 1, 2)
 def applicability_values(ctx: Context, rows: DataFrame, p: dict[str, Any]) -> DataFrame:
     words = literals(p.get("placeholders", []))
-    own = wide(rows, ["applicability", "applicability_reason"]).withColumn("_a", facts.applicability(F.col("applicability")))
+    own = answered(ctx, wide(rows, ["applicability", "applicability_reason"]))
     read = own.where(readable("applicability"))
     no = read.where((F.col("_a.decision") == "not_applicable") & ((F.coalesce("_a.reason", F.lit("")) == "") | F.col("_a.reason").isin(words)))
     empty = (F.col("applicability") == "") | F.col("applicability").isin(words)
@@ -551,11 +566,6 @@ def unit_segments(parts: Column) -> Column:
     return F.when(F.size(parts) >= 3, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)))).otherwise(F.slice(parts, 1, 1))
 
 
-def unit_names(ctx: Context) -> DataFrame:
-    """(entity_code, _unit): the roster, one row a unit."""
-    return ctx.entities.groupBy("entity_code").agg(F.min("name").alias("_unit")).withColumn("_unit", norm_text(F.col("_unit")))
-
-
 # Fixed value: words of a responsible unit's cell that leave its scope open.
 OPEN_SCOPE = r"负责(?!人)|承担|适用|待(?:确认|核实|定)|未知|其他|可能|包括|仅|等|[-/—]$"
 
@@ -896,8 +906,10 @@ def _coverage(version: int) -> Check:
             return out
 
         own = with_key(wide(lines_as_items(rows, "responsibility"), ["measure_id", "applicability", "responsibility"])).withColumn("_items", responsible(F.col("responsibility")))
-        decision = facts.applicability(F.col("applicability"))["decision"] if version >= 5 else facts.plain_answer(F.col("applicability"))
-        own = own.withColumn("_decision", decision)
+        if version >= 5:
+            own = answered(ctx, own, "_said").withColumn("_decision", F.col("_said.decision")).drop("_said")
+        else:
+            own = own.withColumn("_decision", facts.plain_answer(F.col("applicability")))
         undecided = None
         if version == 8 and p.get("responsibility_applicability"):
             own = restricted_groups(ctx, own, p["responsibility_applicability"])

@@ -79,7 +79,10 @@ def with_key(rows: DataFrame, name: str = "measure_id") -> DataFrame:
 
 @dataclass
 class Context:
-    """What checks look at: all records and files, the roster, baselines and the submitted scope."""
+    """What checks look at: all records and files, the roster, baselines and the submitted scope.
+
+    ``answer_headers``: file_path, sheet and the header of the column that the applicability of a sheet was read from.
+    """
 
     records: DataFrame
     files: DataFrame
@@ -87,6 +90,7 @@ class Context:
     baseline_order: DataFrame | None = None
     scope_entities: list[str] = field(default_factory=list)
     scope_businesses: list[dict[str, Any]] = field(default_factory=list)
+    answer_headers: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulespark.functions.items import numbered_items
-from rulespark.operators.checks import CHECKS
-from rulespark.plans.records import with_record_id
+from rulespark.operators.checks import CHECKS, answered
+from rulespark.plans.records import wide, with_record_id
 from tests.records_fixture import cell, context, duty, file, matrix, record
 
 
@@ -284,3 +284,18 @@ def test_restrictions_that_conflict_or_cannot_be_read_decide_nothing(spark):
     more = RULES | {"restrictions": [*RULES["restrictions"], {"id": "other", "patterns": ["省公司-财务部-主任"], "entity_patterns": [COUNTY]}]}
     broken = [{"id": "a", "patterns": ["x"]}, {"id": "a", "patterns": ["x"], "entity_patterns": "y"}, {"id": "a", "patterns": "x", "entity_patterns": []}, {"id": "a", "patterns": ["["], "entity_patterns": []}, {"patterns": ["x"], "entity_patterns": []}, {"id": "a", "patterns": ["x"], "entity_patterns": [], "required_patterns": [1]}]
     assert [verdicts(spark, case, c) for c in (more, *({"restrictions": [r]} for r in broken), {"restrictions": []}, {})] == [["limitation"]] * 9
+
+
+def test_answers_by_unit_and_header(spark):
+    city = f"{UNIT}湘西供电分公司本部"
+    cases = [
+        (COUNTY, None, "市公司集中管控，县公司不适用", "not_applicable"), (city, None, "市公司集中管控，县公司不适用", None), (COUNTY, None, "可能市公司集中管控，县公司不适用", None), (COUNTY, None, "市公司集中管控，县公司不适用，但本单位仍适用", None),
+        (COUNTY, None, "此条不适用县、支公司。", "not_applicable"), (None, None, "此条不适用县、支公司", None), (COUNTY, "适用层级", "地市及区县", "applicable"), (city, "适用 主体", "地市及区县", "applicable"), (COUNTY, None, "地市及区县", None), (UNIT, "适用层级", "地市及区县", None),
+        (city, "适用层级", "地市本部、变电检修公司、输电检修公司、吉首支公司", "applicable"), (COUNTY, "适用层级", "地市本部、变电检修公司、输电检修公司、吉首支公司", None), (COUNTY, None, "否", "not_applicable"), (None, None, "适用", "applicable"), (COUNTY, None, "", None), (COUNTY, None, "直接引用", None),
+    ]
+    units = {name: f"U{k}" for k, name in enumerate(sorted({c[0] for c in cases if c[0]}))}
+    ctx = context(spark, [matrix(k, entity=units.get(c[0], "none"), sheet=f"s{k}", applicability=c[2]) for k, c in enumerate(cases)])
+    ctx.entities = spark.createDataFrame([(code, name, None, None, True) for name, code in units.items()], ctx.entities.schema)
+    ctx.answer_headers = spark.createDataFrame([("f.xlsx", f"s{k}", c[1]) for k, c in enumerate(cases) if c[1]], "file_path string, sheet string, header string")
+    got = {r["row"]: r["_a"]["decision"] for r in answered(ctx, wide(ctx.records, ["applicability"])).collect()}
+    assert [c for k, c in enumerate(cases) if got[k] != c[3]] == []
