@@ -26,6 +26,9 @@ HEADLINE = [
     "vocabulary",
     "deleted_text_reappears",
     "candidate_rank",
+    "engine_findings",
+    "check_value_mapping_5",
+    "term_provenance",
 ]
 
 
