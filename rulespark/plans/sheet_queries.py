@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulespark.sources.stored import stored
+from rulespark.sources.stored import by_key, spread, stored
 from rulespark.sources.tables import header_rows, resolved_columns, with_regions
 from rulespark.sources.workbooks import CELLS, records_from_cells
 
@@ -34,7 +34,7 @@ def customer_sheets(spark: SparkSession, d: str) -> DataFrame:
         return rows.select("sheet", row.cast("int").alias("row"), F.inline(listed))
 
     first, second = F.lit(1), F.col("n") + 3
-    placed = orders.join(sheets.select("sheet", "n"), "sheet")
+    placed = orders.join(by_key(sheets.select("sheet", "n")), "sheet")
     said = [F.concat(F.lit("X-"), "o_orderkey"), F.concat(F.lit("d"), F.col("o_orderkey") % 7), F.concat(F.lit("p"), F.col("o_orderkey") % 5), F.col("o_orderpriority")]
     parts = [
         cells(sheets, first, ["一、岗位职责清单"]),
@@ -57,7 +57,7 @@ def as_cells(spark: SparkSession, said: DataFrame) -> DataFrame:
 
 def sheet_records(spark: SparkSession, d: str) -> DataFrame:
     """Records of both lists of every sheet, by their place and fields."""
-    cells = stored(with_regions(stored(customer_sheets(spark, d))))
+    cells = stored(with_regions(stored(spread(customer_sheets(spark, d), "sheet"))))
     scope = spark.createDataFrame([("f.xlsx", "205H", "06", None, None)], "relative_path string, entity_code string, business_code string, business_id string, variant_id string")
     rows = records_from_cells(cells, stored(header_rows(cells, ALIASES, CORE)), scope)
     text = lambda name: F.element_at("fields", name)["current"]
@@ -75,7 +75,7 @@ def answer_columns_chosen(spark: SparkSession, d: str) -> DataFrame:
     place = ["concat('f', o_custkey % 3) AS relative_path", "concat('s', o_custkey) AS sheet"]
     heads = orders.select("o_custkey").distinct().selectExpr(*place, "1 AS row", "posexplode(array('控制措施编号', '控制措施', '责任主体', '是否适用', concat('第', o_custkey % 4, '公司是否适用'))) AS (k, current)")
     body = orders.selectExpr(*place, "row", f"posexplode(array(concat('X-', o_orderkey), '核对', '财务部-会计', {ANSWER}, {OTHER})) AS (k, current)").where("current != ''")
-    cells = stored(as_cells(spark, heads.unionByName(body).withColumn("col", F.col("k") + 1)))
+    cells = stored(spread(as_cells(spark, heads.unionByName(body).withColumn("col", F.col("k") + 1)), "sheet"))
     names = spark.range(3).select(F.concat(F.lit("f"), "id").alias("relative_path"), F.concat(F.lit("第"), "id", F.lit("公司")).alias("name"))
     chosen = resolved_columns(cells, stored(header_rows(cells, MATRIX, {"matrix": ["measure_id", "control_measure", "responsibility"]})), MATRIX, names)
     return chosen.select("sheet", F.element_at("columns", "applicability").alias("col"), F.element_at("reasons", "applicability").alias("reason"), F.element_at("columns", "responsibility").alias("responsibility"))

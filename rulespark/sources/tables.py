@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.functions import facts
+from rulespark.functions.duties import once
 from rulespark.functions.keys import contains_any, fold_text, norm_literal, norm_text, strip_blanks
-from rulespark.sources.stored import stored
+from rulespark.sources.stored import by_key, stored
 
 PLACE = ["relative_path", "sheet"]
 
@@ -90,11 +91,11 @@ def with_regions(cells: DataFrame) -> DataFrame:
     """
     regions = title_regions(cells)
     marked = regions.select(*PLACE).distinct()
-    plain = cells.join(marked, PLACE, "left_anti").withColumn("region", F.lit(0)).withColumn("region_kind", F.lit(None).cast("string"))
+    plain = cells.join(by_key(marked), PLACE, "left_anti").withColumn("region", F.lit(0)).withColumn("region_kind", F.lit(None).cast("string"))
     inside = (
         (F.col("row") >= F.col("first_row")) & (F.col("last_row").isNull() | (F.col("row") <= F.col("last_row"))) & (F.col("col") >= F.col("first_col")) & (F.col("last_col").isNull() | (F.col("col") <= F.col("last_col")))
     )
-    own = cells.where("error IS NULL").join(regions, PLACE).where(inside)
+    own = cells.where("error IS NULL").join(by_key(regions), PLACE).where(inside)
     (r1, c1), (r2, c2) = (_reference(F.split_part(F.col("area"), F.lit(":"), F.lit(k))) for k in (1, 2))
     whole = (r1 >= F.col("first_row")) & (F.col("last_row").isNull() | (r2 <= F.col("last_row"))) & (c1 >= F.col("first_col")) & (F.col("last_col").isNull() | (c2 <= F.col("last_col")))
     first = (F.col("row") == r1) & (F.col("col") == c1)
@@ -178,7 +179,7 @@ def header_rows(cells: DataFrame, aliases: dict[str, dict[str, list[str]]], core
     cells = in_regions(cells)
     where = [*PLACE, "region", "row", "record_type"]
     top = cells.where("error IS NULL").groupBy(*PLACE, "region").agg(F.min("row").alias("_top"))
-    named = named_headers(cells, aliases).join(top, [*PLACE, "region"])
+    named = named_headers(cells, aliases).join(by_key(top), [*PLACE, "region"])
     first = named.groupBy(*where, "_top", "field").agg(F.min(F.struct("fuzzy", "col")).alias("_c"))
     rows = first.groupBy(*where, "_top").agg(F.collect_list(F.struct("field", F.col("_c.col").alias("col"), F.col("_c.fuzzy").alias("fuzzy"))).alias("_all"))
     # An exact name and a fuzzy one can claim one column of different fields never: a cell has one of the two.
@@ -200,7 +201,13 @@ OWNED_FIELDS = ["applicability", "control_measure", "carrier"]
 BESIDE = {"applicability_reason": "applicability", "position": "department"}
 
 
-def column_profiles(cells: DataFrame, headers: DataFrame, aliases: dict[str, dict[str, list[str]]], names: DataFrame) -> DataFrame:
+def read_texts(cells: DataFrame) -> DataFrame:
+    """(place, region, row, col, column_hidden, _text, _said): normalised texts and the answer that each gives, as a table that several plans read."""
+    texts = in_regions(cells).where("error IS NULL").select(*PLACE, "region", "row", "col", "column_hidden", norm_text(F.col("current")).alias("_text"))
+    return stored(once(texts, _said=facts.applicability(F.col("_text"))["decision"]))
+
+
+def column_profiles(cells: DataFrame, headers: DataFrame, aliases: dict[str, dict[str, list[str]]], names: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(place, region, record_type, header_row, field, col, owner, hidden, valid, owned, signature, explicit, unclear, own_rows): every column that a header row names for a field, with what stands below.
 
     ``names``: relative_path and name, the forms under which the unit of a file
@@ -211,21 +218,21 @@ def column_profiles(cells: DataFrame, headers: DataFrame, aliases: dict[str, dic
     cells = in_regions(cells)
     where = [*PLACE, "region"]
     own = names.groupBy("relative_path").agg(F.collect_set(norm_text(F.col("name"))).alias("_names"))
-    named = named_headers(cells, aliases).withColumnRenamed("row", "header_row").join(headers.select(*where, "header_row", "record_type", "columns"), [*where, "header_row", "record_type"])
+    named = named_headers(cells, aliases).withColumnRenamed("row", "header_row").join(by_key(headers.select(*where, "header_row", "record_type", "columns")), [*where, "header_row", "record_type"])
     # A fuzzy column is one that the header row was completed with.
     named = named.where(~F.col("fuzzy") | F.coalesce(F.element_at("columns", F.col("field")) == F.col("col"), F.lit(False))).drop("columns", "fuzzy")
-    text = cells.where("error IS NULL").select(*where, "row", "col", "column_hidden", norm_text(F.col("current")).alias("_text"))
+    text = read_texts(cells) if texts is None else texts
     titles = text.select(*where, F.col("row").alias("header_row"), "col", "column_hidden", F.col("_text").alias("_header"))
-    named = named.join(titles, [*where, "header_row", "col"]).join(own, "relative_path", "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
+    named = named.join(by_key(titles), [*where, "header_row", "col"]).join(own, "relative_path", "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
     owned = (F.col("owner") != "") & F.array_contains("_names", F.col("owner"))
     valid = (F.col("owner") == "") | owned | ((F.col("field") == "applicability") & F.col("_header").contains("是否适用"))
     keys = [*where, "record_type", "header_row", "field", "col", "owner"]
     named = named.select(*keys, F.coalesce("column_hidden", F.lit(False)).alias("hidden"), valid.alias("valid"), owned.alias("owned"), "_names")
-    below = named.join(text.select(*where, "row", "col", "_text").where("_text != ''"), [*where, "col"], "left").withColumn("_text", F.when(F.col("row") > F.col("header_row"), F.col("_text")))
-    answer = facts.applicability(F.col("_text"))
+    below = named.join(by_key(text.select(*where, "row", "col", "_text", "_said").where("_text != ''")), [*where, "col"], "left")
+    below = below.withColumn("_said", F.when(F.col("row") > F.col("header_row"), F.col("_said"))).withColumn("_text", F.when(F.col("row") > F.col("header_row"), F.col("_text")))
     counted = below.groupBy(*keys, "hidden", "valid", "owned").agg(
         F.coalesce(F.sum(F.when(F.col("_text").isNotNull(), F.xxhash64("row", "_text").cast("decimal(38,0)"))), F.lit(0)).cast("decimal(38,0)").alias("signature"),
-        F.count_if(answer["decision"].isNotNull()).alias("explicit"), F.count_if(F.col("_text").isNotNull() & answer["decision"].isNull()).alias("unclear"),
+        F.count_if(F.col("_said").isNotNull()).alias("explicit"), F.count_if(F.col("_text").isNotNull() & F.col("_said").isNull()).alias("unclear"),
         F.count_if(F.col("_text").isNotNull() & F.exists("_names", lambda n: F.contains(F.col("_text"), n))).alias("own_rows"),
     )
     return counted
@@ -241,7 +248,8 @@ def resolved_columns(cells: DataFrame, headers: DataFrame, aliases: dict[str, di
     contradicts it.  A field without a valid column is ``owner_unconfirmed``, one that this does not
     decide a ``column_conflict``; both drop out of ``columns``.
     """
-    profiles = stored(column_profiles(cells, headers, aliases, names))
+    texts = read_texts(cells)
+    profiles = stored(column_profiles(cells, headers, aliases, names, texts))
     where = [*PLACE, "region", "record_type", "header_row"]
     option = F.struct("col", "owned", "hidden", "signature", "explicit", "unclear", "own_rows")
     fields = profiles.groupBy(*where, "field").agg(F.array_sort(F.collect_list(F.when(F.col("valid"), option))).alias("_valid"))
@@ -250,11 +258,12 @@ def resolved_columns(cells: DataFrame, headers: DataFrame, aliases: dict[str, di
 
     # Rows of an applicability whose options answer differently.
     answers = profiles.where("field = 'applicability' AND valid").select(*where, "col", "hidden")
-    text = in_regions(cells).where("error IS NULL").select(*PLACE, "region", "row", "col", norm_text(F.col("current")).alias("_text"))
-    said = answers.join(text, [*PLACE, "region", "col"]).where(F.col("row") > F.col("header_row")).withColumn("_said", facts.applicability(F.col("_text"))["decision"]).where("_said IS NOT NULL")
+    text = texts.where("_said IS NOT NULL").select(*PLACE, "region", "row", "col", "_said")
+    said = answers.join(by_key(text), [*PLACE, "region", "col"]).where(F.col("row") > F.col("header_row"))
     by_row = said.groupBy(*where, "row").agg(F.min("_said").alias("_low"), F.max("_said").alias("_high"))
     against = by_row.groupBy(*where).agg(F.count_if(F.col("_low") != F.col("_high")).alias("_against"))
-    fields = fields.join(against, where, "left")
+    # Read by three plans below, which would each be planned with all of it written out.
+    fields = stored(fields.join(by_key(against), where, "left"))
 
     def only(condition) -> Column:
         """The one option that fits, else null."""
@@ -283,12 +292,14 @@ def resolved_columns(cells: DataFrame, headers: DataFrame, aliases: dict[str, di
             .otherwise(verdict(F.lit(None), "column_conflict"))
         )
 
+    # What a column stands beside does not stand beside another itself.
     alone = fields.where(~F.col("field").isin(list(BESIDE))).withColumn("_c", chosen(F.lit(None).cast("int")))
-    out = alone.select(*where, "field", "_c.col", "_c.why")
+    alone = stored(alone.select(*where, "field", "_c.col", "_c.why"))
+    out = alone
     for field, other in BESIDE.items():
-        anchor = out.where(F.col("field") == other).select(*where, F.col("col").alias("_beside"))
-        out = out.unionByName(fields.where(F.col("field") == field).join(anchor, where, "left").withColumn("_c", chosen(F.col("_beside"))).select(*where, "field", "_c.col", "_c.why"))
+        anchor = alone.where(F.col("field") == other).select(*where, F.col("col").alias("_beside"))
+        out = out.unionByName(fields.where(F.col("field") == field).join(by_key(anchor), where, "left").withColumn("_c", chosen(F.col("_beside"))).select(*where, "field", "_c.col", "_c.why"))
     whole = out.groupBy(*where).agg(
         F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("field", "col"))))).alias("_columns"), F.map_from_entries(F.collect_list(F.struct("field", "why"))).alias("reasons")
     )
-    return headers.join(whole, where, "left").withColumn("columns", F.coalesce("_columns", F.col("columns"))).drop("_columns")
+    return headers.join(by_key(whole), where, "left").withColumn("columns", F.coalesce("_columns", F.col("columns"))).drop("_columns")

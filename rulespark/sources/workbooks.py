@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from rulespark.functions.keys import norm_text
 from rulespark.operators.relational import holding
 from rulespark.plans.records import with_record_id
+from rulespark.sources.stored import by_key
 from rulespark.sources.tables import header_rows, in_regions
 
 SPAN = "array<struct<text:string,start:int,end:int>>"
@@ -253,7 +254,7 @@ def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, i
     headers = headers if "region" in headers.columns else headers.withColumn("region", F.lit(0))
     visible = cells.where("error IS NULL") if include_hidden else cells.where("error IS NULL AND NOT hidden")
     fields = headers.select(*place, "header_row", "record_type", F.explode("columns").alias("field", "col"))
-    own = visible.join(fields, [*place, "col"]).where(F.col("row") > F.col("header_row"))
+    own = visible.join(by_key(fields), [*place, "col"]).where(F.col("row") > F.col("header_row"))
     cell = F.struct(
         "raw",
         "current",
@@ -274,7 +275,7 @@ def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, i
         F.array().cast(SPAN).alias("deleted_spans"), F.lit(False).alias("deleted_unavailable"), F.array().cast(SPAN).alias("red_spans"),
     )
     named = headers.select(*place, F.map_keys("columns").alias("_all"))
-    rows = rows.where("_some").join(named, place)
+    rows = rows.where("_some").join(by_key(named), place)
     rows = rows.withColumn("fields", F.map_concat("fields", F.map_from_entries(F.transform(F.array_except("_all", F.map_keys("fields")), lambda k: F.struct(k, blank)))))
     person = F.element_at("fields", "person_names")["current"]
     number = F.element_at("fields", "person_ids")["current"]
