@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulespark.sources.stored import by_key, spread, stored
-from rulespark.sources.tables import header_rows, resolved_columns, with_regions
+from rulespark.sources.stored import spread, stored
+from rulespark.sources.tables import header_rows, resolved_columns, title_regions
 from rulespark.sources.workbooks import CELLS, records_from_cells
 
 ALIASES = {
@@ -24,27 +23,25 @@ def customer_sheets(spark: SparkSession, d: str) -> DataFrame:
 
     Headers are plain, carry notes, or hold the name within a longer one, by customer.
     """
-    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("open", F.col("o_orderstatus") == "O").withColumn("sheet", F.concat(F.lit("s"), "o_custkey"))
-    orders = orders.withColumn("k", F.row_number().over(Window.partitionBy("sheet", "open").orderBy("o_orderkey")))
-    sheets = orders.groupBy("sheet", "o_custkey").agg(F.count_if("open").alias("n"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority", (F.col("o_orderstatus") == "O").alias("open"), F.concat(F.lit("s"), "o_custkey").alias("sheet"))
+    # Dealt by sheet once; the windows, and the cells that come of them, stay where they are.
+    sheet, k, n = Window.partitionBy("sheet"), F.col("k"), F.col("n")
+    orders = spread(orders, "sheet").withColumn("k", F.row_number().over(Window.partitionBy("sheet", "open").orderBy("o_orderkey")))
+    orders = orders.withColumn("begins", F.row_number().over(sheet.orderBy("open", "o_orderkey")) == 1).withColumn("n", F.count_if("open").over(sheet))
     style = lambda name: F.when(F.col("o_custkey") % 3 == 0, name).when(F.col("o_custkey") % 3 == 1, f"{name}（必填）\n如实填写").otherwise(f"现{name}")
 
-    def cells(rows: DataFrame, row: object, texts: list) -> DataFrame:
-        listed = F.array(*(F.struct(F.lit(k + 1).alias("col"), (t if not isinstance(t, str) else F.lit(t)).cast("string").alias("current")) for k, t in enumerate(texts)))
-        return rows.select("sheet", row.cast("int").alias("row"), F.inline(listed))
+    def line(row: Column | int, texts: list) -> list[Column]:
+        place = (F.lit(row) if isinstance(row, int) else row).cast("int").alias("row")
+        return [F.struct(place, F.lit(col + 1).alias("col"), (t if not isinstance(t, str) else F.lit(t)).cast("string").alias("current")) for col, t in enumerate(texts)]
 
-    first, second = F.lit(1), F.col("n") + 3
-    placed = orders.join(by_key(sheets.select("sheet", "n")), "sheet")
     said = [F.concat(F.lit("X-"), "o_orderkey"), F.concat(F.lit("d"), F.col("o_orderkey") % 7), F.concat(F.lit("p"), F.col("o_orderkey") % 5), F.col("o_orderpriority")]
-    parts = [
-        cells(sheets, first, ["一、岗位职责清单"]),
-        cells(sheets, first + 1, [style("控制措施编号"), style("部门"), style("岗位名称"), style("岗位职责")]),
-        cells(placed.where("open"), F.col("k") + 2, said),
-        cells(sheets, second, ["二、系统规则清单"]),
-        cells(sheets, second + 1, [style("控制措施编号"), style("规则名称"), style("规则内容")]),
-        cells(placed.where("NOT open"), F.col("n") + F.col("k") + 4, [said[0], said[1], said[3]]),
-    ]
-    return as_cells(spark, reduce(DataFrame.unionByName, parts).withColumn("relative_path", F.lit("f.xlsx")))
+    heads = [
+        *line(1, ["一、岗位职责清单"]), *line(2, [style("控制措施编号"), style("部门"), style("岗位名称"), style("岗位职责")]),
+        *line(n + 3, ["二、系统规则清单"]), *line(n + 4, [style("控制措施编号"), style("规则名称"), style("规则内容")]),
+    ]
+    own = F.when(F.col("open"), F.array(*line(k + 2, said))).when(~F.col("open"), F.array(*line(n + k + 4, [said[0], said[1], said[3]])))
+    none = F.array().cast("array<struct<row:int,col:int,current:string>>")
+    return as_cells(spark, orders.select(F.lit("f.xlsx").alias("relative_path"), "sheet", F.inline(F.concat(F.when(F.col("begins"), F.array(*heads)).otherwise(none), F.coalesce(own, none)))))
 
 
 def as_cells(spark: SparkSession, said: DataFrame) -> DataFrame:
@@ -57,9 +54,10 @@ def as_cells(spark: SparkSession, said: DataFrame) -> DataFrame:
 
 def sheet_records(spark: SparkSession, d: str) -> DataFrame:
     """Records of both lists of every sheet, by their place and fields."""
-    cells = stored(with_regions(stored(spread(customer_sheets(spark, d), "sheet"))))
+    cells = stored(customer_sheets(spark, d))
+    regions = stored(title_regions(cells))
     scope = spark.createDataFrame([("f.xlsx", "205H", "06", None, None)], "relative_path string, entity_code string, business_code string, business_id string, variant_id string")
-    rows = records_from_cells(cells, stored(header_rows(cells, ALIASES, CORE)), scope)
+    rows = records_from_cells(cells, stored(header_rows(cells, ALIASES, CORE, regions)), scope, regions=regions)
     text = lambda name: F.element_at("fields", name)["current"]
     return rows.select("sheet", "row", "record_type", text("measure_id").alias("measure_id"), F.coalesce(text("department"), text("system_rule_name")).alias("second"), F.coalesce(text("duty"), text("system_rule_content")).alias("last"))
 

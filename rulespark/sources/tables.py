@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from rulespark.functions import facts
 from rulespark.functions.duties import once
-from rulespark.functions.keys import contains_any, fold_text, norm_literal, norm_text, strip_blanks
-from rulespark.sources.stored import by_key, stored
+from rulespark.functions.keys import BLANK, contains_any, fold_text, is_ascii, norm_literal, norm_text, strip_blanks
+from rulespark.sources.stored import SHORT_TABLE, by_key, stored
 
 PLACE = ["relative_path", "sheet"]
 
@@ -45,6 +45,9 @@ HEADER_PATTERNS = [
     ("position_duty", r"^()部门\([^()]{1,30}\)$", "department"),
 ]
 
+#: More than the columns of any sheet: what a fuzzy name adds to its column.
+FUZZY = 1 << 32
+
 #: Rows from the top of a region in which a header may be told by the longest alias its texts hold.
 FUZZY_ROWS = 5
 
@@ -53,7 +56,8 @@ def title_kind(text: Column) -> Column:
     """The list that a normalised text is the whole title of, else null."""
     kinds = [F.when(text.rlike(f"^{TITLE_NUMBER}(?:{'|'.join(names)}){TITLE_END}$"), F.lit(kind)) for kind, names in TITLES.items()]
     found = F.array_compact(F.array(*kinds))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    # Hardly any text holds the name of a list; the patterns are for those.
+    return F.when(contains_any(text, [name for names in TITLES.values() for name in names]), F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
 
 def title_regions(cells: DataFrame) -> DataFrame:
@@ -64,10 +68,18 @@ def title_regions(cells: DataFrame) -> DataFrame:
     auxiliary names have no regions.
     """
     said = cells.where("error IS NULL AND state != 'empty' AND area IS NULL OR coordinate IS NOT NULL AND area LIKE concat(coordinate, ':%')").where(~contains_any(F.col("sheet"), AUXILIARY))
-    said = said.select(*PLACE, "row", "col", "coordinate", norm_text(F.col("current")).alias("_text")).where("_text != ''").dropDuplicates([*PLACE, "coordinate"])
-    said = said.withColumn("kind", title_kind(F.col("_text")))
-    rows = said.groupBy(*PLACE, "row").agg(F.bool_and(F.col("kind").isNotNull() | F.col("_text").rlike(FORM_REMARK)).alias("_pure"), F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("col", "kind")))).alias("_titles"))
-    rows = rows.where("_pure AND size(_titles) > 0").withColumn("last_row", F.lead("row").over(Window.partitionBy(*PLACE).orderBy("row")) - 1)
+    # A merged area speaks by its first cell.
+    row, col = _reference(F.col("coordinate"))
+    said = said.where(F.when(F.col("area").isNull(), True).otherwise((F.col("row") == row) & (F.col("col") == col)))
+    # A text of ASCII alone needs no folding, and is no title and no remark.
+    other = said.where(~is_ascii(F.col("current"))).select(*PLACE, "row", "col", fold_text(F.col("current")).alias("_text"))
+    other = once(once(other, _text=strip_blanks(F.col("_text"))).where("_text != ''"), kind=title_kind(F.col("_text")))
+    other = stored(other.select(*PLACE, "row", "col", "kind", (F.col("kind").isNotNull() | F.col("_text").rlike(FORM_REMARK)).alias("_fits")))
+    ascii = said.where(is_ascii(F.col("current")) & F.col("current").rlike(r"\S")).select(*PLACE, "row", F.lit(None).cast("string").alias("kind"), F.lit(False).alias("_fits"))
+    # Few rows are titles: those are counted out before the titles themselves are gathered.
+    pure = other.select(*PLACE, "row", "kind", "_fits").unionByName(ascii).groupBy(*PLACE, "row").agg(F.bool_and("_fits").alias("_pure"), F.count("kind").alias("_some")).where("_pure AND _some > 0").select(*PLACE, "row")
+    rows = other.where("kind IS NOT NULL").join(by_key(pure), [*PLACE, "row"]).groupBy(*PLACE, "row").agg(F.sort_array(F.collect_set(F.struct("col", "kind"))).alias("_titles"))
+    rows = rows.withColumn("last_row", F.lead("row").over(Window.partitionBy(*PLACE).orderBy("row")) - 1)
     one = rows.select(*PLACE, "row", "last_row", F.size("_titles").alias("_n"), "_titles", F.posexplode("_titles").alias("_k", "_t"))
     regions = one.select(
         *PLACE, F.col("_t.kind").alias("kind"), F.col("row").alias("first_row"), "last_row",
@@ -83,24 +95,38 @@ def _reference(reference: Column) -> tuple[Column, Column]:
     return F.regexp_extract(reference, r"(\d+)$", 1).cast("int"), col
 
 
-def with_regions(cells: DataFrame) -> DataFrame:
-    """``cells`` with ``region`` and ``region_kind``: 0 and null on sheets without titles; cells before the first title of a sheet drop out.
+def with_area(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``_area``: the corners of the merged area that a cell belongs to, null for most; told here once, not at every region."""
+    (r1, c1), (r2, c2) = (_reference(F.split_part(F.col("area"), F.lit(":"), F.lit(k))) for k in (1, 2))
+    return cells.withColumn("_area", F.when(F.col("area").isNotNull(), F.struct(r1.alias("r1"), c1.alias("c1"), r2.alias("r2"), c2.alias("c2"))))
+
+
+def within() -> Column:
+    """Whether a cell (row, col, _area) counts in the region beside it (first_row, last_row, first_col, last_col).
 
     A merged area that reaches beyond a region repeats nothing within it, so
     that no table hands its texts down to the next.
     """
-    regions = title_regions(cells)
-    marked = regions.select(*PLACE).distinct()
-    plain = cells.join(by_key(marked), PLACE, "left_anti").withColumn("region", F.lit(0)).withColumn("region_kind", F.lit(None).cast("string"))
-    inside = (
-        (F.col("row") >= F.col("first_row")) & (F.col("last_row").isNull() | (F.col("row") <= F.col("last_row"))) & (F.col("col") >= F.col("first_col")) & (F.col("last_col").isNull() | (F.col("col") <= F.col("last_col")))
-    )
-    own = cells.where("error IS NULL").join(by_key(regions), PLACE).where(inside)
-    (r1, c1), (r2, c2) = (_reference(F.split_part(F.col("area"), F.lit(":"), F.lit(k))) for k in (1, 2))
-    whole = (r1 >= F.col("first_row")) & (F.col("last_row").isNull() | (r2 <= F.col("last_row"))) & (c1 >= F.col("first_col")) & (F.col("last_col").isNull() | (c2 <= F.col("last_col")))
-    first = (F.col("row") == r1) & (F.col("col") == c1)
-    own = own.where(F.col("area").isNull() | whole | first)
-    return plain.unionByName(own.select(*cells.columns, "region", F.col("kind").alias("region_kind")))
+    last_row, last_col, area = F.col("last_row"), F.col("last_col"), F.col("_area")
+    inside = (F.col("row") >= F.col("first_row")) & (last_row.isNull() | (F.col("row") <= last_row)) & (F.col("col") >= F.col("first_col")) & (last_col.isNull() | (F.col("col") <= last_col))
+    whole = (area["r1"] >= F.col("first_row")) & (last_row.isNull() | (area["r2"] <= last_row)) & (area["c1"] >= F.col("first_col")) & (last_col.isNull() | (area["c2"] <= last_col))
+    first = (F.col("row") == area["r1"]) & (F.col("col") == area["c1"])
+    return inside & (area.isNull() | whole | first)
+
+
+def with_regions(cells: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """``cells`` with ``region`` and ``region_kind``: 0 and null on sheets without titles; cells before the first title of a sheet drop out.
+
+    ``regions``: the ``title_regions`` of all cells, where ``cells`` are some of them.
+    """
+    regions = stored(title_regions(cells)) if regions is None else regions
+    # Beside its regions, a sheet that has any is one that meets all its cells: what meets no other stands before the titles.
+    sheets = regions.select(*PLACE).distinct().withColumn("region", F.lit(0))
+    parts = regions.unionByName(sheets, allowMissingColumns=True).select(*(F.col(c).alias(f"_of_{c}") for c in PLACE), F.col("region").alias("_region"), F.col("kind").alias("region_kind"), "first_row", "last_row", "first_col", "last_col")
+    same = (F.col("relative_path") == F.col("_of_relative_path")) & (F.col("sheet") == F.col("_of_sheet"))
+    found = with_area(cells).join(by_key(parts), same & ((F.col("_region") == 0) | within()), "left")
+    kept = F.col("_region").isNull() | (F.col("_region") > 0) & F.col("error").isNull()
+    return found.where(kept).select(*cells.columns, F.coalesce("_region", F.lit(0)).alias("region"), "region_kind")
 
 
 def in_regions(cells: DataFrame) -> DataFrame:
@@ -142,9 +168,11 @@ def header_candidates(text: Column, aliases: list[str]) -> Column:
     return F.array_distinct(F.filter(F.transform(found, strip_blanks), lambda t: t != ""))
 
 
-def named_headers(cells: DataFrame, aliases: dict[str, dict[str, list[str]]]) -> DataFrame:
+def named_headers(cells: DataFrame, aliases: dict[str, dict[str, list[str]]], regions: DataFrame | None = None) -> DataFrame:
     """(…place, region, row, col, record_type, field, owner, fuzzy): the fields that cells name.
 
+    ``cells`` have their region, or it is told by ``regions`` for those that may name a field.
+
     Exact by the first candidate that is an alias or fits a pattern, with the unit it names;
     fuzzy by the longest alias in the text, where longest aliases of one field only.
     """
@@ -152,8 +180,11 @@ def named_headers(cells: DataFrame, aliases: dict[str, dict[str, list[str]]]) ->
     table = F.broadcast(cells.sparkSession.createDataFrame(sorted(set(listed)), "record_type string, field string, header string"))
     words = sorted({a for _, _, a in listed} | {"适用", "责任主体", "控制载体", "姓名", "修改备注", "不适用原因", "不适用理由", "部门"})
     where = [*PLACE, "region", "row", "col"]
-    texts = cells.where("error IS NULL AND state != 'empty'").select(*where, "region_kind", fold_text(F.col("current")).alias("_raw")).withColumn("_text", strip_blanks(F.col("_raw"))).where(contains_any(F.col("_text"), words))
-    texts = stored(texts)
+    kept = [*where, "region_kind"] if regions is None else [*PLACE, "row", "col", "area", "error"]
+    # Folding leaves ASCII as it is, so most texts of ASCII alone are passed over before it.
+    may = ~is_ascii(F.col("current")) | F.col("current").rlike(BLANK) | contains_any(F.col("current"), [w for w in words if w.isascii()])
+    texts = cells.where("error IS NULL AND state != 'empty'").where(may).select(*kept, fold_text(F.col("current")).alias("_raw"))
+    texts = stored(once(texts, _text=strip_blanks(F.col("_raw"))).where(contains_any(F.col("_text"), words)))
     said = texts.select("_raw", "_text").distinct()
     said = said.select("_raw", "_text", F.posexplode(header_candidates(F.col("_raw"), [a for _, _, a in listed])).alias("_order", "header"))
     by_alias = said.join(table, "header").select("_raw", "_order", F.lit(99).alias("_rule"), "record_type", "field", F.lit("").alias("owner"))
@@ -165,23 +196,34 @@ def named_headers(cells: DataFrame, aliases: dict[str, dict[str, list[str]]]) ->
     held = said.select("_raw", "_text").distinct().join(table, F.contains("_text", F.col("header"))).where("header != field").groupBy("_raw", "record_type", F.length("header").alias("_n")).agg(F.min("field").alias("_low"), F.max("field").alias("_high"))
     longest = held.groupBy("_raw", "record_type").agg(F.max(F.struct("_n", "_low", "_high")).alias("_best")).where("_best._low = _best._high")
     loose = longest.select("_raw", "record_type", F.col("_best._low").alias("field"), F.lit("").alias("owner"), F.lit(True).alias("fuzzy")).join(exact.select("_raw", "record_type"), ["_raw", "record_type"], "left_anti")
-    return texts.join(exact.unionByName(loose), "_raw").where("region_kind IS NULL OR region_kind = record_type").select(*where, "record_type", "field", "owner", "fuzzy")
+    # Headers are few texts on many sheets; which side is short can't be told from the size of a stored table.
+    told = stored(exact.unionByName(loose))
+    told = F.broadcast(told) if told.limit(SHORT_TABLE + 1).count() <= SHORT_TABLE else by_key(told)
+    texts = texts if regions is None else with_regions(texts, regions)
+    return texts.join(told, "_raw").where("region_kind IS NULL OR region_kind = record_type").select(*where, "record_type", "field", "owner", "fuzzy")
 
 
-def header_rows(cells: DataFrame, aliases: dict[str, dict[str, list[str]]], core: dict[str, list[str]]) -> DataFrame:
+def header_rows(cells: DataFrame, aliases: dict[str, dict[str, list[str]]], core: dict[str, list[str]], regions: DataFrame | None = None) -> DataFrame:
     """(relative_path, sheet, region, header_row, record_type, columns): the first row of a region that names all core fields of a type.
 
     ``aliases``: record type -> field -> header texts; ``core``: record type ->
     fields a header has to name.  Of several columns that name a field the
     first counts, an exact one before a fuzzy one.  Fuzzy names count among the first FUZZY_ROWS rows
-    of a region, and only if the row is complete with them.
+    of a region, and only if the row is complete with them.  ``regions``: the
+    ``title_regions`` of ``cells`` that have not been parted by them.
     """
-    cells = in_regions(cells)
+    cells = in_regions(cells) if regions is None else cells
     where = [*PLACE, "region", "row", "record_type"]
-    top = cells.where("error IS NULL").groupBy(*PLACE, "region").agg(F.min("row").alias("_top"))
-    named = named_headers(cells, aliases).join(by_key(top), [*PLACE, "region"])
-    first = named.groupBy(*where, "_top", "field").agg(F.min(F.struct("fuzzy", "col")).alias("_c"))
-    rows = first.groupBy(*where, "_top").agg(F.collect_list(F.struct("field", F.col("_c.col").alias("col"), F.col("_c.fuzzy").alias("fuzzy"))).alias("_all"))
+    if regions is None:
+        top = cells.where("error IS NULL").groupBy(*PLACE, "region").agg(F.min("row").alias("_top"))
+    else:
+        # A region begins with its title.
+        top = cells.where("error IS NULL").groupBy(*PLACE).agg(F.min("row").alias("_top")).withColumn("region", F.lit(0))
+        top = top.unionByName(regions.select(*PLACE, "region", F.col("first_row").alias("_top")))
+    # One number in the order of (fuzzy, col), which is summed up faster than a struct.
+    first = named_headers(cells, aliases, regions).groupBy(*where, "field").agg(F.min(F.col("fuzzy").cast("long") * FUZZY + F.col("col")).alias("_c"))
+    rows = first.groupBy(*where).agg(F.collect_list(F.struct("field", (F.col("_c") % FUZZY).cast("int").alias("col"), (F.col("_c") >= FUZZY).alias("fuzzy"))).alias("_all"))
+    rows = rows.join(by_key(top), [*PLACE, "region"])
     # An exact name and a fuzzy one can claim one column of different fields never: a cell has one of the two.
     exact = F.filter("_all", lambda x: ~x["fuzzy"])
     whole, whole_fuzzy = F.lit(False), F.lit(False)

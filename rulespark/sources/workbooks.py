@@ -16,14 +16,14 @@ from xml.etree import ElementTree
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulespark.functions.keys import norm_text
 from rulespark.operators.relational import holding
 from rulespark.plans.records import with_record_id
-from rulespark.sources.stored import by_key
-from rulespark.sources.tables import header_rows, in_regions
+from rulespark.sources.stored import SHORT_TABLE, by_key
+from rulespark.sources.tables import header_rows, in_regions, with_area, within
 
 SPAN = "array<struct<text:string,start:int,end:int>>"
 CELLS = f"relative_path string, sheet string, hidden boolean, `row` int, col int, coordinate string, raw string, current string, formula string, state string, deleted_spans {SPAN}, red_spans {SPAN}, area string, column_hidden boolean, error string"
@@ -35,6 +35,9 @@ LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Cells that leave a task at a time, and characters of text among them.
 BATCH_CELLS, BATCH_CHARACTERS = 20_000, 4 << 20
 
+#: Rows of a sheet that are read together into records.
+BLOCK_ROWS = 1 << 14
+
 #: Bytes of a sheet's XML that are looked at in one step.
 STEP_BYTES = 1 << 20
 
@@ -245,16 +248,31 @@ def longest_alias(rows: DataFrame, text: str, aliases: DataFrame, alias: str, va
     return rows.join(one, text, "left")
 
 
-def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, include_hidden: bool = False) -> DataFrame:
+def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, include_hidden: bool = False, regions: DataFrame | None = None) -> DataFrame:
     """Business records: the rows below each header, within its region, that say anything; fields by name.
 
     ``files`` gives entity_code, business_code, business_id and variant_id of each relative_path.
+    ``regions``: the ``title_regions`` of ``cells`` that have not been parted by them.
     """
-    cells, place = in_regions(cells), ["relative_path", "sheet", "region"]
+    cells, place = in_regions(cells) if regions is None else cells, ["relative_path", "sheet", "region"]
     headers = headers if "region" in headers.columns else headers.withColumn("region", F.lit(0))
     visible = cells.where("error IS NULL") if include_hidden else cells.where("error IS NULL AND NOT hidden")
-    fields = headers.select(*place, "header_row", "record_type", F.explode("columns").alias("field", "col"))
-    own = visible.join(by_key(fields), [*place, "col"]).where(F.col("row") > F.col("header_row"))
+    # Sheets are dealt in blocks of rows, so a long one is the work of many tasks; headers go to every block below them.
+    at = place if regions is None else place[:2]
+    block = lambda row: F.expr(f"{row} div {BLOCK_ROWS}")
+    long = visible.where(F.col("row") >= BLOCK_ROWS).groupBy(*at).agg(F.max(block("`row`")).alias("_last"))
+    fields = headers.join(by_key(long), at, "left").withColumn("_last", F.coalesce("_last", F.lit(0)))
+    if regions is not None:
+        fields = fields.join(by_key(regions.drop("kind")), place, "left").withColumn("_last", F.least("_last", block("last_row")))
+    fields = fields.withColumn("_block", F.explode(F.sequence(block("header_row"), F.greatest("_last", block("header_row")))))
+    fields = fields.select(*place, "_block", "header_row", "record_type", *([] if regions is None else ["first_row", "last_row", "first_col", "last_col"]), F.map_keys("columns").alias("_all"), F.explode("columns").alias("field", "_col"))
+    # A hash leads the keys: rows are sorted by it far faster than by the long texts of places, which begin alike.
+    keyed = lambda df: by_key(df.withColumn("_at", F.xxhash64(*at, "_block")))
+    # The column is compared, but is no key: cells of a row stay together, and are gathered without being dealt again.
+    visible = visible if regions is None else with_area(visible)
+    own = keyed(visible.withColumn("_block", block("`row`"))).join(keyed(fields), ["_at", *at, "_block"]).where((F.col("row") > F.col("header_row")) & F.col("col").between(F.col("_col"), F.col("_col")))
+    if regions is not None:
+        own = own.where(F.col("first_row").isNull() | within())
     cell = F.struct(
         "raw",
         "current",
@@ -266,17 +284,20 @@ def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, i
         F.lit(False).alias("deleted_unavailable"),
         "red_spans",
     )
-    rows = own.groupBy(*place, "row", "record_type").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", cell.alias("cell")))).alias("fields"), F.bool_or(F.col("state") != "empty").alias("_some")
-    )
+    # Rows lie together once sorted, so a window gathers them: the two steps of an aggregate would copy every cell twice more.
+    row = [*place, "_block", "row", "record_type"]
+    window = Window.partitionBy("_at", *row).orderBy("_col")
+    every = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = own.select("_at", *row, "_all", "_col", F.struct("field", cell.alias("cell")).alias("_cell"), (F.col("state") != "empty").alias("_full"))
+    rows = rows.withColumn("_n", F.row_number().over(window)).withColumn("_cells", F.collect_list("_cell").over(every)).withColumn("_some", F.bool_or("_full").over(every))
+    rows = rows.where("_n = 1 AND _some").withColumn("fields", F.map_from_entries("_cells"))
     # A column that the header names but a row leaves out is an empty cell, not an absent one.
     blank = F.struct(
         F.lit("").alias("raw"), F.lit("").alias("current"), F.lit("").alias("coordinate"), F.lit(None).cast("string").alias("formula"), F.lit(None).cast("string").alias("cached"), F.lit("empty").alias("state"),
         F.array().cast(SPAN).alias("deleted_spans"), F.lit(False).alias("deleted_unavailable"), F.array().cast(SPAN).alias("red_spans"),
     )
-    named = headers.select(*place, F.map_keys("columns").alias("_all"))
-    rows = rows.where("_some").join(by_key(named), place)
-    rows = rows.withColumn("fields", F.map_concat("fields", F.map_from_entries(F.transform(F.array_except("_all", F.map_keys("fields")), lambda k: F.struct(k, blank)))))
+    rows = rows.withColumn("_left", F.array_except("_all", F.map_keys("fields")))
+    rows = rows.withColumn("fields", F.when(F.size("_left") == 0, F.col("fields")).otherwise(F.map_concat("fields", F.map_from_entries(F.transform("_left", lambda k: F.struct(k, blank))))))
     person = F.element_at("fields", "person_names")["current"]
     number = F.element_at("fields", "person_ids")["current"]
     names = F.filter(F.split(F.coalesce(person, F.lit("")), r"[、,，;；/\s]+"), lambda x: x != "")
@@ -284,7 +305,8 @@ def records_from_cells(cells: DataFrame, headers: DataFrame, files: DataFrame, i
     sure = (F.size(names) == 1) & (F.size(ids) == 1)
     people = F.transform(names, lambda n: F.struct(n.alias("name"), F.when(sure, F.get(ids, F.lit(0))).alias("person_id"), sure.alias("identity_reliable")))
     scopes = files.select("relative_path", "entity_code", "business_code", F.coalesce("business_id", "business_code").alias("business_id"), F.coalesce("variant_id", F.lit("default")).alias("variant_id"))
-    out = rows.join(scopes, "relative_path").select(
+    few = scopes.limit(SHORT_TABLE + 1).count() <= SHORT_TABLE
+    out = rows.join(F.broadcast(scopes) if few else by_key(scopes), "relative_path").select(
         "record_type", "entity_code", "business_code", "business_id", "variant_id", F.col("relative_path").alias("file_path"), "sheet", "row", "fields", F.lit(None).cast("string").alias("record_id"), people.alias("person_keys")
     )
     return with_record_id(out)
